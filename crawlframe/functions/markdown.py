@@ -1,4 +1,8 @@
-"""Markdown text: navigation filter, cleaning, quality score and gate."""
+"""Markdown text: navigation filter, cleaning, quality score and gate.
+
+Each function binds its text once (`let`), because a text column used sixty
+times in one expression would otherwise be computed sixty times.
+"""
 
 from __future__ import annotations
 
@@ -8,14 +12,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from crawlframe import rules
-from crawlframe.functions.text import as_col, contains_any, matches_any, strip
+from crawlframe.functions.text import as_col, contains_any, let, strip
+
+
+# Ten words, each with blanks after it, at the start of a stripped text: an
+# eleventh follows. The match never backs up and ends within the first words.
+_ELEVEN_WORDS = "^(?:[^" + rules.WS[1:] + "++" + rules.WS + "++){10}"
+
+
+def _add(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, columns)
+
+
+def _nav_regexes(c: Column) -> list[Column]:
+    # The plain search comes first: few texts hold its word, and only those are matched.
+    return [c.contains(word) & c.rlike(pattern) for word, pattern in rules.NAV_REGEXES]
 
 
 def _is_nav_line(line: Column) -> Column:
-    # One alternation is one pass over the line; the order does not matter here.
     return (
         (line == "")
-        | line.rlike("|".join(f"(?:{p})" for p in rules.NAV_PATTERNS))
+        | contains_any(line, rules.NAV_TEXTS)
+        | reduce(lambda a, b: a | b, _nav_regexes(line))
         | line.isin(*rules.NAV_EXACT_LINES)
         | line.rlike(rules.NAV_RULE_LINE)
         | ((F.length(line) <= 5) & contains_any(line, rules.NAV_SHORT_WORDS))
@@ -33,47 +51,51 @@ def clean_markdown(text: Column | str) -> Column:
     return strip(filter_nav(F.coalesce(as_col(text), F.lit(""))))
 
 
-def quality(text: Column | str) -> Column:
-    """Quality from 0 to 100 with its parts; blank text scores 0."""
-    t = strip(F.coalesce(as_col(text), F.lit("")))
-    n = F.length(t)
-    length_score = F.least(F.lit(20.0), n / F.lit(50.0))
-
-    def five(cond: Column) -> Column:
-        return F.when(cond, 5.0).otherwise(0.0)
-
-    structure_score = (
-        five(contains_any(t, ["。", "."]))
-        + five(t.contains("\n"))
-        + five(F.size(F.split(t, rules.WS + "+", 12)) > 10)
-        + five(contains_any(t, ["：", "，", "；", "、"]))
+def _facts(t: Column) -> Column:
+    """What the scores are made of; `t` is stripped."""
+    has = [
+        contains_any(t, ["。", "."]),
+        t.contains("\n"),
+        t.rlike(_ELEVEN_WORDS),
+        contains_any(t, ["：", "，", "；", "、"]),
+    ]
+    nav = [t.contains(x) for x in rules.NAV_TEXTS] + _nav_regexes(t)
+    return F.struct(
+        F.length(t).alias("n"),
+        (F.length(t) - F.length(F.regexp_replace(t, rules.SUBSTANTIAL_CLASS + "+", ""))).alias("solid"),
+        _add([h.cast("int") for h in has]).alias("signs"),
+        _add([h.cast("int") for h in nav]).alias("nav"),
+        _add([t.contains(w).cast("int") for w in rules.DOMAIN_WORDS]).alias("words"),
     )
-    solid = F.length(F.regexp_replace(t, rules.SUBSTANTIAL_CLASS, ""))
-    ratio = F.when(n > 0, solid / n).otherwise(0.0)
-    hits = reduce(lambda a, b: a + b, [t.rlike(p).cast("int") for p in rules.NAV_PATTERNS])
-    nav_score = F.greatest(F.lit(0), 20 - 5 * hits).cast("double")
-    words = reduce(lambda a, b: a + b, [t.contains(w).cast("int") for w in rules.DOMAIN_WORDS])
-    domain_score = F.least(F.lit(10), 2 * words).cast("double")
-    content_score = ratio * 30.0
-    total = length_score + structure_score + content_score + nav_score + domain_score
-    zero = n == 0
-
-    def unless_blank(c: Column, empty) -> Column:
-        return F.when(zero, F.lit(empty)).otherwise(c)
 
+
+def _scores(f: Column) -> Column:
+    n, blank = f["n"], f["n"] == 0
+    length = F.least(F.lit(20.0), n / F.lit(50.0))
+    structure = F.when(blank, 0.0).otherwise(5.0 * f["signs"])
+    ratio = F.when(blank, 0.0).otherwise(f["solid"] / n)
+    content = ratio * 30.0
+    nav = F.when(blank, 0.0).otherwise(F.greatest(F.lit(0), 20 - 5 * f["nav"]).cast("double"))
+    domain = F.least(F.lit(10), 2 * f["words"]).cast("double")
     return F.struct(
-        unless_blank(total, 0.0).alias("total"),
-        unless_blank(length_score, 0.0).alias("length_score"),
-        unless_blank(structure_score, 0.0).alias("structure_score"),
-        unless_blank(content_score, 0.0).alias("content_score"),
-        unless_blank(nav_score, 0.0).alias("nav_score"),
-        unless_blank(domain_score, 0.0).alias("domain_score"),
+        (length + structure + content + nav + domain).alias("total"),
+        length.alias("length_score"),
+        structure.alias("structure_score"),
+        content.alias("content_score"),
+        nav.alias("nav_score"),
+        domain.alias("domain_score"),
         n.alias("text_length"),
         ratio.alias("substantial_ratio"),
-        unless_blank(words, 0).alias("keyword_count"),
+        f["words"].alias("keyword_count"),
     )
 
 
+def quality(text: Column | str) -> Column:
+    """Quality from 0 to 100 with its parts; blank text scores 0."""
+    stripped = strip(F.coalesce(as_col(text), F.lit("")))
+    return let(let(stripped, _facts), _scores)
+
+
 def gate(length: Column, total: Column, min_length: int = 200, min_quality: float = 40) -> Column:
     """struct(outcome, reason): length is tested before quality."""
     short = length < min_length
@@ -90,4 +112,19 @@ def gate(length: Column, total: Column, min_length: int = 200, min_quality: floa
     )
 
 
-__all__ = ["clean_markdown", "filter_nav", "gate", "matches_any", "quality"]
+def assess(text: Column | str, min_length: int = 200, min_quality: float = 40) -> Column:
+    """struct(clean, quality, outcome, reason) of raw Markdown."""
+
+    def judge(clean: Column) -> Column:
+        def with_gate(q: Column) -> Column:
+            return let(
+                gate(q["text_length"], q["total"], min_length, min_quality),
+                lambda g: F.struct(
+                    clean.alias("clean"), q["total"].alias("quality"),
+                    g["outcome"].alias("outcome"), g["reason"].alias("reason"),
+                ),
+            )
+
+        return let(quality(clean), with_gate)
+
+    return let(clean_markdown(text), judge)

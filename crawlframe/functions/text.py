@@ -21,13 +21,20 @@ def let(value: Column, body) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim Unicode whitespace on both sides."""
-    return F.regexp_replace(c, f"^{rules.WS}+|{rules.WS}+$", "")
+    return F.trim(c, F.lit(rules.WS_CHARS))
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
-    """Whether `c` holds one of the words; a chain of code-generated searches."""
+    """Whether `c` holds one of the words.
+
+    A few words become a chain of code-generated searches, many a literal array,
+    which keeps the expression tree flat.
+    """
+    words = list(words)
     if not words:
         return F.lit(False)
+    if len(words) > 64:
+        return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
     return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
 
 

@@ -12,7 +12,7 @@ from crawlframe.functions.text import strip
 from crawlframe.operators import frontier as FR
 from crawlframe.operators import graph as G
 from crawlframe.operators.parse import parse_pages
-from crawlframe.session import maybe_broadcast
+from crawlframe.session import cut_lineage, maybe_broadcast
 from crawlframe.sources import files as IO
 
 
@@ -59,45 +59,40 @@ def crawl_step(pages: DataFrame, frontier: DataFrame, blacklist: list[str] | Non
     return FR.new_urls(frontier, candidates)
 
 
-def _later_twins(named: DataFrame) -> DataFrame:
-    """URLs whose output name belongs to a smaller URL of the same batch."""
-    names = named.select("url", "md_name")
-    twins = (
-        names.groupBy("md_name").agg(F.min("url").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .filter("_n > 1")
+def finished_pages(named: DataFrame, existing: DataFrame) -> DataFrame:
+    """Pages (without their text) whose output exists or is made by another page.
+
+    Of the pages of one output name, the one with the smallest URL makes it. Only
+    names and URLs are shuffled; the list is written, for it is read three times.
+    """
+    names = named.drop("html")
+    makers = (
+        names.groupBy("md_name").agg(F.min("url").alias("url"))
+        .join(existing.select("md_name").distinct(), "md_name", "left_anti")
     )
-    return names.join(twins, "md_name").filter(F.col("url") != F.col("_first")).select("url")
+    return cut_lineage(names.join(makers, ["url", "md_name"], "left_anti"))
 
 
 def pages_to_markdown(pages: DataFrame, existing: DataFrame, min_length: int = 200,
                       min_quality: float = 40, force: bool = False) -> DataFrame:
     """Pages (url, html) to outcomes and clean Markdown.
 
-    Pages whose output exists, or will be made by another page of the batch, are
-    told apart by name before the parse, so Python never reads them. With
-    `force` all pages are processed and clashing names get a suffix.
+    Pages that need no work are told apart by name before the parse, so Python
+    never reads them. With `force` all pages are processed and clashing names
+    get a suffix.
     """
     named = pages.withColumn("md_name", U.md_filename(U.page_filename("url")))
     todo = named
     if not force:
-        todo = IO.skip_existing(named, existing)
-        todo = todo.join(maybe_broadcast(_later_twins(todo)), "url", "left_anti")
+        finished = finished_pages(named, existing)
+        todo = named.join(maybe_broadcast(finished.select("url")), "url", "left_anti")
     todo = todo.withColumn("empty", strip(F.coalesce("html", F.lit(""))) == "")
     done = IO.gate_markdown(parse_pages(todo, ["markdown"]), min_length, min_quality)
     if force:
         return IO.unique_md_names(done, existing)
-    old = named.drop("html").join(done_names(existing, named), ["url", "md_name"], "left_semi")
-    label = old.select(
-        *[F.col(c) for c in done.columns if c in old.columns],
+    label = finished.select(
+        *[F.col(c) for c in done.columns if c in finished.columns],
         F.lit("existing").alias("outcome"), F.lit(None).cast("string").alias("reason"),
         F.lit(None).cast("string").alias("clean_markdown"), F.lit(None).cast("double").alias("quality"),
     )
     return done.unionByName(label)
-
-
-def done_names(existing: DataFrame, named: DataFrame) -> DataFrame:
-    """(url, md_name) of the pages that need no work."""
-    names = named.select("url", "md_name")
-    old = names.join(existing.select("md_name").distinct(), "md_name", "left_semi")
-    fresh = names.join(existing.select("md_name").distinct(), "md_name", "left_anti")
-    return old.unionByName(fresh.join(_later_twins(fresh), "url", "left_semi").select("md_name", "url"))

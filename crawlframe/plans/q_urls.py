@@ -54,28 +54,28 @@ PAGE_BLACKLIST = rules.BLACKLIST + ["spam-farm", "cheap-pills", "utm_", ".html"]
 
 
 def flag(name: str, column, sql_column: str):
-    """A query that gives one computed value per URL shape."""
+    """A query that gives one computed value per URL shape; `column` makes the expression."""
 
     @query(name, "url_variants", f"SELECT page_id, k, url, {sql_column} AS flag FROM url_variants")
     def run(spark, d):
-        return V.url_variants(spark, d).select("page_id", "k", "url", column.alias("flag"))
+        return V.url_variants(spark, d).select("page_id", "k", "url", column().alias("flag"))
 
     return run
 
 
-flag("valid_urls", U.is_valid_url("url"), s_valid("url"))
-flag("doc_ext_filter", U.is_document_file("url"), s_ext("url", rules.DOCUMENT_EXTENSIONS))
-flag("static_ext_filter", U.is_static_file("url"), s_ext("url", rules.STATIC_EXTENSIONS))
-flag("api_filter", U.is_api_or_download("url"), s_any("lower(url)", rules.API_PATTERNS))
-flag("blacklist_flag", U.is_blacklisted("url", PAGE_BLACKLIST), s_any("lower(url)", PAGE_BLACKLIST))
-flag("should_crawl", U.should_crawl("url", PAGE_BLACKLIST), s_should("url", PAGE_BLACKLIST))
-flag("should_crawl_spider", U.should_crawl("url"), s_should("url"))
+flag("valid_urls", lambda: U.is_valid_url("url"), s_valid("url"))
+flag("doc_ext_filter", lambda: U.is_document_file("url"), s_ext("url", rules.DOCUMENT_EXTENSIONS))
+flag("static_ext_filter", lambda: U.is_static_file("url"), s_ext("url", rules.STATIC_EXTENSIONS))
+flag("api_filter", lambda: U.is_api_or_download("url"), s_any("lower(url)", rules.API_PATTERNS))
+flag("blacklist_flag", lambda: U.is_blacklisted("url", PAGE_BLACKLIST), s_any("lower(url)", PAGE_BLACKLIST))
+flag("should_crawl", lambda: U.should_crawl("url", PAGE_BLACKLIST), s_should("url", PAGE_BLACKLIST))
+flag("should_crawl_spider", lambda: U.should_crawl("url"), s_should("url"))
 flag(
-    "url_needs_js", U.url_needs_js("url"),
+    "url_needs_js", lambda: U.url_needs_js("url"),
     f"NOT {s_ext('url', rules.JS_URL_STATIC_EXTENSIONS)} AND {s_any('lower(url)', rules.JS_URL_WORDS)}",
 )
 flag(
-    "allowed_domains", U.in_domains("url", ["example.com", "ththat.example.net"]),
+    "allowed_domains", lambda: U.in_domains("url", ["example.com", "ththat.example.net"]),
     "(" + " OR ".join(
         f"lower({part('url', 2)}) = {lit(d)} OR ends_with(lower({part('url', 2)}), {lit('.' + d)})"
         for d in ("example.com", "ththat.example.net")
@@ -257,19 +257,20 @@ _CHINESE = "矿产资源勘探开发与地质调查工作"
 @query("decode_pages", "", f"""
     SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'utf-8' ELSE 'latin-1' END AS charset,
            CASE WHEN page_id % 2 = 0 THEN md5(concat('{_CHINESE}', html)) END AS chinese_md5,
-           CASE WHEN page_id % 2 = 1 THEN octet_length(encode(html)) END AS latin_chars
+           CASE WHEN page_id % 2 = 1 THEN length(regexp_replace(html, '[^\x00-\x7F]', '', 'g')) ELSE 0 END AS latin_chars
     FROM pages""")
 def decode_pages_query(spark, d):
     chinese = F.col("page_id") % 2 == 0
     raw = V.pages(spark, d).select(
-        "page_id", F.encode(F.when(chinese, F.concat(F.lit(_CHINESE), "html")).otherwise(F.col("html")), "UTF-8").alias("body"),
+        "page_id", F.encode(F.when(chinese, F.concat(F.lit(_CHINESE), "html"))
+            .otherwise(F.regexp_replace("html", r"[^\x00-\x7F]", "")), "UTF-8").alias("body"),
         F.lit("text/html").alias("content_type"), F.lit("latin-1").alias("original_charset"),
     )
     out = decode_pages(raw)
     even = F.col("page_id") % 2 == 0
     return out.select(
         "page_id", "charset", F.when(even, F.md5("html")).alias("chinese_md5"),
-        F.when(~even, F.length("html").cast("long")).alias("latin_chars"),
+        F.when(~even, F.length("html").cast("long")).otherwise(F.lit(0).cast("long")).alias("latin_chars"),
     )
 
 

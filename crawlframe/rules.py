@@ -123,6 +123,12 @@ WS = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# The same characters as plain text, for trimming without a pattern.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # --- fixed values: JavaScript-need patterns ----------------------------------
 
@@ -183,12 +189,17 @@ MAIN_SELECTORS = [
 
 # --- fixed values: Markdown cleaning and quality ------------------------------
 
-NAV_PATTERNS = [
-    r"首页", r"主页", r"网站首页", r"当前位置", r"您当前的位置", r"您现在的位置",
-    r"位置" + WS[:-1] + r":：]*首页",
-    r"导航", r"栏目导航", r"网站导航", r"面包屑",
-    r">>", r">" + WS + r"*>", r"\|" + WS + r"*\|", r"---+",
-    r"更多", r"查看更多", r"返回", r"打印本页", r"关闭窗口", r"收藏本页", r"分享到", r"扫一扫",
+# Texts that mark navigation wherever they occur, and three marks with blanks
+# inside, each with the text that must be there for it to match.
+NAV_TEXTS = [
+    "首页", "主页", "网站首页", "当前位置", "您当前的位置", "您现在的位置",
+    "导航", "栏目导航", "网站导航", "面包屑", ">>", "---",
+    "更多", "查看更多", "返回", "打印本页", "关闭窗口", "收藏本页", "分享到", "扫一扫",
+]
+NAV_REGEXES = [
+    ("首页", r"位置" + WS[:-1] + r":：]*首页"),
+    (">", r">" + WS + r"*>"),
+    ("|", r"\|" + WS + r"*\|"),
 ]
 NAV_EXACT_LINES = ["首页", "上一页", "下一页", "更多", "返回", "打印", "关闭", "分享"]
 NAV_RULE_LINE = r"^" + WS[:-1] + r"|>\-─│├┤┴┬┼—–]*$"
@@ -199,7 +210,7 @@ DOMAIN_WORDS = [
     "矿物", "地壳", "岩石", "地层", "水文", "环境",
     "测绘", "规划", "管理", "保护", "开发", "利用",
 ]
-SUBSTANTIAL_CLASS = r"[^\x{4e00}-\x{9fff}a-zA-Z0-9]"
+SUBSTANTIAL_CLASS = r"[\x{4e00}-\x{9fff}a-zA-Z0-9]"
 
 # --- fixed values: texts shown to users ---------------------------------------
 

@@ -117,15 +117,19 @@ def skip_existing(pages: DataFrame, existing: DataFrame, name: str = "md_name")
 
 
 def gate_markdown(parsed: DataFrame, min_length: int = 200, min_quality: float = 40) -> DataFrame:
-    """Clean, score and gate parsed pages (column `markdown`, flag `empty`)."""
-    clean = parsed.withColumn("clean", M.clean_markdown("markdown")).drop("markdown")
-    scored = clean.withColumn("quality", M.quality("clean")["total"])
-    gate = M.gate(F.length("clean"), F.col("quality"), min_length, min_quality)
-    outcome = F.when(F.col("empty"), "failed").otherwise(F.col("gate.outcome"))
-    return scored.withColumn("gate", gate).select(
-        *[c for c in parsed.columns if c not in ("markdown", "empty")],
+    """Clean, score and gate parsed pages (column `markdown`, flag `empty`).
+
+    The result is generated from one struct, so that a later filter on the
+    outcome reads it instead of computing the text again below the projection.
+    """
+    result = F.inline(F.array(M.assess("markdown", min_length, min_quality)))
+    carried = [c for c in parsed.columns if c not in ("markdown", "empty")]
+    j = parsed.select(*carried, "empty", result)
+    outcome = F.when(F.col("empty"), "failed").otherwise(F.col("outcome"))
+    return j.select(
+        *carried,
         outcome.alias("outcome"),
-        F.when(F.col("empty"), "处理失败: HTML文件为空").otherwise(F.col("gate.reason")).alias("reason"),
+        F.when(F.col("empty"), "处理失败: HTML文件为空").otherwise(F.col("reason")).alias("reason"),
         F.when(outcome == "success", F.col("clean")).alias("clean_markdown"),
         F.when(~F.col("empty"), F.col("quality")).alias("quality"),
     )
