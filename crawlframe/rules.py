@@ -132,24 +132,25 @@ WS_CHARS = (
 
 # --- fixed values: JavaScript-need patterns ----------------------------------
 
+# (name, text that must be there in lower case, pattern)
 JS_HTML_PATTERNS = [
-    ("script-react", r"<script[^>]*src[^>]*react"),
-    ("script-vue", r"<script[^>]*src[^>]*vue"),
-    ("script-angular", r"<script[^>]*src[^>]*angular"),
-    ("script-backbone", r"<script[^>]*src[^>]*backbone"),
-    ("reactdom-render", r"ReactDOM\.render"),
-    ("new-vue", r"new" + WS + r"+Vue\("),
-    ("angular-module", r"angular\.module\("),
-    ("noscript", r"<noscript>"),
-    ("app-root", r"<app-root>"),
-    ("react-root", r"<react-root>"),
-    ("id-app", r"<div[^>]*id=[\"']app[\"']"),
-    ("id-root", r"<div[^>]*id=[\"']root[\"']"),
-    ("data-src", r"data-src="),
-    ("lazy-loading", r"loading=[\"']lazy[\"']"),
-    ("empty-container",
+    ("script-react", "react", r"<script[^>]*src[^>]*react"),
+    ("script-vue", "vue", r"<script[^>]*src[^>]*vue"),
+    ("script-angular", "angular", r"<script[^>]*src[^>]*angular"),
+    ("script-backbone", "backbone", r"<script[^>]*src[^>]*backbone"),
+    ("reactdom-render", "reactdom.render", r"ReactDOM\.render"),
+    ("new-vue", "vue(", r"new" + WS + r"+Vue\("),
+    ("angular-module", "angular.module(", r"angular\.module\("),
+    ("noscript", "<noscript>", r"<noscript>"),
+    ("app-root", "<app-root>", r"<app-root>"),
+    ("react-root", "<react-root>", r"<react-root>"),
+    ("id-app", "app", r"<div[^>]*id=[\"']app[\"']"),
+    ("id-root", "root", r"<div[^>]*id=[\"']root[\"']"),
+    ("data-src", "data-src=", r"data-src="),
+    ("lazy-loading", "lazy", r"loading=[\"']lazy[\"']"),
+    ("empty-container", "container",
      r"<div[^>]*class=[\"'][^\"']*container[^\"']*[\"'][^>]*>" + WS + r"*</div>"),
-    ("empty-content",
+    ("empty-content", "content",
      r"<div[^>]*id=[\"'][^\"']*content[^\"']*[\"'][^>]*>" + WS + r"*</div>"),
 ]
 JS_URL_PATTERNS = ["/spa/", "/app/", "/dashboard/", "/admin/"]

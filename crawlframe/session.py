@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only after it was counted and found no longer than this.
+# A side is broadcast only after it was measured and found within both bounds.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "crawlframe", master: str | None = None, **conf) -> SparkSession:
@@ -81,13 +82,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether `df` has at most `max_rows` rows; reads no more than that many."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """Whether `df` is short and narrow enough; reads at most one row too many."""
+    width = F.octet_length(F.to_json(F.struct("*")))
+    rows, size = (
+        df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    )
+    return rows <= max_rows and size <= max_bytes
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if its counted size allows it, else unchanged.
+    """`df` with a broadcast hint if its measured size allows it, else unchanged.
+
+    Pass something cheap to read twice: a stored table or a materialised one.
 
     Without the hint the join stays a shuffled one, which AQE splits on skew.
     """

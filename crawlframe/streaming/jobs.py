@@ -69,6 +69,18 @@ def read_frontier(spark: SparkSession, out: str) -> DataFrame:
     return frontier_from_state(newest.select("url", "s.*"))
 
 
+def compact_frontier(spark: SparkSession, out: str, target: str) -> None:
+    """Write each URL's newest state to a new folder, as the start of its output.
+
+    Later batches can be appended there, so that reading does not grow with the
+    number of batches ever run.
+    """
+    versions = spark.read.parquet(out)
+    cols = [c for c in versions.columns if c not in ("url", "batch_id")]
+    newest = versions.groupBy("url").agg(F.max_by(F.struct("batch_id", *cols), "batch_id").alias("s"))
+    newest.select("url", "s.*").write.partitionBy("batch_id").parquet(target)
+
+
 def stream_log_levels(lines: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Label each non-blank log line; stateless."""
     line = F.trim("value")
