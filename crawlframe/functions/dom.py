@@ -40,6 +40,9 @@ class Page(HTMLParser):
         while self._open:
             self._pop()
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not kept
+
     # -- building ----------------------------------------------------------
     def _add(self, kind, data, attrs=None):
         self.kind.append(kind)

@@ -20,8 +20,9 @@ from crawlframe.functions.text import as_col, contains_any, let, strip
 _ELEVEN_WORDS = "^(?:[^" + rules.WS[1:] + "++" + rules.WS + "++){10}"
 
 
-def _add(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+def _total(tests: list[Column]) -> Column:
+    """How many tests hold."""
+    return reduce(lambda a, b: a + b, [x.cast("int") for x in tests])
 
 
 def _nav_regexes(c: Column) -> list[Column]:
@@ -29,21 +30,44 @@ def _nav_regexes(c: Column) -> list[Column]:
     return [c.contains(word) & c.rlike(pattern) for word, pattern in rules.NAV_REGEXES]
 
 
-def _is_nav_line(line: Column) -> Column:
+def _has_chinese(c: Column) -> Column:
+    return c.rlike(r"[\x{4e00}-\x{9fff}]")
+
+
+def _is_symbol_line(line: Column) -> Column:
+    """What makes a line navigation without a Chinese word."""
+    symbols = [x for x in rules.NAV_TEXTS if x.isascii()]
     return (
         (line == "")
-        | contains_any(line, rules.NAV_TEXTS)
+        | contains_any(line, symbols)
         | reduce(lambda a, b: a | b, _nav_regexes(line))
-        | line.isin(*rules.NAV_EXACT_LINES)
         | line.rlike(rules.NAV_RULE_LINE)
+    )
+
+
+def _is_nav_line(line: Column) -> Column:
+    words = [x for x in rules.NAV_TEXTS if not x.isascii()]
+    return (
+        _is_symbol_line(line)
+        | contains_any(line, words)
+        | line.isin(*rules.NAV_EXACT_LINES)
         | ((F.length(line) <= 5) & contains_any(line, rules.NAV_SHORT_WORDS))
     )
 
 
 def filter_nav(text: Column | str) -> Column:
-    """Stripped lines that are neither blank nor navigation, joined again."""
-    lines = F.transform(F.split(as_col(text), "\n"), strip)
-    return F.array_join(F.filter(lines, lambda x: ~_is_nav_line(x)), "\n")
+    """Stripped lines that are neither blank nor navigation, joined again.
+
+    One look for any Chinese letter saves other texts the search for each word.
+    """
+
+    def kept(t: Column) -> Column:
+        lines = F.transform(F.split(t, "\n"), strip)
+        chinese = F.filter(lines, lambda x: ~_is_nav_line(x))
+        other = F.filter(lines, lambda x: ~_is_symbol_line(x))
+        return F.array_join(F.when(_has_chinese(t), chinese).otherwise(other), "\n")
+
+    return let(as_col(text), kept)
 
 
 def clean_markdown(text: Column | str) -> Column:
@@ -59,14 +83,19 @@ def _facts(t: Column) -> Column:
         t.rlike(_ELEVEN_WORDS),
         contains_any(t, ["：", "，", "；", "、"]),
     ]
-    nav = [t.contains(x) for x in rules.NAV_TEXTS] + _nav_regexes(t)
-    return F.struct(
+    symbols = [t.contains(x) for x in rules.NAV_TEXTS if x.isascii()] + _nav_regexes(t)
+    nav_words = [t.contains(x) for x in rules.NAV_TEXTS if not x.isascii()]
+    domain_words = [t.contains(w) for w in rules.DOMAIN_WORDS]
+    counts = F.struct(_total(nav_words).alias("nav"), _total(domain_words).alias("domain"))
+    none = F.struct(F.lit(0).alias("nav"), F.lit(0).alias("domain"))
+    found = F.when(_has_chinese(t), counts).otherwise(none)
+    return let(found, lambda w: F.struct(
         F.length(t).alias("n"),
         (F.length(t) - F.length(F.regexp_replace(t, rules.SUBSTANTIAL_CLASS + "+", ""))).alias("solid"),
-        _add([h.cast("int") for h in has]).alias("signs"),
-        _add([h.cast("int") for h in nav]).alias("nav"),
-        _add([t.contains(w).cast("int") for w in rules.DOMAIN_WORDS]).alias("words"),
-    )
+        _total(has).alias("signs"),
+        (_total(symbols) + w["nav"]).alias("nav"),
+        w["domain"].alias("words"),
+    ))
 
 
 def _scores(f: Column) -> Column:

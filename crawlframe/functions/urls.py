@@ -36,9 +36,13 @@ def authority(url: Column | str) -> Column:
     return parts(url)[1]
 
 
+def _path_of(p: Column) -> Column:
+    return F.regexp_replace(p[2], r";[^/]*$", "")
+
+
 def path(url: Column | str) -> Column:
     """Path without the parameters (`;...`) of its last segment."""
-    return F.regexp_replace(parts(url)[2], r";[^/]*$", "")
+    return _path_of(parts(url))
 
 
 def _unsplit(sch: Column, auth: Column, pth: Column, qry: Column) -> Column:
@@ -99,17 +103,16 @@ def join_parts(base: Column, ref: Column) -> Column:
 
 def url_join(base: Column | str, ref: Column | str) -> Column:
     """Absolute form of `ref` on page `base`, fragment dropped, nothing else changed."""
-    return join_parts(parts(base), parts(ref))
+    return let(parts(base), lambda b: let(parts(ref), lambda r: join_parts(b, r)))
 
 
 def normalize_url(url: Column | str) -> Column:
     """Drop the fragment of an absolute URL; the scheme is lower-cased."""
-    return _from_parts(parts(url))
+    return let(parts(url), _from_parts)
 
 
 def is_valid_url(url: Column | str) -> Column:
-    p = parts(url)
-    return scheme(p).isin("http", "https") & (p[1] != "")
+    return let(parts(url), lambda p: scheme(p).isin("http", "https") & (p[1] != ""))
 
 
 def has_http_prefix(url: Column | str) -> Column:
@@ -135,11 +138,14 @@ def is_api_or_download(url: Column | str, patterns=rules.API_PATTERNS) -> Column
 
 def in_domains(url: Column | str, domains: list[str]) -> Column:
     """Host (port included) equals a listed domain or lies below it."""
-    host = F.lower(authority(url))
-    hit = F.lit(False)
-    for d in domains:
-        hit = hit | (host == d.lower()) | host.endswith("." + d.lower())
-    return hit
+
+    def test(host: Column) -> Column:
+        hit = F.lit(False)
+        for d in domains:
+            hit = hit | (host == d.lower()) | host.endswith("." + d.lower())
+        return hit
+
+    return let(F.lower(authority(url)), test)
 
 
 def is_blacklisted(url: Column | str, blacklist=rules.BLACKLIST) -> Column:
@@ -194,15 +200,17 @@ def is_html(content_type: Column | str, url: Column | str, strict: bool = False)
 
 def page_filename(url: Column | str) -> Column:
     """md5 prefix, last path part without its extension (or the host), `.html`."""
-    last = F.regexp_extract(path(url), r"([^/]+)/*$", 1)
-    stem = F.regexp_replace(last, r"\.[^.]*$", "")
-    host = F.regexp_replace(authority(url), "[:.]", "_")
-    name = F.concat(
-        F.substring(F.md5(as_col(url)), 1, 8), F.lit("_"),
-        F.when(last == "", host).otherwise(stem), F.lit(".html"),
-    )
+
+    def stem(p: Column) -> Column:
+        last = F.regexp_extract(_path_of(p), r"([^/]+)/*$", 1)
+        host = F.regexp_replace(p[1], "[:.]", "_")
+        return let(last, lambda s: F.when(s == "", host).otherwise(F.regexp_replace(s, r"\.[^.]*$", "")))
+
+    head = F.substring(F.md5(as_col(url)), 1, 8)
+    name = F.concat_ws("_", head, let(parts(url), stem))
     safe = F.regexp_replace(name, r'[<>:"/\\|?*]', "_")
-    return F.when(F.length(safe) > 200, F.concat(F.substring(safe, 1, 195), F.lit(".html"))).otherwise(safe)
+    # 200 characters with the extension.
+    return F.concat(F.substring(safe, 1, 195), F.lit(".html"))
 
 
 def metadata_filename(html_name: Column | str) -> Column:
@@ -211,12 +219,13 @@ def metadata_filename(html_name: Column | str) -> Column:
 
 def site_stem(url: Column | str, rendered: Column | None = None) -> Column:
     """Host and path as one flat name, at most 150 characters, `_js` if rendered."""
-    host = F.replace(authority(url), F.lit(":"), F.lit("_"))
-    pth = F.regexp_replace(path(url), r"^/+|/+$", "")
-    flat = F.when(
-        pth != "", F.concat(host, F.lit("_"), F.regexp_replace(pth, r"[/\\]", "_"))
-    ).otherwise(host)
-    stem = F.substring(flat, 1, 150)
+
+    def flat(p: Column) -> Column:
+        host = F.replace(p[1], F.lit(":"), F.lit("_"))
+        bare = F.regexp_replace(F.regexp_replace(_path_of(p), r"^/+|/+$", ""), r"[/\\]", "_")
+        return F.concat_ws("_", host, F.nullif(bare, F.lit("")))
+
+    stem = F.substring(let(parts(url), flat), 1, 150)
     if rendered is not None:
         stem = F.concat(stem, F.when(rendered, "_js").otherwise(""))
     return stem
@@ -226,14 +235,19 @@ def md_filename(name: Column | str, url: Column | str | None = None) -> Column:
     """Markdown file name from a file's stem or, if given, from its URL."""
     base = F.regexp_replace(F.regexp_extract(as_col(name), r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
     if url is not None:
-        last = F.regexp_extract(path(url), r"([^/]+)/*$", 1)
-        second = F.regexp_extract(authority(url), r"(?:^|\.)([^.]*)\.[^.]*$", 1)
-        has_dot = authority(url).contains(".")
-        base = (
-            F.when((last != "") & (last != "index"), last)
-            .when((last == "") & has_dot, second)
-            .otherwise(base)
-        )
+        from_file = base
+
+        def better(p: Column) -> Column:
+            last = F.regexp_extract(_path_of(p), r"([^/]+)/*$", 1)
+            second = F.regexp_extract(p[1], r"(?:^|\.)([^.]*)\.[^.]*$", 1)
+            return let(
+                last,
+                lambda s: F.when((s != "") & (s != "index"), s)
+                .when((s == "") & p[1].contains("."), second)
+                .otherwise(from_file),
+            )
+
+        base = let(parts(url), better)
     clean = F.regexp_replace(base, r"[^\p{L}\p{N}_\-]", "_")
     clean = F.regexp_replace(F.regexp_replace(clean, "_+", "_"), "^_+|_+$", "")
     return F.concat(F.when(clean == "", "page").otherwise(clean), F.lit(".md"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlframe import rules
+from crawlframe.functions import fetch as FT
+from crawlframe.functions import html as H
 from crawlframe.functions import relevance as R
 from crawlframe.functions import urls as U
 from crawlframe.functions.text import strip
@@ -59,6 +61,83 @@ def crawl_step(pages: DataFrame, frontier: DataFrame, blacklist: list[str] | Non
     return FR.new_urls(frontier, candidates)
 
 
+def judge_fetches(fetched: DataFrame, preset: str = "spider", strict: bool = False,
+                  keywords: list[str] | None = None, title_words: list[str] | None = None,
+                  blacklist: list[str] | None = None) -> DataFrame:
+    """Fetched pages with their outcome and, for good ones, their links.
+
+    Needs url, html, status_code, error_type, content_type. Pages that fail an
+    earlier gate are not parsed: their text is left out before the Python stage.
+    """
+    n_chars = F.length(strip(F.coalesce("html", F.lit(""))))
+    gate = FT.classify_fetch(
+        F.col("url"), F.col("status_code"), F.col("error_type"), F.col("content_type"),
+        n_chars, F.lit(True), strict=strict,
+    )
+    rows = fetched.select("url", "html", gate.alias("gate")).select("url", "html", "gate.*")
+    if strict and blacklist:
+        # The collector never asks for such a page, so it gets no mark either.
+        banned = U.is_blacklisted("url", blacklist)
+        rows = rows.withColumn("status", F.when(banned, "ignored").otherwise(F.col("status"))).withColumn(
+            "error_message", F.when(~banned, F.col("error_message"))
+        )
+    rows = rows.withColumn("html", F.when(F.col("status") == "success", F.col("html")))
+    texts = ["title", "title_text", "page_text", "meta_text", "heading_text", "hrefs"]
+    judged = relevance(parse_pages(rows, texts), preset, keywords, title_words)
+    on_topic = (F.col("status") == "success") & F.col("relevant")
+    off_topic = (F.col("status") == "success") & ~F.col("relevant")
+    return judged.select(
+        "url",
+        F.when(off_topic, "failed").otherwise(F.col("status")).alias("op"),
+        F.when(off_topic, rules.MSG_OFF_TOPIC).otherwise(F.col("error_message")).alias("error_message"),
+        F.when(on_topic, F.col("title")).alias("title"),
+        F.when(on_topic, H.resolve_links("url", F.col("hrefs"), blacklist)).alias("links"),
+    )
+
+
+def spider_round(fetched: DataFrame, frontier: DataFrame, now: Column, max_depth: int,
+                 **judge) -> DataFrame:
+    """The frontier after one round of fetches.
+
+    Outcomes are marked on their URLs and the links of good pages above
+    `max_depth` are added. The judged pages are written once, for both uses.
+    """
+    judged = cut_lineage(judge_fetches(fetched, **judge))
+    path = F.concat(F.lit("webpages/"), U.page_filename("url"))
+    marks = judged.filter(F.col("op") != "ignored").select(
+        "url", F.lit(1).alias("seq"), "op", "title",
+        F.when(F.col("op") == "success", path).alias("html_file_path"), "error_message", now.alias("ts"),
+    )
+    known = frontier.filter(F.col("depth") < max_depth).select("url", "depth")
+    found = judged.filter(F.col("links").isNotNull()).join(known, "url").select(
+        F.explode("links").alias("dst"), F.col("url").alias("source_url"), (F.col("depth") + 1).alias("depth")
+    ).withColumnRenamed("dst", "url")
+    return FR.add_urls(FR.apply_updates(frontier, marks), found, now)
+
+
+def collect_urls(fetched: DataFrame, seeds: DataFrame, max_depth: int, **judge) -> DataFrame:
+    """URLs reached level by level from the valid, not blacklisted seeds, with
+    depth, source and outcome.
+
+    Only pages that are read as text/html, fetched and on topic pass their links
+    on. URLs beyond the last level, or without a fetch, stay pending.
+    """
+    judged = cut_lineage(judge_fetches(fetched, preset="collector", strict=True, **judge))
+    edges = judged.filter(F.col("links").isNotNull()).select(
+        F.col("url").alias("src"), F.explode("links").alias("dst")
+    )
+    wanted = U.is_valid_url("url") & ~U.is_blacklisted("url", judge.get("blacklist") or [])
+    start = seeds.filter(wanted).select(F.col("url").alias("node"))
+    reached = G.expand_collector(edges, start, max_depth)
+    outcome = judged.select(F.col("url").alias("node"), "op", "error_message")
+    seen = F.col("op").isin("success", "failed") & (F.col("depth") <= max_depth)
+    return reached.join(outcome, "node", "left").select(
+        F.col("node").alias("url"), F.col("source").alias("source_url"), "depth",
+        F.when(seen, F.col("op")).otherwise("pending").alias("status"),
+        F.when(seen, F.col("error_message")).alias("error_message"),
+    )
+
+
 def finished_pages(named: DataFrame, existing: DataFrame) -> DataFrame:
     """Pages (without their text) whose output exists or is made by another page.
 

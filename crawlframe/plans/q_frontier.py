@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from crawlframe import rules
 from crawlframe.functions import fetch as FT
 from crawlframe.functions.text import iso_ts
 from crawlframe.operators import dedup as D
@@ -15,7 +16,8 @@ from crawlframe.operators import topk as T
 from crawlframe.operators.ranking import running_index
 from crawlframe.plans import jobs as J
 from crawlframe.plans import views as V
-from crawlframe.plans.q_html import LINKS_SQL, PAGE_BLACKLIST
+from crawlframe.plans.q_html import _SCORES, LINKS_SQL, PAGE_BLACKLIST, TITLE_WORDS, WORDS
+from crawlframe.plans.q_urls import part, s_any, s_ext, s_valid
 from crawlframe.plans.registry import query
 
 NOW = "2000-01-01 00:30:00"
@@ -465,3 +467,68 @@ def bfs_spider(spark, d):
 def bfs_gated(spark, d):
     ok = V.pages(spark, d).filter("page_id % 5 <> 1").select(F.col("page_id").alias("node"))
     return _numbered(G.expand_collector(V.edges_v(spark, d), _start(spark, d), 3, ok))
+
+
+# --- whole rounds --------------------------------------------------------------------------------
+
+
+def fetched_pages(spark, d):
+    """The pages as if just fetched; some with errors, other types or no text."""
+    k = F.col("page_id")
+    return V.pages(spark, d).select(
+        "page_id", "url", F.when(k % 10 == 3, "  x ").otherwise(F.col("html")).alias("html"),
+        F.when(k % 10 == 0, 404).otherwise(200).alias("status_code"),
+        F.when(k % 10 == 1, "timeout").alias("error_type"),
+        F.when(k % 10 == 2, "image/png").otherwise("text/html; charset=utf-8").alias("content_type"),
+    )
+
+
+# Gates in order; the word lists find every test page on topic but those without a listed word.
+_TOPIC = f"(SELECT page_id, matched >= 2 OR score >= 3 OR title_hits >= 1 AS spider, matched >= 3 OR score >= 5 OR title_hits >= 2 AS collector FROM ({_SCORES}) s)"
+_OUTCOME = """CASE WHEN page_id % 10 = 0 THEN 'HTTP 404' WHEN page_id % 10 = 1 THEN '请求超时 (30秒)'
+    WHEN page_id % 10 = 2 THEN '非HTML内容类型: image/png' WHEN page_id % 10 = 3 THEN 'HTML内容为空或过短'
+    WHEN NOT spider THEN '页面内容与目标主题不相关' END"""
+
+
+@query("spider_round", "", f"""
+    WITH t AS (SELECT page_id, url, {_OUTCOME} AS err FROM pages JOIN {_TOPIC} x USING (page_id)),
+    l AS ({LINKS_SQL}),
+    n AS (SELECT dst, min(page_id % 3 + 1) AS depth FROM l JOIN t USING (page_id) WHERE err IS NULL AND page_id % 3 < 2
+          AND dst NOT IN (SELECT url FROM pages) GROUP BY dst)
+    SELECT status, depth, error_message, count(*) AS n FROM (
+        SELECT CASE WHEN err IS NULL THEN 'success' ELSE 'failed' END AS status, CAST(page_id % 3 AS INT) AS depth, err AS error_message FROM t
+        UNION ALL SELECT 'pending', CAST(depth AS INT), NULL FROM n) u GROUP BY ALL""")
+def spider_round(spark, d):
+    p = V.pages(spark, d)
+    text, time = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
+    frontier = p.select(
+        "url", text.alias("source_url"), F.lit("crawling").alias("status"), (F.col("page_id") % 3).cast("int").alias("depth"),
+        text.alias("title"), text.alias("html_file_path"), _now().alias("created_time"), time.alias("crawled_time"),
+        text.alias("error_message"),
+    )
+    after = J.spider_round(fetched_pages(spark, d), frontier, _now(), 2, keywords=WORDS, title_words=TITLE_WORDS, blacklist=PAGE_BLACKLIST)
+    return after.groupBy("status", "depth", "error_message").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("collect_urls", "", f"""
+    WITH t AS (SELECT page_id, url, page_id % 10 > 3 AND collector AS ok,
+        CASE WHEN page_id % 10 = 0 THEN 'HTTP 404' WHEN page_id % 10 = 1 THEN 'Request Exception: '
+             WHEN page_id % 10 <> 2 THEN '页面内容与目标主题不相关' END AS err FROM pages JOIN {_TOPIC} x USING (page_id)
+        WHERE NOT {s_any('lower(url)', PAGE_BLACKLIST)}),
+    l AS ({LINKS_SQL}),
+    n AS (SELECT dst AS url, min(l.src) AS source_url FROM l JOIN t USING (page_id) WHERE ok AND page_id % 3 = 0
+          AND dst NOT IN (SELECT url FROM t WHERE page_id % 3 = 0) GROUP BY dst)
+    SELECT url, '' AS source_url, 0 AS depth, CASE WHEN ok THEN 'success' WHEN err IS NULL THEN 'pending' ELSE 'failed' END AS status,
+           CASE WHEN NOT ok THEN err END AS error_message FROM t WHERE page_id % 3 = 0
+    UNION ALL SELECT url, source_url, 1, 'pending', NULL FROM n""")
+def collect_urls(spark, d):
+    seeds = V.pages(spark, d).filter("page_id % 3 = 0").select("url")
+    got = J.collect_urls(fetched_pages(spark, d), seeds, 2, keywords=WORDS, title_words=TITLE_WORDS, blacklist=PAGE_BLACKLIST)
+    return got.withColumn("source_url", F.coalesce("source_url", F.lit("")))
+
+
+@query("url_filter", "url_variants", f"""
+    SELECT page_id, k, url FROM url_variants WHERE {s_valid('url')} AND NOT {s_ext('url', rules.DOCUMENT_EXTENSIONS)}
+        AND (ends_with(lower({part('url', 2)}), '.example.com') OR lower({part('url', 2)}) = 'example.com')""")
+def url_filter(spark, d):
+    return J.url_filter(V.url_variants(spark, d), domains=["example.com"])

@@ -43,13 +43,18 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_html_dir(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
-    """One row per file: name, text, size, modification time. Text is read as UTF-8."""
+    """One row per file: name, text, size, modification time.
+
+    Text is UTF-8; bytes that are not are left out. Files in other charsets go
+    through the `binaryFile` source and `decode_pages`.
+    """
+    repaired = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
     return (
         spark.read.option("pathGlobFilter", pattern)
         .text(path, wholetext=True)
         .select(
             F.col("_metadata.file_name").alias("file_name"),
-            F.col("value").alias("html"),
+            F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(repaired).alias("html"),
             F.col("_metadata.file_size").alias("size"),
             F.col("_metadata.file_modification_time").alias("modified"),
         )

@@ -159,3 +159,25 @@ def test_page_to_markdown_outcomes(spark):
     assert {k: r.outcome for k, r in got.items()} == {"good": "success", "short": "skipped", "blank": "failed", "old": "existing"}
     assert got["short"].reason.startswith("内容长度不足：1字符") and "HTML文件为空" in got["blank"].reason
     assert got["good"].clean_markdown.count("\n") == 19 and got["good"].quality > 40
+
+
+def test_collect_follows_only_good_pages(spark):
+    def page(url, text, links, status=200, ctype="text/html", err=None):
+        body = "".join(f'<a href="{x}">l</a>' for x in links)
+        return url, f"<title>{text}</title>{body}", status, err, ctype
+
+    topic = "地质 矿产 资源 安全"
+    rows = [
+        page("http://a.com/", topic, ["/1", "/2", "/3", "http://bad.com/"]),
+        page("http://a.com/1", topic, ["/4"]),
+        page("http://a.com/2", "美食", ["/5"]),
+        page("http://a.com/3", topic, ["/6"], status=500),
+        page("http://a.com/4", topic, ["/7", "/"]),
+        page("http://bad.com/", topic, ["/8"]),
+    ]
+    df = spark.createDataFrame(rows, "url string, html string, status_code int, error_type string, content_type string")
+    seeds = spark.createDataFrame([("http://a.com/",), ("http://bad.com/",), ("nonsense",)], "url string")
+    got = {r.url.replace("http://a.com/", "/"): (r.depth, r.status) for r in J.collect_urls(df, seeds, 1, blacklist=["bad.com"]).collect()}
+    assert got == {
+        "/": (0, "success"), "/1": (1, "success"), "/2": (1, "failed"), "/3": (1, "failed"), "/4": (2, "pending"),
+    }

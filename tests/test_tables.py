@@ -54,3 +54,8 @@ def test_html_folder(spark, tmp_path):
 def test_broadcast_is_bounded_in_rows_and_bytes(spark):
     df = spark.range(100).withColumn("s", F.repeat(F.lit("x"), 1000))
     assert fits_broadcast(df) and not fits_broadcast(df, max_rows=99) and not fits_broadcast(df, max_bytes=50_000)
+
+
+def test_bad_bytes_are_left_out(spark, tmp_path):
+    (tmp_path / "a.html").write_bytes(b"<p>a\xff\xfeb</p>")
+    assert IO.read_html_dir(spark, str(tmp_path)).first().html == "<p>ab</p>"
