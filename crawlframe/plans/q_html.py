@@ -87,6 +87,11 @@ def s_unescape(t: str) -> str:
     return t
 
 
+# The page with a semicolon after every entity that lacks one (twice, for adjacent ones).
+_ENTITY = "'&(amp|copy|middot|quot|lt|gt)([^a-zA-Z0-9;])', '&\\1;\\2', 'g'"
+_HTML = f"regexp_replace(regexp_replace(html, {_ENTITY}), {_ENTITY})"
+_TITLE_DOM = f"regexp_extract(substr({_HTML}, 1, 5000), '(?i)<title[^>]*>([^<]+)</title>', 1)"
+_H1_DOM = f"regexp_replace(regexp_extract({_HTML}, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"
 _HEAD_ONLY = "regexp_replace(regexp_replace({}, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"
 
 
@@ -95,18 +100,18 @@ def page_title(spark, d):
     return V.pages(spark, d).select("page_id", H.title_regex("html").alias("title"))
 
 
-@query("page_title_dom", "", f"SELECT page_id, {s_unescape(f'trim({_TITLE})')} AS title FROM pages")
+@query("page_title_dom", "", f"SELECT page_id, {s_unescape(f'trim({_TITLE_DOM})')} AS title FROM pages")
 def page_title_dom(spark, d):
     return parse_pages(V.pages(spark, d), ["title"]).select("page_id", "title")
 
 
-@query("page_text", "", f"SELECT page_id, lower({s_unescape(_HEAD_ONLY.format('html'))}) AS page_text FROM pages")
+@query("page_text", "", f"SELECT page_id, lower({s_unescape(_HEAD_ONLY.format(_HTML))}) AS page_text FROM pages")
 def page_text(spark, d):
     return parse_pages(V.pages(spark, d).select("page_id", "html"), ["page_text"])
 
 
 @query("heading_text", "", f"""
-    SELECT page_id, lower(concat({s_unescape("regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")}, ' ')) AS heading_text FROM pages""")
+    SELECT page_id, lower(concat({s_unescape(_H1_DOM)}, ' ')) AS heading_text FROM pages""")
 def heading_text(spark, d):
     return parse_pages(V.pages(spark, d).select("page_id", "html"), ["heading_text"])
 
@@ -125,14 +130,14 @@ def meta_text(spark, d):
 
 
 @query("main_content", "", f"""
-    SELECT page_id, md5({s_unescape("regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1), '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')")}) AS text_md5 FROM pages""")
+    SELECT page_id, md5({s_unescape(_HEAD_ONLY.format(f"regexp_extract({_HTML}, '(?s)<article[^>]*>(.*)</article>', 1)"))}) AS text_md5 FROM pages""")
 def main_content(spark, d):
     return parse_pages(V.pages(spark, d).select("page_id", "html"), ["main_text"]).select(
         "page_id", F.md5("main_text").alias("text_md5")
     )
 
 
-_ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
+_ARTICLE = f"regexp_extract({_HTML}, '(?s)<article>(.*)</article>', 1)"
 
 
 def s_count(text: str, piece: str) -> str:
@@ -141,7 +146,7 @@ def s_count(text: str, piece: str) -> str:
 
 # On the test pages every unclosed <b> sits in an unclosed <p>; both end with the article.
 @query("clean_html", "", f"""
-    SELECT page_id, concat('<article>', replace(replace({_ARTICLE}, '<br>', '<br/>'), '&quot;', '"'),
+    SELECT page_id, concat('<article>', replace(replace(replace(replace(replace({_ARTICLE}, '<br>', '<br/>'), '&quot;', '"'), '&amp;', chr(1)), '&', '&amp;'), chr(1), '&amp;'),
         repeat('</b></p>', {s_count(_ARTICLE, '<b>')} - {s_count(_ARTICLE, '</b>')}), '</article>') AS clean_html FROM pages""")
 def clean_html(spark, d):
     return parse_pages(V.pages(spark, d).select("page_id", "html"), ["clean_html"])
@@ -228,8 +233,8 @@ def relevant_pages(spark, d):
 
 
 @query("relevance_presets", "", f"""
-    WITH t AS (SELECT page_id, url, lower({s_unescape(f'({_TITLE})')}) AS title_text, lower({s_unescape(_HEAD_ONLY.format('html'))}) AS page_text,
-        lower(concat({s_unescape("regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")}, ' ')) AS heading_text FROM pages),
+    WITH t AS (SELECT page_id, url, lower({s_unescape(_TITLE_DOM)}) AS title_text, lower({s_unescape(_HEAD_ONLY.format(_HTML))}) AS page_text,
+        lower(concat({s_unescape(_H1_DOM)}, ' ')) AS heading_text FROM pages),
     h AS (SELECT page_id, count(*) AS matched, sum(5 * {_n('title_text', 'w')} + 2 * {_n('heading_text', 'w')} + {_n('page_text', 'w')}) AS score
           FROM t JOIN (SELECT unnest([{', '.join(lit(w) for w in rules.COLLECTOR_KEYWORDS)}]) AS w) k
           ON contains(concat(repeat(title_text, 5), repeat(heading_text, 2), page_text), w) GROUP BY page_id)

@@ -102,7 +102,8 @@ def gather_random(spark, d):
 def html_folder(spark, d):
     """One file per page, as a crawler leaves them."""
     path = scratch(spark, "html")
-    V.pages(spark, d).select(F.col("html").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    spread = V.pages(spark, d).repartition(32, "page_id")  # many writers for many small files
+    spread.select(F.col("html").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 

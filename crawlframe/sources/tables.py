@@ -100,7 +100,7 @@ def verify_snapshot(spark: SparkSession, root: str, name: str, content: str = "h
         (F.col("actual_rows") == want["rows"]) & (F.col("actual_bytes") == want["raw_bytes"])
         & (F.col("actual_checksum") == want["checksum"])
     )
-    return actual.select("name", F.lit(want["rows"]).alias("rows"), "actual_rows", same.alias("ok"))
+    return actual.select("name", F.lit(want["rows"]).cast("long").alias("rows"), "actual_rows", same.alias("ok"))
 
 
 def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
