@@ -90,9 +90,14 @@ class Page(HTMLParser):
     def handle_charref(self, name):
         try:
             code = int(name[1:], 16) if name[0] in "xX" else int(name)
-            self._buf.append(chr(code))
+            # Numbers below 256 are meant as Windows-1252 on real pages.
+            self._buf.append(bytes([code]).decode("cp1252", "ignore") or chr(code) if code < 256 else chr(code))
         except (ValueError, OverflowError):
-            self._buf.append("�")
+            self._buf.append("\ufffd")
+
+    def unknown_decl(self, data):
+        if data.startswith("CDATA["):
+            self._buf.append(data[6:])
 
     def _note(self, text):
         self._flush()

@@ -12,7 +12,7 @@ from crawlframe.plans.registry import query
 from crawlframe.session import scratch
 from crawlframe.streaming import jobs as S
 
-_FILES = 4
+_FILES = 2
 
 
 def event_files(spark, d):

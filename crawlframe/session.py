@@ -30,6 +30,7 @@ def build_session(app: str = "crawlframe", master: str | None = None, **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }

@@ -47,6 +47,7 @@ def test_unclosed_tags_and_entities():
         "<article><p>a<b>b<p>c &lt; ©</p></b></p></article>"
     )
     assert Page("<p>" * 5000 + "deep").text() == "deep"
+    assert Page("a&#146;b&#x77ff;&#233; &nosuch; &#xffffffff;").text() == "a’b矿é".replace("矿", "\u77ff") + " &nosuch \ufffd"
 
 
 @pytest.mark.parametrize(
