@@ -79,6 +79,21 @@ def page_view(df: DataFrame) -> DataFrame:
     )
 
 
+def mark_files(view: DataFrame, files: DataFrame, name: str = "file_name") -> DataFrame:
+    """A page list with `file_exists`; the list is short (its limit is checked).
+
+    The listing is cut down to the shown names by a broadcast of those names,
+    so a long listing is scanned once and never shuffled.
+    """
+    shown = F.broadcast(view.select(F.col("html_file").alias(name)).distinct())
+    present = files.select(name).join(shown, name, "left_semi").distinct()
+    return (
+        view.join(F.broadcast(present.select(F.col(name).alias("_file"))), F.col("html_file") == F.col("_file"), "left")
+        .withColumn("file_exists", F.col("_file").isNotNull())
+        .drop("_file")
+    )
+
+
 def recent_pages(frontier: DataFrame, n: int = 20) -> DataFrame:
     return page_view(_by_time(frontier, "success", "crawled_time", check_limit("pages", n)))
 

@@ -335,6 +335,12 @@ def recent_pages(spark, d):
     return T.recent_pages(V.urls_v(spark, d))
 
 
+@query("recent_with_files", "urls_v", f"""WITH {_FILES}, v AS ({_s_page("status = 'success'", 100)})
+    SELECT v.*, coalesce(html_file IN (SELECT file_name FROM files), false) AS file_exists FROM v""")
+def recent_with_files(spark, d):
+    return T.mark_files(T.recent_pages(V.urls_v(spark, d), 100), stored_files(spark, d))
+
+
 @query("recent_failed", "urls_v", f"""
     SELECT url, '失败页面' AS title, coalesce(error_message, '未知错误') AS error, {s_iso('crawled_time')} AS crawled_time, status, false AS file_exists
     FROM urls_v WHERE status = 'failed' ORDER BY urls_v.crawled_time DESC NULLS FIRST, url LIMIT 10""")

@@ -172,10 +172,11 @@ def write_markdown(batch: DataFrame, path: str) -> None:
     )
 
 
-def rejects(batch: DataFrame) -> DataFrame:
-    """Failed and low-quality pages with the reason, the two kept apart by `outcome`."""
+def rejects(batch: DataFrame, at: Column | None = None) -> DataFrame:
+    """Failed and low-quality pages with reason and time, kept apart by `outcome`."""
     return batch.filter(F.col("outcome").isin("failed", "skipped")).select(
-        "md_name", "outcome", "reason"
+        "md_name", "outcome", "reason",
+        (F.current_timestamp() if at is None else at).alias("rejected_at"),
     )
 
 

@@ -182,3 +182,23 @@ def test_collect_follows_only_good_pages(spark):
     assert got == {
         "/": (0, "success"), "/1": (1, "success"), "/2": (1, "failed"), "/3": (1, "failed"), "/4": (2, "pending"),
     }
+
+
+def test_second_run_finds_its_output(spark):
+    """What a run wrote is `existing` for the next; rejected pages are tried again."""
+    from crawlframe.session import scratch
+    from crawlframe.sources import files as IO
+
+    body = "".join(f"<p>矿产资源管理，地质勘探工作第{i}段，内容充实。more words here to read {i}</p>" for i in range(20))
+    rows = [(f"http://h.com/{i}", f"<article>{body}</article>") for i in range(5)] + [("http://h.com/short", "<p>x</p>")]
+    df = spark.createDataFrame(rows, "url string, html string")
+    path = scratch(spark, "corpus")
+    IO.write_markdown(J.pages_to_markdown(df, df.select(F.lit("").alias("md_name")).limit(0)), path)
+    again = J.pages_to_markdown(df, spark.read.parquet(path))
+    assert {r.outcome: r["count"] for r in again.groupBy("outcome").count().collect()} == {"existing": 5, "skipped": 1}
+    IO.write_markdown(again, path)
+    assert spark.read.parquet(path).count() == 5
+    bad = IO.rejects(again).collect()
+    assert [r.outcome for r in bad] == ["skipped"] and bad[0].rejected_at is not None
+    forced = J.pages_to_markdown(df, spark.read.parquet(path), force=True).filter("outcome = 'success'")
+    assert all(r.md_name.endswith("_1.md") for r in forced.collect())
