@@ -36,7 +36,7 @@ def substring_matches(
     if fits_broadcast(words, inline_rules):
         listed = [r[0] for r in words.collect()]  # at most `inline_rules` short strings
         if not listed:
-            return base.select(key, F.lit("").alias(rule)).limit(0)
+            return base.select(key, F.lit("").alias(rule)).filter(F.lit(False))
         hits = F.filter(F.array(*map(F.lit, sorted(listed))), lambda w: F.contains("_text", w))
         return base.select(key, F.explode(hits).alias(rule))
     lengths = [r[0] for r in words.select(F.length("_rule")).distinct().collect()]

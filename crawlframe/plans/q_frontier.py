@@ -127,7 +127,7 @@ def already_crawled(spark, d):
 
 def updates(spark, d):
     """Marks drawn from line items; some orders have none, some have many."""
-    li = V.table(spark, d, "lineitem").filter("l_orderkey % 2 = 0")
+    li = V.table(spark, d, "lineitem")
     o = V.table(spark, d, "orders").select("o_orderkey", "o_custkey")
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     op = F.when((k + n) % 3 == 0, "crawling").when((k + n) % 3 == 1, "success").otherwise("failed")
@@ -146,7 +146,7 @@ _UPD = """u AS (SELECT concat('https://c', o_custkey, '.example.com/o/', l_order
         CASE WHEN l_linenumber % 2 = 0 THEN concat('new title ', l_linenumber) END AS title,
         CASE WHEN l_linenumber % 2 = 0 THEN 'webpages/new.html' END AS path, concat('HTTP 50', l_linenumber) AS err,
         CAST(l_shipdate AS TIMESTAMP) AS ts
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 2 = 0)"""
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 @query("apply_updates", "urls_v", f"""WITH {_UPD},

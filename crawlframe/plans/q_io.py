@@ -54,8 +54,7 @@ def seeds(spark, d):
 @query("seeds_validated", "url_variants", f"""
     SELECT url FROM ({_SEEDS}) s WHERE {s_valid('url')} AND NOT {s_any('lower(url)', PAGE_BLACKLIST)}""")
 def seeds_validated(spark, d):
-    one = V.pages(spark, d).limit(1)
-    rules = one.select(F.explode(F.array(*[F.lit(r) for r in PAGE_BLACKLIST])).alias("rule"))
+    rules = spark.createDataFrame([(r,) for r in PAGE_BLACKLIST], "rule string")
     return IO.read_seeds(spark, seed_file(spark, d), validate=True, rules=rules)
 
 
@@ -180,7 +179,7 @@ def md_force(spark, d):
 @query("md_write")
 def md_write(spark, d):
     p = V.pages(spark, d)
-    none = p.select(F.lit("").alias("md_name")).limit(0)
+    none = spark.createDataFrame([], "md_name string")
     path = scratch(spark, "corpus")
     IO.write_markdown(J.pages_to_markdown(p, none), path)
     stored = spark.read.parquet(path)

@@ -348,7 +348,7 @@ def _rule_table(spark, d):
     """The page blacklist and rules drawn from customer names."""
     c = V.table(spark, d, "customer")
     drawn = c.select(F.concat(F.lit("/"), F.lower(F.substr("c_name", F.length("c_name") - 2, F.lit(3)))).alias("rule"))
-    fixed = c.limit(1).select(F.explode(F.array(*[F.lit(x) for x in PAGE_BLACKLIST])).alias("rule"))
+    fixed = spark.createDataFrame([(x,) for x in PAGE_BLACKLIST], "rule string")
     return drawn.unionByName(fixed).distinct()
 
 
