@@ -141,7 +141,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     harmless = lambda c: F.exists(
         F.array(*[c.rlike(a) for a in ALLOW]), lambda x: x)
     out = out.select(*cols(keep), "__m_entropy", F.array_sort(F.concat(*base)).alias("base_spans"), _placed(
-        "__m_entropy", "_p_entropy", lambda i: F.lit(True), len(KINDS), "entropy").alias("__placed"))
+        "__m_entropy", "__p_entropy", lambda i: F.lit(True), len(KINDS), "entropy").alias("__placed"))
     raw = F.transform(F.filter(
         F.arrays_zip(F.col("__m_entropy").alias("c"), F.col("__placed").alias("p")),
         lambda z: ~harmless(z["c"]) & ~F.exists(
