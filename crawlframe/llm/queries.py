@@ -1,4 +1,4 @@
 """Imports every module that registers a query of this subpackage."""
 
-from crawlframe.llm import kd_shards, line_rules, mixing, packing, ppm, secret_scan, simhash, toxicity  # noqa: F401
+from crawlframe.llm import kd_shards, line_rules, mixing, packing, ppm, secret_scan, simhash, suffix_dedup, toxicity  # noqa: F401
 from crawlframe.llm.common import CHECKS, QUERIES  # noqa: F401
