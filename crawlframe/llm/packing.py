@@ -18,6 +18,7 @@ those as long fill a sequence; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,7 @@ class WordTokens:
 
     def __init__(self, path: str, words: int = 200_000, parts: int = 120_000):
         import os
+        import re
 
         import regex
         from tokenizers import Tokenizer
@@ -63,6 +65,8 @@ class WordTokens:
         self.bytes = {ord(c): "".join(p for p, _ in level.pre_tokenize_str(c)) for c in inner}
         # The split pattern of the tokenizer file.
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        # Words that the table does not cover: controls, blanks, special marks, other scripts.
+        self.odd = re.compile(f"[\x00-\x20\x7f-\xa0]|<\\||[^\x00-{chr(self.SIMPLE - 1)}]").search
         self.sizes = (words, parts)
         self.words: tuple[dict, dict] = ({}, {})
         self.parts: tuple[dict, dict] = ({}, {})
@@ -71,7 +75,7 @@ class WordTokens:
         new, old = self.parts
         ids = old.get(part)
         if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize(part.translate(self.bytes))], "<u4").tobytes()
+            ids = array("I", [t.id for t in self.model.tokenize(part.translate(self.bytes))]).tobytes()
         if len(new) >= self.sizes[1]:
             self.parts = ({}, new)
             new = self.parts[0]
@@ -83,14 +87,13 @@ class WordTokens:
         ids = old.get(word)
         if ids is None:
             text = word.decode("utf-8", "replace")
-            if text.isascii() or max(map(ord, text)) < self.SIMPLE:
-                simple = "<|" not in text and "\x00" not in text and not any(
-                    c.isspace() for c in text)
-            else:
-                simple = False
-            if simple:
-                seen = self.parts[0]
-                ids = b"".join([seen.get(p) or self._part(p) for p in self.split(text.translate(self.norm))])
+            if not self.odd(text):
+                text = text.translate(self.norm)
+                get = self.parts[0].get
+                if text.isalpha():
+                    ids = get(text) or self._part(text)
+                else:
+                    ids = b"".join([get(p) or self._part(p) for p in self.split(text)])
             else:
                 ids = np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(new) >= self.sizes[0]:
@@ -101,11 +104,8 @@ class WordTokens:
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text."""
-        out = []
-        for w in text.split():
-            ids = self.words[0].get(w)
-            out.append(self._word(w) if ids is None else ids)
-        return b"".join(out)
+        get, miss = self.words[0].get, self._word
+        return b"".join([get(w) or miss(w) for w in text.split()])
 
 
 _loaded: dict[str, WordTokens] = {}
