@@ -34,6 +34,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=False)
         self.kind, self.data, self.attrs, self.end = [], [], [], []
         self._open, self._hidden, self._pre, self._buf = [], 0, 0, []
+        self._names = {}
         self.feed(html)
         self.close()
         self._flush()
@@ -62,6 +63,7 @@ class Page(HTMLParser):
     def _pop(self):
         i = self._open.pop()
         self.end[i] = len(self.kind)
+        self._names[self.data[i]] -= 1
         self._hidden -= self.data[i] in HIDDEN
         self._pre -= self.data[i] in ("pre", "textarea")
         return self.data[i]
@@ -72,12 +74,13 @@ class Page(HTMLParser):
         self._add("e", tag, {k: v or "" for k, v in attrs})
         if tag not in VOID:
             self._open.append(i)
+            self._names[tag] = self._names.get(tag, 0) + 1
             self._hidden += tag in HIDDEN
             self._pre += tag in ("pre", "textarea")
 
     def handle_endtag(self, tag):
         self._flush()
-        if any(self.data[i] == tag for i in reversed(self._open)):
+        if self._names.get(tag):  # open tags by name, so that a stray end tag costs nothing
             while self._pop() != tag:
                 pass
 

@@ -14,9 +14,9 @@ from crawlframe.functions.text import as_col, contains_any, let, strip
 _HREF = r"(?is)<(?:a|iframe)\s(?:[^>]*\s)?(?:href|src)\s*=\s*\"([^\"]*)\""
 
 
-def title_regex(html: Column | str) -> Column:
-    """Title found in the first 5000 characters, else the default text."""
-    head = F.substring(as_col(html), 1, 5000)
+def title_regex(html: Column | str, head: int | None = None) -> Column:
+    """Title found in the page, or in its first `head` characters (file lists read 5,000), else the default text."""
+    head = as_col(html) if head is None else F.substring(as_col(html), 1, head)
     found = F.regexp_extract(head, r"(?i)<title[^>]*>([^<]+)</title>", 1)
     return F.when(found == "", rules.NO_TITLE).otherwise(strip(found))
 
@@ -24,8 +24,8 @@ def title_regex(html: Column | str) -> Column:
 def raw_hrefs(html: Column | str) -> Column:
     """Double-quoted `href` of anchors and `src` of iframes, in page order.
 
-    The DOM parser is the complete form; this one reads well-formed pages
-    without leaving the JVM.
+    Not complete: it misses other quotes and keeps references as written. The
+    operators read the parsed page; this is for pages known to be well formed.
     """
     return F.regexp_extract_all(as_col(html), F.lit(_HREF), 1)
 

@@ -112,7 +112,12 @@ def normalize_url(url: Column | str) -> Column:
 
 
 def is_valid_url(url: Column | str) -> Column:
-    return let(parts(url), lambda p: scheme(p).isin("http", "https") & (p[1] != ""))
+    return let(parts(url), lambda p: scheme(p).isin("http", "https") & (p[1] != "") & _paired(p[1]))
+
+
+def _paired(host: Column) -> Column:
+    """Brackets in a host come as a pair; a URL with one alone cannot be parsed."""
+    return host.contains("[") == host.contains("]")
 
 
 def has_http_prefix(url: Column | str) -> Column:
@@ -164,8 +169,8 @@ def url_hint(url: Column | str, preset: str = "spider") -> Column:
 
 
 def should_crawl(url: Column | str, blacklist: list[str] | None = None) -> Column:
-    """Not blacklisted, not a static file, not an API or download address."""
-    ok = ~is_static_file(url) & ~is_api_or_download(url)
+    """Not blacklisted, not a static file, not an API or download address, and parsable."""
+    ok = ~is_static_file(url) & ~is_api_or_download(url) & _paired(F.coalesce(authority(url), F.lit("")))
     if blacklist:
         ok = ~is_blacklisted(url, blacklist) & ok
     return F.coalesce(ok, F.lit(False))
@@ -178,7 +183,8 @@ def is_crawlable_absolute(url: Column, blacklist: list[str] | None = None) -> Co
         r"^https?://[^/?#]+/(?:[^?#]*/)?[^/?#;]*\.(?:"
         + "|".join(rules.STATIC_EXTENSIONS) + r")(?:;[^/?#]*)?(?:\?.*)?$"
     )
-    ok = url.rlike(r"^https?://[^/?#]") & ~low.rlike(static) & ~contains_any(low, rules.API_PATTERNS)
+    lone = r"^https?://(?:[^/?#\[]*\]|[^/?#\]]*\[[^/?#\]]*(?:[/?#]|$))"
+    ok = url.rlike(r"^https?://[^/?#]") & ~url.rlike(lone) & ~low.rlike(static) & ~contains_any(low, rules.API_PATTERNS)
     return ok & ~contains_any(low, blacklist) if blacklist else ok
 
 

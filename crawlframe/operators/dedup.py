@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions import urls as U
 from crawlframe.operators.ranking import salted_rank
-from crawlframe.session import cut_lineage, maybe_broadcast
+from crawlframe.session import cut_lineage
 
 
 def distinct_seeds(seeds: DataFrame, url: str = "url", pos: str = "pos") -> DataFrame:
@@ -42,11 +42,18 @@ def content_dedup(pages: DataFrame, content: str = "html") -> DataFrame:
 
 
 def keep_first_content(pages: DataFrame, content: str = "html") -> DataFrame:
-    """The pages whose URL is the smallest of their content."""
-    keep = content_dedup(pages, content).select("url", "content_hash")
-    return pages.withColumn("content_hash", F.sha2(content, 256)).join(
-        keep, ["url", "content_hash"], "left_semi"
-    )
+    """One page per content, that of the smallest URL; rows that are repeated stay once.
+
+    The choice is made on hashes and URLs; only rows repeated with URL and
+    content are regrouped with their text.
+    """
+    hashed = pages.withColumn("content_hash", F.sha2(content, 256))
+    rows = hashed.groupBy("content_hash", "url").agg(F.count(F.lit(1)).alias("n"))
+    keep = rows.groupBy("content_hash").agg(F.min(F.struct("url", "n")).alias("k")).select(
+        "k.url", "content_hash", "k.n")
+    once = hashed.join(keep.filter("n = 1").drop("n"), ["url", "content_hash"], "left_semi")
+    again = hashed.join(keep.filter("n > 1").drop("n"), ["url", "content_hash"], "left_semi")
+    return once.unionByName(again.dropDuplicates(["url", "content_hash"]))
 
 
 def site_filenames(df: DataFrame, url: str = "url", rendered: str | None = None) -> DataFrame:
@@ -64,7 +71,7 @@ def site_filenames(df: DataFrame, url: str = "url", rendered: str | None = None)
         )
         if clashes.isEmpty():
             return named.withColumn("file_name", F.concat("_stem", F.lit(".html"))).drop("_stem")
-        few = maybe_broadcast(clashes)
+        few = clashes
         ranked = salted_rank(named.join(few, "_stem", "left_semi"), ["_stem"], url, "_rank")
         suffixed = ranked.withColumn(
             "_stem",

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlframe.session import cut_lineage, maybe_broadcast
-
 FRONTIER_COLUMNS = [
     "url", "source_url", "status", "depth", "title", "html_file_path",
     "created_time", "crawled_time", "error_message",
@@ -123,8 +121,8 @@ def apply_updates(frontier: DataFrame, updates: DataFrame) -> DataFrame:
         _last(F.col("op") == "failed", "error_message").alias("bad"),
         _last(F.col("op").isin("success", "failed"), "ts").alias("done"),
     )
-    # Few updates (measured) are broadcast, and the frontier is not shuffled.
-    j = frontier.join(maybe_broadcast(cut_lineage(u)), F.col("url") == F.col("u_url"), "left")
+    # AQE broadcasts the folded updates if their real size allows it.
+    j = frontier.join(u, F.col("url") == F.col("u_url"), "left")
 
     def pick(state: str, field: str, old: str) -> Column:
         return F.when(F.col(state).isNotNull(), F.col(f"{state}.{field}")).otherwise(F.col(old))

@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlframe.functions import html as H
-from crawlframe.session import cut_lineage, maybe_broadcast
+from crawlframe.operators.parse import parse_pages
+from crawlframe.session import cut_lineage
 
 
 def page_links(
     pages: DataFrame, hrefs: Column | None = None, blacklist: list[str] | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """One row per page and distinct crawlable link (`src`, `dst`, kept columns)."""
-    refs = hrefs if hrefs is not None else H.raw_hrefs("html")
-    links = H.resolve_links("url", refs, blacklist)
+    """One row per page and distinct crawlable link (`src`, `dst`, kept columns).
+
+    References come from the parsed page; give `hrefs` where it is parsed already.
+    """
+    if hrefs is None:
+        pages = parse_pages(pages.select(*dict.fromkeys(["url", "html", *(keep or [])])), ["hrefs"])
+        hrefs = F.col("hrefs")
+    links = H.resolve_links("url", hrefs, blacklist)
     return pages.select(
         *(keep or []), F.col("url").alias("src"), F.explode(links).alias("dst")
     )
@@ -31,8 +37,10 @@ def link_edges(pages: DataFrame, frontier: DataFrame, max_depth: int | None = No
     known = frontier.select("url", "depth")
     if max_depth is not None:
         known = known.filter(F.col("depth") < max_depth)
-    refs = hrefs if hrefs is not None else H.raw_hrefs("html")
-    links = pages.select("url", H.resolve_links("url", refs, blacklist).alias("links"))
+    if hrefs is None:
+        pages = parse_pages(pages.select("url", "html"), ["hrefs"])
+        hrefs = F.col("hrefs")
+    links = pages.select("url", H.resolve_links("url", hrefs, blacklist).alias("links"))
     return links.join(known, "url").select(
         F.col("url").alias("src"), F.explode("links").alias("dst"),
         (F.col("depth") + 1).alias("depth"),
@@ -49,8 +57,8 @@ def expand(
     links are followed; the gate is applied to the edges once, before the loop.
 
     Edges are written once and each level is written before the next: a lost
-    executor re-reads files. A small level is broadcast, so the edges are only
-    scanned; a larger one is joined by a shuffle, which AQE splits on hot nodes.
+    executor re-reads files. Whether a level is broadcast or shuffled is decided
+    from its written size; AQE splits hot nodes.
     """
     if expandable is not None:
         gate = expandable.select(F.col("node").alias("src")).distinct()
@@ -65,7 +73,7 @@ def expand(
     seen = level
     for depth in range(1, levels + 1):
         found = (
-            edges.join(maybe_broadcast(level.select(F.col("node").alias("src"))), "src")
+            edges.join(level.select(F.col("node").alias("src")), "src")
             .groupBy(F.col("dst").alias("node"))
             .agg(F.min("src").alias("source"))
         )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions import urls as U
 from crawlframe.functions.text import basename
-from crawlframe.session import cut_lineage, fits_broadcast, maybe_broadcast
+from crawlframe.session import fits_broadcast
 
 # Rule lists up to this length are matched against each text in place.
 INLINE_RULES = 2_000
@@ -76,11 +76,10 @@ def in_allowed_domains(df: DataFrame, url: str, domains: DataFrame, domain: str
     listed = domains.select(F.lower(domain).alias("_suffix")).distinct()
     ok = (
         hosts.select("_host", F.explode(host_suffixes(F.col("_host"))).alias("_suffix"))
-        .join(maybe_broadcast(listed), "_suffix", "left_semi")
+        .join(listed, "_suffix", "left_semi")
         .select("_host").distinct()
     )
-    ok = cut_lineage(ok)  # one row per host, read once to measure and once to join
-    return df.withColumn("_host", host).join(maybe_broadcast(ok), "_host", "left_semi").drop("_host")
+    return df.withColumn("_host", host).join(ok, "_host", "left_semi").drop("_host")
 
 
 def files_with_url(files: DataFrame, frontier: DataFrame, name: str = "file_name") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crawlframe import rules
 from crawlframe.functions.dom import HEADINGS, Page
@@ -73,37 +74,40 @@ def parse_pages(
     Select only the columns needed before the call: Spark cannot prune through
     a Python stage. Rows stay in their partitions; nothing is shuffled.
     """
-    carried = [f for f in df.schema.fields if keep_html or f.name != html]
+    at = df.columns.index(html)
+    carried = [i for i, f in enumerate(df.schema.fields) if keep_html or i != at]
     want = set(features)
-    names = [f.name for f in carried]
-    ddl = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in carried]
-        + [f"`{n}` {FEATURES[n]}" for n in features]
-    )
+    schema = T.StructType([df.schema.fields[i] for i in carried] + [
+        T.StructField(n, T.ArrayType(T.StringType()) if n == "hrefs" else T.StringType()) for n in features])
 
     def run(batches):
-        for pdf in batches:
-            got = [_page_features(h, want, bullet) for h in pdf[html]]
-            out = pdf[names].copy()
-            for n in features:
-                out[n] = pd.Series([g[n] for g in got], index=pdf.index, dtype=object)
-            yield out
+        for b in batches:
+            got = [_page_features(h, want, bullet) for h in b.column(at).to_pylist()]
+            made = [
+                pa.array([g[n] for g in got], pa.list_(pa.string()) if n == "hrefs" else pa.string())
+                for n in features]
+            # Carried columns stay the Arrow arrays they are.
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in carried] + made, names=schema.names)
 
     ship_package(df.sparkSession)
-    return df.mapInPandas(run, ddl)
+    return df.mapInArrow(run, schema)
 
 
 def decode_pages(
     df: DataFrame, body: str = "body", content_type: str = "content_type",
-    original: str = "original_charset",
+    original: str = "original_charset", sample: int | None = 1000,
 ) -> DataFrame:
-    """Decode raw bytes: the first candidate charset whose first 1000 characters
-    hold more than ten Chinese ones, else the response's own charset."""
-    carried = [f for f in df.schema.fields if f.name != body]
-    names = [f.name for f in carried]
-    ddl = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in carried] + ["html string", "charset string"]
-    )
+    """Decode raw bytes: the first candidate charset whose first `sample` characters
+    hold more than ten Chinese ones, else the response's own charset.
+
+    The sample is only for the choice (None: the whole text); all bytes are decoded.
+    """
+    with_header = df.withColumn("_header", F.coalesce(header_charset(content_type), F.lit("")))
+    names = with_header.columns
+    at, own_at, header_at = names.index(body), names.index(original), names.index("_header")
+    carried = [i for i, n in enumerate(names) if n not in (body, "_header")]
+    schema = T.StructType([with_header.schema.fields[i] for i in carried] + [
+        T.StructField("html", T.StringType()), T.StructField("charset", T.StringType())])
 
     def decode(raw, name):
         try:
@@ -114,21 +118,19 @@ def decode_pages(
     def choose(raw, header, own):
         for name in ([header] if header else []) + rules.CHARSET_CANDIDATES:
             text = decode(raw, name)
-            if sum("一" <= ch <= "鿿" for ch in text[:1000]) > 10:
+            if sum("一" <= ch <= "鿿" for ch in text[:sample]) > 10:
                 return text, name
         return decode(raw, own), own
 
     def run(batches):
-        for pdf in batches:
+        for b in batches:
             pairs = [
-                choose(bytes(r), h, o) if r is not None else (None, None)
-                for r, h, o in zip(pdf[body], pdf["_header"], pdf[original])
+                choose(r, h, o) if r is not None else (None, None)
+                for r, h, o in zip(*(b.column(i).to_pylist() for i in (at, header_at, own_at)))
             ]
-            out = pdf[names].copy()
-            out["html"] = pd.Series([p[0] for p in pairs], index=pdf.index, dtype=object)
-            out["charset"] = pd.Series([p[1] for p in pairs], index=pdf.index, dtype=object)
-            yield out
+            yield pa.RecordBatch.from_arrays(
+                [b.column(i) for i in carried]
+                + [pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=schema.names)
 
     ship_package(df.sparkSession)
-    with_header = df.withColumn("_header", F.coalesce(header_charset(content_type), F.lit("")))
-    return with_header.mapInPandas(run, ddl)
+    return with_header.mapInArrow(run, schema)

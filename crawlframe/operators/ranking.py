@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from crawlframe.session import cut_lineage
+
 
 def _with_offsets(df: DataFrame, group: list[str], piece: str, out: str, order: list[Column]) -> DataFrame:
     inside = W.partitionBy(*group, piece).orderBy(*order)
@@ -37,7 +39,8 @@ def salted_rank(
 ) -> DataFrame:
     """1-based rank in each group, ordered by (hash prefix of `key`, `key`).
 
-    The order is arbitrary but fixed; `16 ** digits` pieces share a group.
+    The order is arbitrary but fixed; `16 ** digits` pieces share a group, so a
+    piece's size grows with the group: give more digits for larger ones.
     """
     piece = df.withColumn("_piece", F.substring(F.md5(F.col(key).cast("string")), 1, digits))
     return _with_offsets(piece, group, "_piece", out, [F.col(key)]).drop("_piece")
@@ -48,7 +51,11 @@ def running_index(
 ) -> DataFrame:
     """1-based position in each group along a unique integer `seq`.
 
-    Pieces are ranges of `width` sequence numbers, hence at most that long.
+    Rows are range-partitioned by group and number into pieces of about `width`
+    rows, however far apart the numbers lie. The pieces are written once: their
+    bounds come from a sample, so ranks and sizes must see the same ones.
     """
-    piece = df.withColumn("_piece", F.floor(F.col(seq) / width))
+    pieces = max(1, -(-df.count() // width))
+    ranged = df.repartitionByRange(pieces, *[F.col(g) for g in group], F.col(seq))
+    piece = cut_lineage(ranged.withColumn("_piece", F.spark_partition_id()))
     return _with_offsets(piece, group, "_piece", out, [F.col(seq)]).drop("_piece")

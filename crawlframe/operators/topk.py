@@ -8,6 +8,7 @@ settles ties.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crawlframe import rules
@@ -17,6 +18,7 @@ LIMITS = {"pages": (1, 100), "failed": (1, 50), "search": (1, 100), "files": (1,
 
 
 def check_limit(kind: str, n: int) -> int:
+    """`n`, if it lies in the bounds of the web lists; for callers that want those bounds."""
     low, high = LIMITS[kind]
     if not low <= n <= high:
         raise ValueError(f"limit for {kind} must lie in {low}..{high}, got {n}")
@@ -46,8 +48,9 @@ def random_pending(frontier: DataFrame, seed: int = 0) -> DataFrame:
 def random_batch(frontier: DataFrame, n: int, seed: int = 0, replace: bool = False) -> DataFrame:
     """`n` random pending rows; with `replace`, `n` independent picks that may repeat.
 
-    A pick with replacement is the least hash under its own seed: `n` minima in
-    one pass, reduced on the map side to `n` rows per task.
+    With replacement, `n` ranks are drawn among the pending rows, whose order is
+    that of a hash. Rows are counted per hash piece, and only pieces that a draw
+    falls into are ranked.
     """
     if not replace:
         return (
@@ -55,11 +58,23 @@ def random_batch(frontier: DataFrame, n: int, seed: int = 0, replace: bool = Fal
             .select("url", "source_url", "depth")
         )
     pending = frontier.filter(F.col("status") == "pending").select("url", "source_url", "depth")
-    draws = pending.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    h = F.md5(F.concat(F.col("url"), F.lit(f"#{seed}#"), F.col("draw").cast("string")))
-    return draws.groupBy("draw").agg(
-        F.min(F.struct(h.alias("h"), "url", "source_url", "depth")).alias("p")
-    ).select("draw", "p.url", "p.source_url", "p.depth")
+    total = pending.count()
+    digits = 1
+    while total > 20_000 * 16**digits:
+        digits += 1
+    hashed = pending.withColumn("_h", F.md5("url"))
+    piece = F.substring("_h", 1, digits)
+    sizes = hashed.groupBy(piece.alias("_piece")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(W.orderBy("_piece"))  # at most 16 ** digits rows
+    bounds = sizes.select("_piece", (upto - F.col("_n")).alias("_from"), upto.alias("_to"))
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}#"), F.col("id").cast("string"))), 1, 15), 16, 10)
+    drawn = frontier.sparkSession.range(n).select(
+        F.col("id").cast("int").alias("draw"), F.pmod(number.cast("bigint"), F.lit(max(total, 1))).alias("_at"))
+    drawn = drawn.join(bounds, (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))).select(
+        "draw", "_piece", (F.col("_at") - F.col("_from") + 1).alias("_rank"))
+    met = hashed.withColumn("_piece", piece).join(drawn.select("_piece").distinct(), "_piece", "left_semi")
+    ranked = met.withColumn("_rank", F.row_number().over(W.partitionBy("_piece").orderBy("_h", "url")))
+    return ranked.join(drawn, ["_piece", "_rank"]).select("draw", "url", "source_url", "depth")
 
 
 def _by_time(df: DataFrame, status: str, time: str, n: int) -> DataFrame:
@@ -95,12 +110,12 @@ def mark_files(view: DataFrame, files: DataFrame, name: str = "file_name") -> Da
 
 
 def recent_pages(frontier: DataFrame, n: int = 20) -> DataFrame:
-    return page_view(_by_time(frontier, "success", "crawled_time", check_limit("pages", n)))
+    return page_view(_by_time(frontier, "success", "crawled_time", n))
 
 
 def recent_failed(frontier: DataFrame, n: int = 10) -> DataFrame:
     """Recent failures, also in the shape of a page list."""
-    rows = _by_time(frontier, "failed", "crawled_time", check_limit("failed", n))
+    rows = _by_time(frontier, "failed", "crawled_time", n)
     return rows.select(
         "url", F.lit(rules.FAILED_PAGE_TITLE).alias("title"),
         or_default("error_message", rules.UNKNOWN_ERROR).alias("error"),
@@ -134,12 +149,12 @@ def search_pages(frontier: DataFrame, keyword: str, n: int = 50) -> DataFrame:
     """Successful pages whose URL or title holds the keyword; % and _ are wildcards."""
     like = f"%{keyword}%"
     hit = F.col("url").ilike(like) | F.coalesce(F.col("title").ilike(like), F.lit(False))
-    return page_view(_by_time(frontier.filter(hit), "success", "crawled_time", check_limit("search", n)))
+    return page_view(_by_time(frontier.filter(hit), "success", "crawled_time", n))
 
 
 def newest_files(files: DataFrame, n: int = 100) -> DataFrame:
     """Newest files of a listing with `file_name` and `modified`."""
-    return files.orderBy(F.desc("modified"), F.asc("file_name")).limit(check_limit("files", n))
+    return files.orderBy(F.desc("modified"), F.asc("file_name")).limit(n)
 
 
 def peek(df: DataFrame, order: str = "url", n: int = 5) -> DataFrame:

@@ -14,7 +14,7 @@ from crawlframe.functions.text import strip
 from crawlframe.operators import frontier as FR
 from crawlframe.operators import graph as G
 from crawlframe.operators.parse import parse_pages
-from crawlframe.session import cut_lineage, maybe_broadcast
+from crawlframe.session import cut_lineage
 from crawlframe.sources import files as IO
 
 
@@ -53,10 +53,16 @@ def parsed_relevance(pages: DataFrame, preset: str = "spider", **kw) -> DataFram
 
 
 def crawl_step(pages: DataFrame, frontier: DataFrame, blacklist: list[str] | None = None) -> DataFrame:
-    """New frontier rows found on fetched pages, with the least source and depth."""
-    links = G.page_links(pages, blacklist=blacklist)
+    """New frontier rows found on fetched pages, with the least source and depth.
+
+    A link lies one level below the page it was read on; a page that the
+    frontier does not know counts as a start page (depth 0).
+    """
+    known = frontier.groupBy(F.col("url").alias("src")).agg(F.min("depth").alias("_d"))
+    links = G.page_links(pages, blacklist=blacklist).join(known, "src", "left")
     candidates = links.select(
-        F.col("dst").alias("url"), F.col("src").alias("source_url"), F.lit(1).alias("depth")
+        F.col("dst").alias("url"), F.col("src").alias("source_url"),
+        (F.coalesce("_d", F.lit(0)) + 1).alias("depth"),
     )
     return FR.new_urls(frontier, candidates)
 
@@ -164,7 +170,7 @@ def pages_to_markdown(pages: DataFrame, existing: DataFrame, min_length: int = 2
     todo = named
     if not force:
         finished = finished_pages(named, existing)
-        todo = named.join(maybe_broadcast(finished.select("url")), "url", "left_anti")
+        todo = named.join(finished.select("url"), "url", "left_anti")
     todo = todo.withColumn("empty", strip(F.coalesce("html", F.lit(""))) == "")
     done = IO.gate_markdown(parse_pages(todo, ["markdown"]), min_length, min_quality)
     if force:

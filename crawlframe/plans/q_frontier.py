@@ -164,15 +164,19 @@ def apply_updates(spark, d):
 
 
 @query("crawl_step", "", f"""
-    WITH l AS ({LINKS_SQL}), n AS (SELECT dst, min(src) AS source_url FROM l WHERE dst NOT IN (SELECT url FROM pages) GROUP BY dst)
+    WITH l AS ({LINKS_SQL}), n AS (SELECT dst, source_url, depth FROM
+        (SELECT dst, src AS source_url, page_id % 3 + 1 AS depth, row_number() OVER (PARTITION BY dst ORDER BY page_id % 3, src) AS r
+         FROM l WHERE dst NOT IN (SELECT url FROM pages)) x WHERE r = 1)
     SELECT regexp_extract(dst, '^https?://([^/]+)', 1) AS host, count(*) AS new_urls, min(dst) AS first_url,
-           count(DISTINCT source_url) AS sources FROM n GROUP BY ALL""")
+           count(DISTINCT source_url) AS sources, min(depth)::INT AS min_depth, sum(depth)::BIGINT AS depths FROM n GROUP BY ALL""")
 def crawl_step(spark, d):
     p = V.pages(spark, d)
-    fresh = J.crawl_step(p, p.select("url"), PAGE_BLACKLIST)
+    known = p.select("url", (F.col("page_id") % 3).cast("int").alias("depth"))
+    fresh = J.crawl_step(p, known, PAGE_BLACKLIST)
     return fresh.groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).agg(
         F.count(F.lit(1)).alias("new_urls"), F.min("url").alias("first_url"),
-        F.count_distinct("source_url").alias("sources"),
+        F.count_distinct("source_url").alias("sources"), F.min("depth").alias("min_depth"),
+        F.sum("depth").alias("depths"),
     )
 
 
@@ -318,8 +322,9 @@ def random_batch(spark, d):
 
 
 @query("random_batch_replace", "urls_v", """
-    SELECT draw::INT AS draw, url, source_url, depth FROM urls_v, range(12) r(draw) WHERE status = 'pending'
-    QUALIFY row_number() OVER (PARTITION BY draw ORDER BY md5(concat(url, '#7#', draw)), url) = 1""")
+    WITH p AS (SELECT url, source_url, depth, row_number() OVER (ORDER BY md5(url), url) - 1 AS at FROM urls_v WHERE status = 'pending')
+    SELECT draw::INT AS draw, url, source_url, depth FROM range(12) r(draw)
+    JOIN p ON p.at = ('0x' || substr(md5(concat('7#', draw)), 1, 15))::BIGINT % (SELECT count(*) FROM p)""")
 def random_batch_replace(spark, d):
     return T.random_batch(V.urls_v(spark, d), 12, 7, replace=True)
 

@@ -55,8 +55,8 @@ def links_dom(spark, d):
 
 @query("link_counts", "", f"SELECT page_id, url, count(dst) AS n_links FROM pages LEFT JOIN ({LINKS_SQL}) l USING (page_id) GROUP BY ALL")
 def link_counts(spark, d):
-    n = F.size(H.resolve_links("url", H.raw_hrefs("html"), PAGE_BLACKLIST)).cast("long")
-    return V.pages(spark, d).select("page_id", "url", n.alias("n_links"))
+    n = F.size(H.resolve_links("url", F.col("hrefs"), PAGE_BLACKLIST)).cast("long")
+    return parse_pages(V.pages(spark, d), ["hrefs"]).select("page_id", "url", n.alias("n_links"))
 
 
 _SCRIPT = (
@@ -77,7 +77,7 @@ def js_urls(spark, d):
 
 # --- titles and texts -------------------------------------------------------------
 
-_TITLE = "regexp_extract(substr(html, 1, 5000), '(?i)<title[^>]*>([^<]+)</title>', 1)"
+_TITLE = "regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)"
 
 
 def s_unescape(t: str) -> str:
@@ -90,7 +90,7 @@ def s_unescape(t: str) -> str:
 # The page with a semicolon after every entity that lacks one (twice, for adjacent ones).
 _ENTITY = "'&(amp|copy|middot|quot|lt|gt)([^a-zA-Z0-9;])', '&\\1;\\2', 'g'"
 _HTML = f"regexp_replace(regexp_replace(html, {_ENTITY}), {_ENTITY})"
-_TITLE_DOM = f"regexp_extract(substr({_HTML}, 1, 5000), '(?i)<title[^>]*>([^<]+)</title>', 1)"
+_TITLE_DOM = f"regexp_extract({_HTML}, '(?i)<title[^>]*>([^<]+)</title>', 1)"
 _H1_DOM = f"regexp_replace(regexp_extract({_HTML}, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"
 _HEAD_ONLY = "regexp_replace(regexp_replace({}, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"
 
@@ -309,8 +309,8 @@ def choose_content(spark, d):
            'text/html' AS content_type, coalesce(n, 0)::INT AS extracted_urls_count
     FROM pages p LEFT JOIN (SELECT page_id, count(*) AS n FROM ({LINKS_SQL}) l GROUP BY page_id) c USING (page_id)""")
 def page_facts(spark, d):
-    found = H.resolve_links("url", H.raw_hrefs("html"), PAGE_BLACKLIST)
-    return V.pages(spark, d).select(
+    found = H.resolve_links("url", F.col("hrefs"), PAGE_BLACKLIST)
+    return parse_pages(V.pages(spark, d), ["hrefs"], keep_html=True).select(
         "page_id", "url", H.page_facts("html", F.lit("text/html"), found).alias("f")
     ).select("page_id", "url", "f.*")
 

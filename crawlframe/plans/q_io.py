@@ -16,10 +16,11 @@ from crawlframe.operators import dedup as D
 from crawlframe.operators import frontier as FR
 from crawlframe.operators import reports as RP
 from crawlframe.operators import topk as T
+from crawlframe.operators.parse import parse_pages
 from crawlframe.plans import jobs as J
 from crawlframe.plans import views as V
 from crawlframe.plans.q_frontier import _SHOWN, shown
-from crawlframe.plans.q_html import LINKS_SQL, PAGE_BLACKLIST
+from crawlframe.plans.q_html import _TITLE_DOM, LINKS_SQL, PAGE_BLACKLIST, s_unescape
 from crawlframe.plans.q_urls import _PAGE_NAME, lit, s_any, s_valid
 from crawlframe.plans.registry import query
 from crawlframe.session import scratch
@@ -70,12 +71,12 @@ def blacklist_rules(spark, d):
 
 
 @query("gather_seeds", "urls_v url_variants", """
-    WITH f AS (SELECT url, 1000 + page_id * 100 + k AS pos FROM url_variants WHERE k < 3),
+    WITH f AS (SELECT url, 1000 + page_id * 100 + k AS pos FROM url_variants),
     g AS (SELECT 'https://given.example.com/' AS url, 0 AS pos UNION ALL SELECT 'ftp://no.example.com/', 1
           UNION ALL SELECT * FROM f)
     SELECT url, min(pos) AS pos FROM g WHERE url LIKE 'http://%' OR url LIKE 'https://%' GROUP BY url""")
 def gather_seeds(spark, d):
-    v = V.url_variants(spark, d).filter("k < 3")
+    v = V.url_variants(spark, d)
     file_seeds = v.select("url", (1000 + F.col("page_id") * 100 + F.col("k")).cast("long").alias("pos"))
     g = IO.gather_seeds(spark, ["https://given.example.com/", "ftp://no.example.com/"], file_seeds)
     return D.distinct_seeds(g).select("url", F.col("pos.pos").alias("pos"))
@@ -141,13 +142,13 @@ def write_pages(spark, d):
 
 @query("page_metadata", "", f"""
     SELECT replace(concat('webpages/', {_PAGE_NAME}), '.html', '_metadata.json') AS metadata_path, p.url,
-           CASE WHEN regexp_extract(substr(html, 1, 5000), '(?i)<title[^>]*>([^<]+)</title>', 1) = '' THEN '无标题'
-                ELSE trim(regexp_extract(substr(html, 1, 5000), '(?i)<title[^>]*>([^<]+)</title>', 1)) END AS title,
+           {s_unescape(f'trim({_TITLE_DOM})')} AS title,
            coalesce(n, 0)::INT AS extracted_urls_count, concat('webpages/', {_PAGE_NAME}) AS html_file_path
     FROM pages p LEFT JOIN (SELECT page_id, count(*) AS n FROM ({LINKS_SQL}) l GROUP BY page_id) c USING (page_id)""")
 def page_metadata(spark, d):
-    found = H.resolve_links("url", H.raw_hrefs("html"), PAGE_BLACKLIST)
-    m = IO.metadata_rows(V.pages(spark, d), H.title_regex("html"), found, F.lit("2024-05-06T07:08:09"))
+    found = H.resolve_links("url", F.col("hrefs"), PAGE_BLACKLIST)
+    p = parse_pages(V.pages(spark, d), ["title", "hrefs"], keep_html=True)
+    m = IO.metadata_rows(p, F.col("title"), found, F.lit("2024-05-06T07:08:09"))
     path = scratch(spark, "metadata")
     IO.write_metadata(m, path)
     back = spark.read.schema("url string, title string, crawl_time string, extracted_urls_count int, html_file_path string").json(path)
@@ -193,8 +194,8 @@ def md_rejects(spark, d):
     docs = V.table(spark, d, "documents").select(
         F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("md_name"),
         (F.col("doc_id") % 13 == 0).alias("empty"),
-        # Short texts stay short; others are padded over both limits.
-        F.when(F.length(F.trim("text")) < 120, F.substring("text", 1, 100)).otherwise(
+        # Short texts stay as they are; others are padded over both limits.
+        F.when(F.length(F.trim("text")) < 120, F.col("text")).otherwise(
             F.concat("text", F.lit("\n"), F.repeat(F.lit("矿产资源管理，地质勘探。a b c d e f g h i j k l\n"), 10))
         ).alias("markdown"),
     )
@@ -241,8 +242,8 @@ def filled_tables(spark, d):
     TB.create_tables(spark, root)
     u = V.urls_v(spark, d)
     TB.append_rows(u, root, "urls")
-    facts = H.page_facts("html", F.lit("text/html"), H.resolve_links("url", H.raw_hrefs("html")))
-    TB.append_rows(V.pages(spark, d).select("url", facts.alias("f")).select("url", "f.*"), root, "pages")
+    facts = H.page_facts("html", F.lit("text/html"), H.resolve_links("url", F.col("hrefs")))
+    TB.append_rows(parse_pages(V.pages(spark, d), ["hrefs"], keep_html=True).select("url", facts.alias("f")).select("url", "f.*"), root, "pages")
     TB.append_rows(RP.daily_stats(u), root, "crawl_stats")
     return root
 

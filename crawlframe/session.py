@@ -1,4 +1,4 @@
-"""Session settings, the shared scratch folder, and the size-checked broadcast."""
+"""Session settings, the shared scratch folder, and the measured size bound."""
 
 from __future__ import annotations
 
@@ -43,7 +43,8 @@ def build_session(app: str = "crawlframe", master: str | None = None, **conf) ->
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors can reach, as named in `spark.checkpoint.dir`.
 
-    Only where the session names none (a local test) is a temporary one made.
+    Only a local session may go without: it gets a temporary folder. On a
+    cluster every executor would write to its own disk, so that is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -51,6 +52,9 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="crawlframe-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
@@ -58,7 +62,10 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; nothing is ever reused or removed."""
+    """A fresh path under the shared folder, in `crawlframe/` there.
+
+    Nothing is reused or removed by a job; delete `crawlframe/` when no job runs.
+    """
     return f"{shared_root(spark).rstrip('/')}/crawlframe/{name}-{uuid.uuid4().hex}"
 
 
@@ -86,19 +93,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """Whether `df` is short and narrow enough; reads at most one row too many."""
+    """Whether `df` is short and narrow enough; each task sends only two numbers."""
     width = F.octet_length(F.to_json(F.struct("*")))
-    rows, size = (
-        df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    )
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if its measured size allows it, else unchanged.
-
-    Pass something cheap to read twice: a stored table or a materialised one.
-
-    Without the hint the join stays a shuffled one, which AQE splits on skew.
-    """
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df

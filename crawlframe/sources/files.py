@@ -10,7 +10,6 @@ from crawlframe.functions import urls as U
 from crawlframe.functions.text import strip
 from crawlframe.operators.lookup import drop_blacklisted
 from crawlframe.operators.ranking import salted_rank
-from crawlframe.session import maybe_broadcast
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -115,10 +114,10 @@ def write_metadata(metadata: DataFrame, path: str) -> None:
 def skip_existing(pages: DataFrame, existing: DataFrame, name: str = "md_name") -> DataFrame:
     """Pages whose output does not exist yet.
 
-    The page text would travel in a shuffled join, so a list of existing names
-    that is small enough (counted) is broadcast instead.
+    AQE broadcasts the list of existing names if its size allows it; a longer
+    list costs one shuffle of the pages.
     """
-    return pages.join(maybe_broadcast(existing.select(name).distinct()), name, "left_anti")
+    return pages.join(existing.select(name).distinct(), name, "left_anti")
 
 
 def gate_markdown(parsed: DataFrame, min_length: int = 200, min_quality: float = 40) -> DataFrame:
@@ -141,25 +140,29 @@ def gate_markdown(parsed: DataFrame, min_length: int = 200, min_quality: float =
 
 
 def unique_md_names(batch: DataFrame, existing: DataFrame) -> DataFrame:
-    """Give outputs whose name is taken the next free `_1`, `_2`, ... suffix."""
-    taken = existing.select("md_name").distinct()
-    numbered = taken.select(
-        F.regexp_extract("md_name", r"^(.*)_(\d+)\.md$", 1).alias("_s"),
-        F.regexp_extract("md_name", r"^(.*)_(\d+)\.md$", 2).alias("_k"),
-    ).filter("_s <> ''")
-    last = numbered.groupBy(F.concat("_s", F.lit(".md")).alias("_base")).agg(
-        F.max(F.expr("try_cast(_k AS int)")).alias("_last")
-    )
-    plain = taken.select(F.col("md_name").alias("_old"))
+    """Give outputs whose name is taken the first free `_1`, `_2`, ... suffix.
+
+    Taken are the existing names and the plain names of the batch itself; the
+    first page of a name that does not exist yet keeps it. The r-th free number
+    is r plus the taken numbers that lie before it.
+    """
+    old = existing.select("md_name").distinct()
+    taken = old.union(batch.select("md_name").distinct()).distinct()
+    number = F.regexp_extract("md_name", r"^(.*)_([1-9]\d{0,8})\.md$", 2)
+    stem = F.regexp_extract("md_name", r"^(.*)_([1-9]\d{0,8})\.md$", 1)
+    numbered = taken.filter(number != "").select(
+        F.concat(stem, F.lit(".md")).alias("_base"), number.cast("bigint").alias("_k"))
+    # Free numbers before each taken one: k less its place among the taken.
+    gaps = numbered.groupBy("_base").agg(F.array_sort(F.collect_set("_k")).alias("_ks")).select(
+        "_base", F.transform("_ks", lambda k, i: k - i - 1).alias("_free"))
     ranked = salted_rank(batch, ["md_name"], "url", "_rank")
-    j = ranked.join(plain, F.col("md_name") == F.col("_old"), "left").join(
-        last, F.col("md_name") == F.col("_base"), "left"
-    )
+    j = ranked.join(old.select(F.col("md_name").alias("_old")), F.col("md_name") == F.col("_old"), "left").join(
+        gaps, F.col("md_name") == F.col("_base"), "left")
     is_old = F.col("_old").isNotNull()
-    k = F.coalesce("_last", F.lit(0)) + F.col("_rank") - F.when(is_old, 0).otherwise(1)
-    fresh = F.when(~is_old & (F.col("_rank") == 1), F.col("md_name")).otherwise(
-        F.concat(F.regexp_replace("md_name", r"\.md$", ""), F.lit("_"), k.cast("string"), F.lit(".md"))
-    )
+    r = F.col("_rank") - F.when(is_old, 0).otherwise(1)
+    passed = F.size(F.filter(F.coalesce("_free", F.expr("cast(array() as array<bigint>)")), lambda f: f < r))
+    fresh = F.when(~is_old & (F.col("_rank") == 1), F.col("md_name")).otherwise(F.concat(
+        F.regexp_replace("md_name", r"\.md$", ""), F.lit("_"), (r + passed).cast("string"), F.lit(".md")))
     return j.withColumn("md_name", fresh).select(*batch.columns)
 
 

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import duckdb
 import pytest
@@ -19,7 +20,7 @@ def spark():
 
     s = build_session(
         "tests", "local[8]",
-        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g",
+        **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tests-"), "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g",
            "spark.ui.showConsoleProgress": "false"},
     )
     s.sparkContext.setLogLevel("ERROR")

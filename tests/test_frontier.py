@@ -165,12 +165,9 @@ def test_allowed_domains(spark):
     assert {r.url for r in df.filter(U.in_domains("url", ["a.com"])).collect()} == want
 
 
-@pytest.mark.parametrize("rows", [0, 200_000])
-def test_expand_both_join_ways(spark, monkeypatch, rows):
-    import crawlframe.operators.graph as graph
-    from crawlframe.session import maybe_broadcast
-
-    monkeypatch.setattr(graph, "maybe_broadcast", lambda df: maybe_broadcast(df, rows))
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_expand_both_join_ways(spark, limit):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     rnd = random.Random(9)
     # Node 1 is a hub on both ends.
     edges = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(150)] + [(1, i) for i in range(40)] + [(i, 1) for i in range(40)]
@@ -188,6 +185,7 @@ def test_expand_both_join_ways(spark, monkeypatch, rows):
     assert got == depth
     shallow = {n for n, (d, _) in depth.items() if d <= 2}
     assert {r.node for r in G.expand_spider(df, seeds, 2).collect()} == shallow
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_dedup_is_idempotent(spark):
@@ -197,6 +195,26 @@ def test_dedup_is_idempotent(spark):
     assert sorted(once.collect()) == sorted(twice.collect()) and once.count() == 2
 
 
+def test_repeated_rows_stay_once(spark):
+    df = spark.createDataFrame([("u1", "x")] * 3 + [("u2", "x"), ("u3", "y")], "url string, html string")
+    assert sorted(r.url for r in D.keep_first_content(df).collect()) == ["u1", "u3"]
+
+
+def test_updates_move_no_rows_to_one_task(spark):
+    f = spark.createDataFrame([("u", None, "pending", 0, None, None, None, None, None)], schemas.URLS)
+    marks = spark.createDataFrame([], "url string, seq long, op string, title string, html_file_path string, error_message string, ts timestamp")
+    plan = FR.apply_updates(f, marks)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_new_rows_lie_below_their_page(spark):
+    from crawlframe.plans import jobs as J
+
+    page = spark.createDataFrame([("http://a.com/p", "<a href='/q'>q</a>")], "url string, html string")
+    known = spark.createDataFrame([("http://a.com/p", 3)], "url string, depth int")
+    assert [(r.url, r.depth) for r in J.crawl_step(page, known).collect()] == [("http://a.com/q", 4)]
+
+
 def test_stale_flag_on_missing_time(spark):
     row = ("u", None, "crawling", 0, None, None, None, None, None)
     f = spark.createDataFrame([row], schemas.URLS)

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from crawlframe.session import fits_broadcast, scratch
@@ -59,3 +60,25 @@ def test_broadcast_is_bounded_in_rows_and_bytes(spark):
 def test_bad_bytes_are_left_out(spark, tmp_path):
     (tmp_path / "a.html").write_bytes(b"<p>a\xff\xfeb</p>")
     assert IO.read_html_dir(spark, str(tmp_path)).first().html == "<p>ab</p>"
+
+
+def test_shared_folder_is_required_off_local(monkeypatch):
+    from types import SimpleNamespace as NS
+
+    from crawlframe.session import shared_root
+
+    bare = NS(conf=NS(get=lambda *a: None), sparkContext=NS(
+        master="spark://host:7077", getConf=lambda: NS(get=lambda k: None), getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        shared_root(bare)
+
+
+def test_first_free_suffix(spark):
+    batch = spark.createDataFrame([("u1", "x.md"), ("u2", "x_1.md"), ("u3", "x.md"), ("u4", "y.md"), ("u5", "y.md")], "url string, md_name string")
+    old = spark.createDataFrame([("x.md",), ("x_2.md",), ("x_5.md",)], "md_name string")
+    got = {r.url: r.md_name for r in IO.unique_md_names(batch, old).collect()}
+    assert sorted([got["u1"], got["u3"]]) == ["x_3.md", "x_4.md"] and got["u2"] == "x_1.md"
+    assert sorted([got["u4"], got["u5"]]) == ["y.md", "y_1.md"]
+    one = spark.createDataFrame([("u1", "x.md")], "url string, md_name string")
+    gap = spark.createDataFrame([("x.md",), ("x_5.md",)], "md_name string")
+    assert IO.unique_md_names(one, gap).first().md_name == "x_1.md"

@@ -113,3 +113,9 @@ def test_size_labels(spark):
 
     assert list(long) == [plain(s) for s in sizes]
     assert short[4] == "1.25 KB" and short[3] == "1 KB" and short[9] == "5 GB"
+
+
+def test_lone_bracket_is_not_a_url(spark):
+    df = spark.createDataFrame([("http://[bad/x",), ("http://bad]/x",), ("http://[::1]/x",), ("http://a.com/[x",)], "u string")
+    got = df.select(U.is_valid_url("u").alias("v"), U.should_crawl("u").alias("s"), U.is_crawlable_absolute(F.col("u")).alias("c")).collect()
+    assert [tuple(r) for r in got] == [(False,) * 3, (False,) * 3, (True,) * 3, (True,) * 3]
