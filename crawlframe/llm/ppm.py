@@ -10,8 +10,9 @@ exclusion). Below order zero the symbols never seen are equally likely. The
 probabilities of all symbols in a context sum to one.
 
 The trie is a table of (context, symbol) counts and is never in one place.
-Documents are dealt into blocks of bounded bytes; a block lists its distinct
-grams, and counts are summed over blocks. All contexts that end in the same two
+Runs of rows of an input partition are blocks; a block lists its distinct
+grams, and counts are summed over blocks. Both passes over the texts must see
+the same partitions, as reads of a stored table do; if not, the job fails. All contexts that end in the same two
 bytes form a group, which holds everything needed above order one; orders one
 and zero have at most 65,536 counts and are sent along. Log probabilities of
 the grams go back to the blocks that asked for them.
@@ -39,7 +40,7 @@ ORDER = 5
 START, END = b"\xfe", b"\xff"
 ALPHABET = 256
 #: Bytes of text in a block, and of a chunk that is sorted at once.
-BLOCK, CHUNK = 32 << 20, 4 << 20
+BLOCK, CHUNK = 24 << 20, 2 << 20
 
 
 def chunks(texts: list[bytes | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -200,14 +201,17 @@ def log_probabilities(grams: np.ndarray, counts: np.ndarray, one: np.ndarray) ->
     return out
 
 
-def score_block(texts, grams, logs, words: dict, end: int, total: int, kinds: int) -> tuple:
+def score_block(texts: list, grams: np.ndarray, logs: np.ndarray, words: dict, end: int, total: int, kinds: int) -> tuple:
     """Per text: tokens, known tokens, base score, model score."""
     score = np.zeros(len(texts))
     for owner, part, g in chunks(texts):
         key = np.sort(g << np.uint64(16) | part.astype(np.uint64))
         value = key >> np.uint64(16)
         at = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-        logp = logs[np.searchsorted(grams, value[at])]
+        place = np.minimum(np.searchsorted(grams, value[at]), len(grams) - 1)
+        if not np.array_equal(grams[place], value[at]):
+            raise ValueError("rows changed their partitions between two reads; write the table and read it from there")
+        logp = logs[place]
         sums = np.bincount((key & np.uint64(0xFFFF)).astype(np.int64), np.repeat(logp, np.diff(np.r_[at, len(key)])),
                            len(owner))
         np.add.at(score, np.array(owner), sums)
@@ -226,7 +230,8 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text") ->
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all rows.
 
     `train` is the condition that a row is learnt from. The counts are written
-    to the shared folder once; texts are shuffled into their blocks twice.
+    to the shared folder once; texts are counted where they are read and
+    shuffled once, to meet their block's log probabilities.
     """
     import pyarrow as pa
 
@@ -234,34 +239,48 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text") ->
     ship_package(spark)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 6
-    whole, learnt = slim.agg(F.coalesce(F.sum(size), F.lit(0)), F.count_if("train")).first()
-    n = max(1, -(-whole // BLOCK))
-    # Rows that are the same in id and text would share a block; the row's number deals them out.
-    deal = F.pmod(F.xxhash64("doc_id", F.col("text"), F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    path = scratch(spark, "ppm")
-    slim.withColumn("block", deal).repartition(max(n, 1), "block").write.parquet(f"{path}/blocks")
-    blocks = spark.read.parquet(f"{path}/blocks")
-
-    def count(key, t):
-        grams, counts, words = count_block(text_bytes(t["text"].combine_chunks()), t["train"].to_pylist())
-        k = len(grams) + len(words)
-        none = lambda m, kind: pa.nulls(m, kind)
-        return pa.table({
-            "kind": pa.array(np.repeat([0, 1], [len(grams), len(words)]), pa.int32()),
-            "block": pa.array(np.full(k, key[0].as_py()), pa.int32()),
-            "gram": pa.concat_arrays([pa.array(grams.astype(np.int64)), none(len(words), pa.int64())]),
-            "word": pa.concat_arrays([none(len(grams), pa.binary()), pa.array(list(words), pa.binary())]),
-            "n": pa.concat_arrays([pa.array(counts), pa.array(list(words.values()), pa.int64())])})
-
-    schema = "kind int, block int, gram bigint, word binary, n bigint"
-    blocks.groupBy("block").applyInArrow(count, schema).write.partitionBy("kind").parquet(f"{path}/counts")
-    told = spark.read.schema("block int, gram bigint, word binary, n bigint, kind int").parquet(f"{path}/counts")
-    grams = told.where("kind = 0").select("block", "gram", "n")
-    words = told.where("kind = 1").select("block", "word", "n")
+    whole, rows, learnt = slim.agg(F.coalesce(F.sum(size), F.lit(0)), F.count(F.lit(1)), F.count_if("train")).first()
+    # A block is a run of rows of one input partition: the row's number without its last bits.
+    bits = math.ceil(math.log2(max(1, BLOCK * rows // max(whole, 1))))
+    slim = slim.withColumn("block", F.shiftright(F.monotonically_increasing_id(), bits))
+
+    def count(batches: Iterator) -> Iterator:
+        block, texts, learn = None, [], []
+
+        def told():
+            grams, counts, words = count_block(texts, learn)
+            pairs = np.unique(grams[counts > 0] & np.uint64(0xFFFFFF))
+            m, k = len(grams), len(words)
+            n = m + k + len(pairs)
+            none = lambda i, kind: pa.nulls(i, kind)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat([0, 1, 2], [m, k, len(pairs)]), pa.int32()), pa.array(np.full(n, block), pa.int64()),
+                pa.concat_arrays([pa.array(grams.astype(np.int64)), none(k, pa.int64()), pa.array(pairs.astype(np.int64))]),
+                pa.concat_arrays([none(m, pa.binary()), pa.array(list(words), pa.binary()), none(len(pairs), pa.binary())]),
+                pa.concat_arrays([pa.array(counts), pa.array(list(words.values()), pa.int64()), none(len(pairs), pa.int64())])],
+                ["kind", "block", "gram", "word", "n"])
+
+        for b in batches:
+            for text_, train_, at in zip(text_bytes(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if at != block and texts:
+                    yield from told()
+                    texts, learn = [], []
+                block = at
+                texts.append(text_)
+                learn.append(train_)
+        if texts:
+            yield from told()
+
+    path = scratch(spark, "ppm-counts")
+    slim.select("text", "train", "block").mapInArrow(
+        count, "kind int, block bigint, gram bigint, word binary, n bigint").write.partitionBy("kind").parquet(path)
+    told_ = spark.read.schema("block bigint, gram bigint, word binary, n bigint, kind int").parquet(path)
+    grams = told_.where("kind = 0").select("block", "gram", "n")
+    words = told_.where("kind = 1").select("block", "word", "n")
 
     totals = grams.groupBy("gram").agg(F.sum("n").alias("n"))
-    pairs = totals.where("n > 0").select(F.col("gram").bitwiseAND(0xFFFFFF).alias("g")).distinct().groupBy(
-        F.col("g").bitwiseAND(0xFFFF).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 65,536 rows
+    pairs = told_.where("kind = 2").select("gram").distinct().groupBy(
+        F.col("gram").bitwiseAND(0xFFFF).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 65,536 rows
     one = np.zeros((256, 256), np.int64)
     for r in pairs:
         one[r["p"] >> 8, r["p"] & 255] = r["n"]
@@ -274,7 +293,9 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text") ->
 
     group = F.shiftright("gram", 8).bitwiseAND(0xFFFF).alias("g")
     logs = totals.groupBy(group).applyInArrow(model, "gram bigint, v double")
-    vocabulary = words.groupBy("word").agg(F.sum("n").alias("c"))
+    path = scratch(spark, "ppm-words")
+    words.groupBy("word").agg(F.sum("n").alias("c")).write.parquet(path)
+    vocabulary = spark.read.schema("word binary, c bigint").parquet(path)
     total, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     total, kinds = total + learnt, kinds + int(learnt > 0)
     none = lambda kind: F.lit(None).cast(kind)
@@ -297,7 +318,7 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text") ->
             "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64())})
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
+    return slim.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
         finish, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
                 "base_score double, score double")
 
