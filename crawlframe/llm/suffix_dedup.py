@@ -34,7 +34,7 @@ from crawlframe.session import cut_lineage, scratch, ship_package
 
 LENGTH, GRAM = 400, 64
 #: Bytes of contexts that a task compares at once, and kinds of one anchor up to which it does.
-TASK, KINDS = 12 << 20, 20_000
+TASK, KINDS = 3 << 20, 20_000
 #: Texts are scanned in parts of so many windows; places in a part fit 24 bits.
 PART = 8 << 20
 
@@ -103,13 +103,20 @@ def contexts(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tu
         yield from zip(signed.tolist(), (p + at).tolist(), (first + at).tolist(), (last + at).tolist())
 
 
+def _slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Batches of few rows, so that what a task makes of them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _rows(batches: Iterator) -> Iterator:
     """Per text and kind of context: anchor, kind, place of the anchor, size, and where it starts."""
     import pyarrow as pa
     import xxhash
 
     digest = xxhash.xxh3_128_digest
-    for b in batches:
+    for b in _slices(batches):
         row, anchor, kind, left, size, starts = [], [], [], [], [], []
         for i, text in enumerate(text_bytes(b.column(2))):
             seen: dict[tuple[int, bytes], int] = {}
@@ -276,7 +283,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for t, want in zip(text_bytes(b.column(0)), b.column(1).to_pylist()):
                 out += [(w["anchor"], w["kind"], w["kinds"], w["left"], w["n"], t[w["at"]:w["at"] + w["size"]]) for w in want]
@@ -351,7 +358,7 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in _slices(batches):
             kept, sizes, gone, runs = [], [], [], []
             for t, spans_ in zip(text_bytes(b.column(1)), b.column(2).to_pylist()):
                 t = t or b""
