@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlframe.llm.common import query, table, text_bytes
-from crawlframe.session import cut_lineage, scratch, ship_package
+from crawlframe.session import scratch, ship_package
 
 LENGTH, GRAM = 400, 64
 #: Bytes of contexts that a task compares at once, and kinds of one anchor up to which it does.
@@ -272,7 +272,9 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         F.sum(F.size("starts")).alias("n"), F.min(F.struct("id", "text_key", F.col("starts")[0].alias("at"), "left", "size")).alias("one"))
     # Only anchors met twice matter; most are met once and end here.
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("met"))
-    kinds = cut_lineage(kinds.join(several.where("met > 1"), "anchor"))
+    path = scratch(spark, "kinds")  # columns in files take half the room of a checkpoint's rows
+    kinds.join(several.where("met > 1"), "anchor").write.parquet(path)
+    kinds = spark.read.parquet(path)
     whole = kinds.where("n > 1").select("anchor", "kind", F.array(F.struct(
         F.lit(0).alias("a"), F.col("one.size").alias("b"))).alias("cover"))
 
