@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,31 +161,46 @@ def links(fps: DataFrame, column: str = "fingerprint") -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def classes(marked: DataFrame, doc_id: str = "doc_id", fp: str = "fingerprint") -> DataFrame:
-    """`marked` with component_id: the smallest id that links lead to, its own included."""
+def classes(marked: DataFrame, doc_id: str = "doc_id", fp: str = "fingerprint", edges: DataFrame | None = None,
+            root: str | None = None) -> DataFrame:
+    """`marked` with component_id: the smallest id that links lead to, its own included.
+
+    Links are `edges` (a, b) of fingerprints, by default those of `links`. The
+    smallest fingerprint of the class is kept under the name `root`, if there is one.
+    """
     nodes = cut_lineage(marked.groupBy(F.col(fp).alias("_fp")).agg(F.min(doc_id).alias("_least")))
-    roots = components(links(nodes.select("_fp"), "_fp"))
+    roots = components(links(nodes.select("_fp"), "_fp") if edges is None else edges)
     joined = nodes.join(roots, nodes["_fp"] == roots["node"], "left").select(
         "_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     least = joined.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    of = joined.join(least, "_root").select("_fp", "component_id")
+    extra = [F.col("_root").alias(root)] if root else []
+    of = joined.join(least, "_root").select("_fp", "component_id", *extra)
     keep = without(marked, ["component_id"])
     return marked.select(*cols(keep)).join(of, F.col(fp).eqNullSafe(F.col("_fp"))).drop("_fp")
 
 
+def checksum(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the smallest id of every class, with the columns of `docs`.
+    """The row with the smallest id of every class, with the columns of `docs`."""
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), checksum(text).alias("_key"), F.col(text).alias("text"))
+    found = classes(cut_lineage(fingerprints(narrow)), root="_root")
+    return keep_first(docs, found, doc_id, text)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row with the smallest id of every class in `found` (doc_id, _key, component_id, _root).
 
     Losers are found on narrow rows (id, text checksum) and taken out with an
     anti join; only rows that are repeated as they are get regrouped.
     """
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), key.alias("_key"), F.col(text).alias("text"))
-    found = classes(cut_lineage(fingerprints(narrow)))
-    rows = found.groupBy("doc_id", "_key", "component_id", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
-    rows = cut_lineage(rows.select("doc_id", "_key", "component_id", "n", "fingerprint"))
+    key = checksum(text)
+    rows = found.groupBy("doc_id", "_key", "component_id", "_root").agg(F.count(F.lit(1)).alias("n"))
+    rows = cut_lineage(rows.select("doc_id", "_key", "component_id", "n", "_root"))
     # Of a class, the row of the smallest id stays; of equal ids, the one with the smallest checksum.
-    best = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_f")).agg(
+    best = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("_root")).alias("_f")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "_key")).alias("m"))
     stays = best.select(F.col("m.doc_id").alias("_i"), F.col("m._key").alias("_k"))
     same = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))
