@@ -5,8 +5,10 @@ the same length. Centroids are fitted on a bounded sample by halving it again
 and again at the median of its main direction, so that lists are balanced. A
 vector is posted to its nearest list and, if it lies near a boundary, to further
 ones whose centroids are almost as near and not hidden behind a chosen one.
-Centroids are found by best-first search in a neighbour graph that every task
-holds; a query visits the lists whose distance is within a ratio of the nearest.
+A vector finds its centroids by best-first search in a neighbour graph that every
+task holds. A query is compared with all centroids and visits, without a cap, every
+list whose distance is within a ratio of the `FLOOR`-th nearest (the nearest alone may
+be the query itself), and goes on while the lists so far could hold fewer than k others.
 
 Equal vectors are one entry with their k + 1 smallest ids, which is all that a
 result of k can use. Lists are cut into pages and their queries into parts of
@@ -37,8 +39,8 @@ SAMPLE, CENTROIDS = 20_000, 4_096
 LIST = 250
 #: Most lists of a vector, and how much farther than its nearest one they may be.
 REPLICAS, NEAR = 6, 1.12
-#: Most lists of a query (and a sixteenth of all lists more), and the ratio of distances that prunes them.
-PROBES, RATIO = 64, 1.5
+#: Lists that a query visits at least, and the ratio to the distance of the last of them that prunes the rest.
+FLOOR, RATIO = 16, 1.5
 #: Graph: neighbours of a centroid, and the beam of a search.
 DEGREE, BEAM = 24, 96
 PAGE = 4_096
@@ -131,6 +133,16 @@ class Graph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
 
 
+def to_visit(dist: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Which lists a query visits, from squared distances and sizes of its lists, nearest first.
+
+    A vector is in at most REPLICAS lists, so lists of REPLICAS * (k + 1) postings hold k + 1 vectors.
+    """
+    reach = RATIO * RATIO * dist[:, min(FLOOR, dist.shape[1]) - 1][:, None]
+    before = np.cumsum(sizes, axis=1) - sizes
+    return (dist <= reach) | (before < REPLICAS * (k + 1))
+
+
 def _lifted(x: np.ndarray, bound: float, is_query: bool) -> np.ndarray:
     """One more coordinate: vectors get length `bound`, queries get that length and a zero."""
     sq = (x * x).sum(1)
@@ -244,6 +256,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
 
     slim = entries.select("gid", "vec", F.col("ids")[0].alias("least"))
     posted = cut_lineage(slim.mapInArrow(post, f"list int, gid bigint, vec {kind}, least bigint"))
+    count = np.zeros(len(graph.c), np.int64)
+    for r in posted.groupBy("list").count().collect():  # at most CENTROIDS rows
+        count[r["list"]] = r["count"]
+    sizes = spark.sparkContext.broadcast(count)
     asked = cut_lineage(clean.where(is_query).join(entries.select("vec", "gid"), "vec").select("vec_id", "gid"))
 
     def ask(batches: Iterator) -> Iterator:
@@ -253,8 +269,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 c = b.slice(at, 512)
-                ids, dist = g.search(_lifted(_matrix(c.column(1)), bound, True), min(PROBES + len(g.c) // 16, len(g.c)))
-                row, j = np.nonzero(dist <= RATIO * RATIO * dist[:, :1])
+                x = _lifted(_matrix(c.column(1)), bound, True)
+                dist = np.maximum((x * x).sum(1)[:, None] + g.sq - 2 * x @ g.c.T, 0)
+                ids = np.argsort(dist, axis=1, kind="stable")
+                row, j = np.nonzero(to_visit(np.take_along_axis(dist, ids, 1), sizes.value[ids], k))
                 t = c.take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, j].astype(np.int32)), t.column(0), t.column(1)],
                                                  ["list", "qid", "qvec"])
