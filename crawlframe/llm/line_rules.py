@@ -110,21 +110,65 @@ def frequent_lines(stats: DataFrame, share: float = SHARE, least: int = LEAST) -
     return counts.join(hosts, "__host").where(F.col("n") > F.col("docs") * share).select("__host", "h", "n")
 
 
-def quality(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """`docs` without the text, with the base counts, n_removed_words, base_failed, depleted and kept."""
-    stats = line_stats(docs, text, host)
-    stats = cut_lineage(stats.withColumn("__uid", F.monotonically_increasing_id()))
-    often = frequent_lines(stats)
-    lines = stats.select("__uid", "__host", F.explode("__lines").alias("l")).select(
-        "__uid", "__host", F.col("l.h").alias("h"), F.col("l.w").alias("w"))
-    cut = lines.join(often.select("__host", "h"), ["__host", "h"]).groupBy("__uid").agg(F.sum("w").alias("__cut"))
-    out = stats.drop("__lines", "__text", "__host").join(cut, "__uid", "left").withColumn(
-        "n_removed_words", F.coalesce("__cut", F.lit(0)).cast("long"))
+def without_lines(text: bytes | None, gone: set[int]) -> tuple[bytes | None, int]:
+    """The text without the lines of these (unsigned) hashes, and how many words went."""
+    import xxhash
+
+    if not text or not gone:
+        return text, 0
+    left, n = [], 0
+    for line in text.split(b"\n"):
+        w = line.split()
+        if w and xxhash.xxh3_64_intdigest(b" ".join(w).translate(LOWER)) in gone:
+            n += len(w)
+        else:
+            left.append(line)
+    return b"\n".join(left), n
+
+
+def clean(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """`docs` with the text less its frequent lines, the base counts of the whole text, n_removed_words, base_failed,
+    depleted and kept.
+
+    The first pass keeps line hashes only; the second gets each text's frequent ones and counts what it removes.
+    """
+    key = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    home = F.coalesce(F.col(host).cast("string"), F.lit(""))
+    stats = cut_lineage(line_stats(docs.select(F.col(text).alias("t"), key.alias("__key"), home.alias("s")), "t", "s"))
+    often = frequent_lines(stats).select("__host", "h")
+    lines = stats.select("__host", "__key", F.explode("__lines.h").alias("h")).distinct()
+    gone = lines.join(often, ["__host", "h"]).groupBy("__host", "__key").agg(F.collect_set("h").alias("__gone"))
+    keep = without(docs, [text, *MADE])
+    sent = docs.select(*cols(keep), F.col(text).alias("__t"), home.alias("__host"), key.alias("__key")).join(
+        gone, ["__host", "__key"], "left").select(*cols(keep), "__t", "__gone")
+    schema = T.StructType([*sent.schema.fields[:-2], T.StructField(text, T.StringType()), *[
+        T.StructField(c, T.LongType()) for c in [*STATS, "n_removed_words"]]])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            texts = text_bytes(b.column(len(keep)))
+            made = [text_stats(t)[0] for t in texts]
+            sets = [{h & (1 << 64) - 1 for h in g or ()} for g in b.column(len(keep) + 1).to_pylist()]
+            done = [without_lines(t, g) for t, g in zip(texts, sets)]
+            yield pa.RecordBatch.from_arrays([
+                *b.columns[:len(keep)], pa.array([t for t, _ in done], pa.binary()).cast(pa.string()),
+                *[pa.array([m[k] for m in made], pa.int64()) for k in range(len(STATS))],
+                pa.array([n for _, n in done], pa.int64())], names=schema.names)
+
+    out = sent.mapInArrow(run, schema)
     left = F.col("n_words") - F.col("n_removed_words")
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (
         100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn(
         "depleted", (F.col("n_removed_words") > 0) & ((left < LEFT * F.col("n_words")) | (left < LEFT_WORDS)))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).drop("__uid", "__cut")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+
+
+def quality(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """The judgements of `clean` without the text."""
+    out = clean(docs, text, host)
+    return out.select(*cols(without(out, [text])))
 
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
