@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crawlframe.functions.text import let
+
 QUERIES: dict[str, Callable] = {}
 CHECKS: dict[str, str] = {}
 
@@ -50,6 +52,35 @@ def split_of(doc_id: str = "doc_id", parts: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+#: Numbers whose running sums are taken together.
+RUN = 256
+
+
+def running_sums(numbers: Column) -> Column:
+    """Of an array of longs: the sum of what stands before each one.
+
+    Appending to an array copies it, so sums are taken in runs of `RUN` numbers
+    and then over the runs: linear for arrays of any practical length.
+    """
+    empty = F.array().cast("array<bigint>")
+    zero = F.struct(F.lit(0).cast("bigint").alias("sum"), empty.alias("before"))
+
+    def step(acc: Column, value: Column) -> Column:
+        return F.struct((acc["sum"] + value).alias("sum"), F.concat(acc["before"], F.array(acc["sum"])).alias("before"))
+
+    def joined(runs: Column) -> Column:
+        starts = F.aggregate(runs, zero, lambda acc, r: step(acc, r["sum"]), lambda acc: acc["before"])
+        return let(starts, lambda first: F.flatten(F.transform(
+            runs, lambda r, i: F.transform(r["before"], lambda b: b + first[i]))))
+
+    def summed(values: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")),
+                          lambda k: F.aggregate(F.slice(values, k * RUN + 1, F.lit(RUN)), zero, step))
+        return F.when(F.size(values) > 0, let(cut, joined)).otherwise(empty)
+
+    return let(numbers, summed)
+
+
 def words(text: bytes | None) -> list[bytes]:
     """The words of a UTF-8 text, A-Z lower-cased; none for null."""
     return text.translate(LOWER).split() if text else []
