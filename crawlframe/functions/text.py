@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlframe import rules
@@ -19,6 +19,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def spare(df: DataFrame) -> str:
+    """A prefix that no column of `df` has, for the names an operator uses inside."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def strip(c: Column) -> Column:
     """Trim Unicode whitespace on both sides."""
     return F.trim(c, F.lit(rules.WS_CHARS))

@@ -7,18 +7,11 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions import urls as U
 from crawlframe.functions.text import basename
-from crawlframe.session import fits_broadcast
+from crawlframe.operators.grams import contained_join
+from crawlframe.operators.matching import contained, rule_groups, without_hits
 
-# Rule lists up to this length are matched against each text in place.
-INLINE_RULES = 2_000
-
-
-def _pieces(text: Column, n: int) -> Column:
-    """All pieces of `n` characters of a text."""
-    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    return F.when(
-        F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
-    ).otherwise(F.array().cast("array<string>"))
+# Rule lists up to this length are matched as literals, in the row and without Python.
+INLINE_RULES = 64
 
 
 def substring_matches(
@@ -27,33 +20,31 @@ def substring_matches(
 ) -> DataFrame:
     """Distinct (key, rule) pairs where the text contains the rule.
 
-    A short rule list (counted) is turned into one array and matched in the
-    row. A longer one becomes an equi-join: the text's pieces of the rules'
-    lengths meet the rules of the same text. Both give the same pairs.
+    A short rule list (counted) is matched in place by built-in functions, a
+    longer one by an automaton in one Arrow pass over the texts per bounded group
+    of rules. Texts are not moved; only the pairs found are made distinct.
     """
-    words = rules.select(F.col(rule).alias("_rule")).filter(F.col("_rule") != "").distinct()
     base = texts.select(F.col(key), F.col(text).alias("_text"))
-    if fits_broadcast(words, inline_rules):
-        listed = [r[0] for r in words.collect()]  # at most `inline_rules` short strings
-        if not listed:
-            return base.select(key, F.lit("").alias(rule)).filter(F.lit(False))
-        hits = F.filter(F.array(*map(F.lit, sorted(listed))), lambda w: F.contains("_text", w))
-        return base.select(key, F.explode(hits).alias(rule))
-    lengths = [r[0] for r in words.select(F.length("_rule")).distinct().collect()]
-    pieces = F.flatten(F.array(*[_pieces(F.col("_text"), n) for n in lengths]))
-    grams = base.select(key, F.explode(F.array_distinct(pieces)).alias("_rule"))
-    return grams.join(words, "_rule").select(key, F.col("_rule").alias(rule))
+    pairs = None
+    for words in rule_groups(rules, rule):
+        if len(words) <= inline_rules:
+            hits = F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda w: F.contains("_text", w))
+            found = base.select(key, F.explode(hits).alias(rule))
+        else:
+            found = contained(base, "_text", key, words, rule)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return pairs.distinct()
 
 
 def drop_blacklisted(df: DataFrame, url: str, rules: DataFrame, rule: str = "rule",
                      inline_rules: int = INLINE_RULES) -> DataFrame:
-    """Rows whose lower-case URL contains no rule."""
-    if fits_broadcast(rules, inline_rules):
-        listed = sorted({r[0] for r in rules.select(rule).collect() if r[0]})
-        return df.filter(~F.coalesce(U.is_blacklisted(url, listed), F.lit(False)))
-    names = df.select(F.col(url).alias("_u"), F.lower(url).alias("_low")).distinct()
-    hit = substring_matches(names, "_low", "_u", rules, rule, inline_rules).select("_u").distinct()
-    return df.join(hit, F.col(url) == F.col("_u"), "left_anti")
+    """Rows whose lower-case URL contains no rule; rows stay in their partitions."""
+    for words in rule_groups(rules, rule):
+        if len(words) <= inline_rules:
+            df = df.filter(~F.coalesce(U.is_blacklisted(url, words), F.lit(False)))
+        else:
+            df = without_hits(df, F.lower(url), words)
+    return df
 
 
 def host_suffixes(host: Column) -> Column:
@@ -97,6 +88,22 @@ def files_with_url(files: DataFrame, frontier: DataFrame, name: str = "file_name
     )
 
 
+def files_with_stored_url(files: DataFrame, frontier: DataFrame, name: str = "file_name") -> DataFrame:
+    """Each file with the smallest URL whose stored path contains its name, else `file://name`.
+
+    The name is searched without regard to case, and `%` and `_` in it are
+    wildcards, as a stored path is looked up with ILIKE.
+    """
+    stored = frontier.filter(F.col("html_file_path").isNotNull()).groupBy("html_file_path").agg(F.min("url").alias("url"))
+    pairs = contained_join(files, name, stored, "html_file_path")
+    first = pairs.groupBy(F.col(name).alias("_name")).agg(F.min("url").alias("url"))
+    return (
+        files.join(first, F.col(name) == F.col("_name"), "left")
+        .withColumn("url", F.coalesce("url", F.concat(F.lit("file://"), F.col(name))))
+        .drop("_name")
+    )
+
+
 def with_file_exists(frontier: DataFrame, files: DataFrame, name: str = "file_name") -> DataFrame:
     """The frontier with the stored file's base name and whether that file exists."""
     names = files.select(F.col(name).alias("_file")).distinct()

@@ -11,6 +11,7 @@ from crawlframe.plans.q_urls import LOG_LEVEL_SQL, LOG_LINES_SQL, log_lines
 from crawlframe.plans.registry import query
 from crawlframe.session import scratch
 from crawlframe.streaming import jobs as S
+from crawlframe.streaming import live as S_LIVE
 
 _FILES = 2
 
@@ -58,3 +59,30 @@ def stream_log_levels(spark, d):
     out = scratch(spark, "levels")
     finish(S.stream_log_levels(stream, out, scratch(spark, "ckpt")))
     return spark.read.parquet(out).select("message", "level")
+
+
+_LATE_HOURS, _STALE_HOURS = 6, 48
+
+
+def timed_log(spark, d):
+    """The log stream in three files along time, each with rows up to some hours late."""
+    path = scratch(spark, "events")
+    e = V.table(spark, d, "events")
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    step = (high - low) / 3
+    late = F.col("ts") + F.make_dt_interval(hours=F.col("event_id") % _LATE_HOURS)
+    for k in range(3):
+        after = late >= F.lit(low + step * k) if k else F.lit(True)
+        before = late < F.lit(low + step * (k + 1)) if k < 2 else F.lit(True)
+        e.filter(after & before).coalesce(1).write.mode("append").parquet(path)
+    return V.log_columns(S.read_log_stream(spark, path, e.schema, files_per_batch=1))
+
+
+@query("stream_stale", "log_v", f"""
+    SELECT f.* REPLACE (CASE WHEN status = 'crawling' AND CAST(created_time AS TIMESTAMP) < w - INTERVAL {_STALE_HOURS} HOUR
+        THEN 'pending' ELSE status END AS status)
+    FROM ({FOLD_SQL}) f, (SELECT date_trunc('millisecond', max(ts)) - INTERVAL {_LATE_HOURS} HOUR AS w FROM log_v) n""")
+def stream_stale(spark, d):
+    out = scratch(spark, "live")
+    finish(S_LIVE.stream_live(timed_log(spark, d), out, scratch(spark, "ckpt"), _STALE_HOURS, f"{_LATE_HOURS} hours"))
+    return shown(S_LIVE.read_live(spark, out))
