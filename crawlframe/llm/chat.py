@@ -44,15 +44,19 @@ MARK = "\ue000"
 ATTACHMENT = "struct<turn:int,part:int,kind:string,ref:string,tokens:bigint>"
 
 
+def _least(number: Column, low: float) -> Column:
+    return F.when(number < low, F.lit(low)).otherwise(number)  # a null stays null
+
+
 def _patches(side: Column) -> Column:
-    return F.ceil(F.greatest(side, F.lit(1)) / PATCH)
+    return F.ceil(_least(side, 1) / PATCH)
 
 
 #: What a visitor needs of every attachment type: the letter behind MARK, and the tokens it expands to.
 VISITORS: dict[str, tuple[str, Callable[[Column], Column]]] = {
     "image": ("i", lambda p: _patches(p["width"]) * _patches(p["height"])),
-    "audio": ("a", lambda p: F.ceil(F.greatest(p["seconds"], F.lit(0.0)) * PER_SECOND)),
-    "document": ("d", lambda p: F.greatest(p["pages"], F.lit(0)).cast("long") * PER_PAGE),
+    "audio": ("a", lambda p: F.ceil(_least(p["seconds"], 0.0) * PER_SECOND)),
+    "document": ("d", lambda p: _least(p["pages"], 0).cast("long") * PER_PAGE),
     "other": ("o", lambda p: F.lit(1)),
 }
 PLACEHOLDER = r"<\|(" + "|".join(VISITORS) + r")\|>"

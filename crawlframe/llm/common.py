@@ -52,33 +52,38 @@ def split_of(doc_id: str = "doc_id", parts: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-#: Numbers whose running sums are taken together.
+#: Numbers that are run through together.
 RUN = 256
 
 
-def running_sums(numbers: Column) -> Column:
-    """Of an array of longs: the sum of what stands before each one.
+def running(numbers: Column, combine: Callable[[Column, Column], Column], zero: int) -> Column:
+    """Of an array of longs: what `combine` (associative, with `zero` neutral) makes of those before each one.
 
-    Appending to an array copies it, so sums are taken in runs of `RUN` numbers
-    and then over the runs: linear for arrays of any practical length.
+    Appending to an array copies it, so runs of `RUN` numbers are gone through
+    first and then the runs: linear for arrays of any practical length.
     """
     empty = F.array().cast("array<bigint>")
-    zero = F.struct(F.lit(0).cast("bigint").alias("sum"), empty.alias("before"))
+    start = F.struct(F.lit(zero).cast("bigint").alias("all"), empty.alias("before"))
 
     def step(acc: Column, value: Column) -> Column:
-        return F.struct((acc["sum"] + value).alias("sum"), F.concat(acc["before"], F.array(acc["sum"])).alias("before"))
+        return F.struct(combine(acc["all"], value).alias("all"), F.concat(acc["before"], F.array(acc["all"])).alias("before"))
 
     def joined(runs: Column) -> Column:
-        starts = F.aggregate(runs, zero, lambda acc, r: step(acc, r["sum"]), lambda acc: acc["before"])
-        return let(starts, lambda first: F.flatten(F.transform(
-            runs, lambda r, i: F.transform(r["before"], lambda b: b + first[i]))))
+        firsts = F.aggregate(runs, start, lambda acc, r: step(acc, r["all"]), lambda acc: acc["before"])
+        return let(firsts, lambda first: F.flatten(F.transform(
+            runs, lambda r, i: F.transform(r["before"], lambda b: combine(first[i], b)))))
 
-    def summed(values: Column) -> Column:
+    def gone(values: Column) -> Column:
         cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")),
-                          lambda k: F.aggregate(F.slice(values, k * RUN + 1, F.lit(RUN)), zero, step))
+                          lambda k: F.aggregate(F.slice(values, k * RUN + 1, F.lit(RUN)), start, step))
         return F.when(F.size(values) > 0, let(cut, joined)).otherwise(empty)
 
-    return let(numbers, summed)
+    return let(numbers, gone)
+
+
+def running_sums(numbers: Column) -> Column:
+    """Of an array of longs: the sum of what stands before each one."""
+    return running(numbers, lambda a, b: a + b, 0)
 
 
 def words(text: bytes | None) -> list[bytes]:

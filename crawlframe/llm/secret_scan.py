@@ -7,9 +7,11 @@ are updated by the character that enters and the one that leaves. The span goes
 from the first to the last window that reaches it, unless an allow-list rule
 takes the candidate for harmless or the span touches a pattern's span.
 
-Positions count code points, ends are exclusive. Defined cases: null and empty
-texts have no spans; repeated rows are scanned alike; extra columns pass
-through, and those named like a result are replaced.
+Positions count code points, ends are exclusive. All work is linear in the text
+and its matches: no pattern repeats a repeat, spans come from running sums, and
+redaction cuts pieces by place. Defined cases: null and empty texts have no spans;
+repeated rows are scanned alike; extra columns pass through whatever their
+names, but `scan` replaces those named like a result.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlframe.llm.common import cols, query, table, without
+from crawlframe.functions.text import let, spare
+from crawlframe.llm.common import cols, query, running, running_sums, table, without
 
 
 def _either(word: str) -> str:
@@ -49,24 +52,53 @@ ALLOW = (
     "^[/_-]*([A-Za-z]?[a-z]*[/_-]+)+([A-Za-z]?[a-z]*)$",
     "(?i)example|sample|placeholder|lorem|abcdefgh|12345678",
 )
+#: Tells the reader of UTF-32 the order of bytes, so that a mark in the text is not taken for it.
+BIG_ENDIAN = b"\x00\x00\xfe\xff"
 MADE = ["base_spans", "entropy_spans"]
 SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
 
 def _placed(found: str, pieces: str, ok, rank: int, kind: str) -> Column:
     """Spans of matches from the lengths of the matches and of the text between them."""
-    empty = F.expr(f"cast(array() as {SPAN})")
+    steps = F.transform(found, lambda m, i: F.col(pieces)[i] + F.length(m))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["pos"] + F.element_at(pieces, i)
-        end = start + F.length(F.element_at(found, i))
-        span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
-                                end.alias("end"))).cast(SPAN)
-        return F.struct(end.alias("pos"), F.when(ok(i), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def spans(before: Column) -> Column:
+        every = F.transform(found, lambda m, i: F.struct(
+            (before[i] + F.col(pieces)[i]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
+            (before[i] + F.col(pieces)[i] + F.length(m)).alias("end"), ok(i).alias("ok")))
+        return F.transform(F.filter(every, lambda s: s["ok"]), lambda s: F.struct(
+            s["start"], s["rank"], s["kind"], s["end"]))
 
-    return F.when(F.size(found) == 0, empty).otherwise(F.aggregate(
-        F.sequence(F.lit(1), F.size(found)),
-        F.struct(F.lit(0).cast("bigint").alias("pos"), empty.alias("out")), step, lambda acc: acc["out"]))
+    return F.when(F.size(found) == 0, F.expr(f"cast(array() as {SPAN})")).otherwise(
+        let(running_sums(steps), spans).cast(SPAN))
+
+
+def _harmless(c: Column) -> Column:
+    """Whether an allow-list rule takes `c`; each test is one run over it, without repeats inside repeats."""
+    words_ = c.rlike("^[A-Za-z/_-]+$") & c.rlike("[/_-]") & ~c.rlike("[A-Za-z][A-Z]")
+    return c.rlike(ALLOW[0]) | words_ | c.rlike(ALLOW[2])
+
+
+def _free(spans: Column, base: Column) -> Column:
+    """The indices of those of the sorted, disjoint `spans` that touch none of the `base` spans.
+
+    All are sorted by start: a span is hit if a base span before it ends behind
+    its start, or the next base span starts before its end.
+    """
+    far = 1 << 62
+    events = F.array_sort(F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(-1).alias("at"), b["end"].alias("end"))),
+        F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), i.cast("int").alias("at"), s["end"].alias("end")))))
+
+    def told(e: Column) -> Column:
+        ends = F.transform(e, lambda v: F.when(v["at"] < 0, v["end"]).otherwise(0).cast("bigint"))
+        starts = F.reverse(F.transform(e, lambda v: F.when(v["at"] < 0, v["start"]).otherwise(far).cast("bigint")))
+        both = F.struct(running(ends, F.greatest, 0).alias("before"), F.reverse(running(starts, F.least, far)).alias("after"))
+        return let(both, lambda r: F.transform(F.filter(F.transform(e, lambda v, i: F.struct(
+            v["at"].alias("at"), ((r["before"][i] <= v["start"]) & (r["after"][i] >= v["end"])).alias("free"))),
+            lambda v: (v["at"] >= 0) & v["free"]), lambda v: v["at"]))
+
+    return F.when(F.size(base) == 0, F.transform(spans, lambda s, i: i.cast("int"))).otherwise(let(events, told))
 
 
 def _window_span(c: Column) -> Column:
@@ -103,54 +135,53 @@ def _window_span(c: Column) -> Column:
                            lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
     chars = F.regexp_extract_all(c, F.lit("."), F.lit(0))
+    none = F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"))
     one = F.array(F.struct(chars.alias("c"), F.array_distinct(chars).alias("d"), limit.alias("least")))
     two = F.transform(one, lambda o: F.struct(
         F.transform(o["c"], lambda ch: F.array_position(o["d"], ch).cast("int")).alias("idx"),
         F.size(o["d"]).alias("size"), o["least"].alias("least")))
-    return F.element_at(F.transform(two, lambda o: scan(o["idx"], o["size"], o["least"])), 1)
+    # So few different characters cannot reach the limit in any window.
+    return F.element_at(F.transform(two, lambda o: F.when(F.log2(o["size"]) < o["least"] - 1e-6, none).otherwise(
+        scan(o["idx"], o["size"], o["least"]))), 1)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with base_spans and entropy_spans: sorted arrays of (start, rank, kind, end)."""
     keep = without(docs, MADE)
-    whole = F.coalesce(F.col(text), F.lit(""))
+    p = spare(docs)
+    whole = F.coalesce(*cols([text]), F.lit(""))
     none = F.expr("cast(array() as array<string>)")
     patterns = {k: (v[0], v[3]) for k, v in KINDS.items()} | {"entropy": (CANDIDATE, ())}
-    out = docs.select(*cols(keep), whole.alias("__t"))
+    out = docs.select(*cols(keep), whole.alias(f"{p}t"))
     found = []
-    for k, (p, need) in patterns.items():
-        all_ = F.regexp_extract_all("__t", F.lit(p), F.lit(0))
+    for k, (pattern, need) in patterns.items():
+        all_ = F.regexp_extract_all(f"{p}t", F.lit(pattern), F.lit(0))
         if need:
-            there = F.col("__t").contains(need[0])
+            there = F.col(f"{p}t").contains(need[0])
             for n in need[1:]:
-                there = there | F.col("__t").contains(n)
+                there = there | F.col(f"{p}t").contains(n)
             all_ = F.when(there, all_).otherwise(none)
-        found.append(all_.alias(f"__m_{k}"))
+        found.append(all_.alias(f"{p}m_{k}"))
     out = out.select("*", *found)
     between = [
-        F.when(F.size(f"__m_{k}") > 0, F.transform(F.split("__t", p, -1), lambda x: F.length(x).cast("bigint")))
-        .otherwise(F.expr("cast(array() as array<bigint>)")).alias(f"__p_{k}")
-        for k, (p, _) in patterns.items()]
-    assign = F.when(F.size("__m_assign") > 0, F.regexp_extract_all("__t", F.lit(ASSIGN), F.lit(2))).otherwise(none)
-    out = out.select("*", *between, assign.alias("__g_assign"))
+        F.when(F.size(f"{p}m_{k}") > 0, F.transform(F.split(f"{p}t", pattern, -1), lambda x: F.length(x).cast("bigint")))
+        .otherwise(F.expr("cast(array() as array<bigint>)")).alias(f"{p}p_{k}")
+        for k, (pattern, _) in patterns.items()]
+    assign = F.when(F.size(f"{p}m_assign") > 0, F.regexp_extract_all(f"{p}t", F.lit(ASSIGN), F.lit(2))).otherwise(none)
+    out = out.select("*", *between, assign.alias(f"{p}g_assign"))
     base = []
     for rank, (k, (_, group, least, _)) in enumerate(KINDS.items()):
-        told = "__g_assign" if group else f"__m_{k}"
-        base.append(_placed(f"__m_{k}", f"__p_{k}",
-                            lambda i, told=told, least=least: F.length(F.element_at(told, i)) >= least, rank, k))
-    harmless = lambda c: F.exists(
-        F.array(*[c.rlike(a) for a in ALLOW]), lambda x: x)
-    out = out.select(*cols(keep), "__m_entropy", F.array_sort(F.concat(*base)).alias("base_spans"), _placed(
-        "__m_entropy", "__p_entropy", lambda i: F.lit(True), len(KINDS), "entropy").alias("__placed"))
-    raw = F.transform(F.filter(
-        F.arrays_zip(F.col("__m_entropy").alias("c"), F.col("__placed").alias("p")),
-        lambda z: ~harmless(z["c"]) & ~F.exists(
-            F.col("base_spans"), lambda b: (b["start"] < z["p"]["end"]) & (z["p"]["start"] < b["end"]))),
-        lambda z: F.struct(z["p"].alias("p"), _window_span(z["c"]).alias("w")))
+        told = F.col(f"{p}g_assign" if group else f"{p}m_{k}")
+        base.append(_placed(f"{p}m_{k}", f"{p}p_{k}", lambda i, told=told, least=least: F.length(told[i]) >= least, rank, k))
+    out = out.select(*cols(keep), f"{p}m_entropy", F.array_sort(F.concat(*base)).alias("base_spans"), _placed(
+        f"{p}m_entropy", f"{p}p_entropy", lambda i: F.lit(True), len(KINDS), "entropy").alias(f"{p}placed"))
+    texts, places = F.col(f"{p}m_entropy"), F.col(f"{p}placed")
+    raw = F.transform(F.filter(_free(places, F.col("base_spans")), lambda i: ~_harmless(texts[i])), lambda i: F.struct(
+        places[i].alias("p"), _window_span(texts[i]).alias("w")))
     spans = F.transform(F.filter(raw, lambda r: r["w"]["last"] > 0), lambda r: F.struct(
         (r["p"]["start"] + r["w"]["first"] - 1).alias("start"), r["p"]["rank"].alias("rank"),
         r["p"]["kind"].alias("kind"), (r["p"]["start"] + r["w"]["last"]).alias("end")))
-    spans = F.when(F.size("__m_entropy") == 0, F.expr(f"cast(array() as {SPAN})")).otherwise(spans.cast(SPAN))
+    spans = F.when(F.size(texts) == 0, F.expr(f"cast(array() as {SPAN})")).otherwise(spans.cast(SPAN))
     return out.select(*cols(keep), "base_spans", spans.alias("entropy_spans"))
 
 
@@ -164,23 +195,36 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", length:
 
     A column named `length` gets the new text's length where something was replaced.
     """
-    found = scan(docs, text)
-    spans = F.array_sort(F.concat("base_spans", "entropy_spans"))
-    step = lambda acc, s: F.when(  # noqa: E731  text kept so far, and the end of what is dealt with
-        s["end"] <= acc["at"], acc).when(
-        s["start"] < acc["at"], F.struct(acc["out"].alias("out"), s["end"].alias("at"))).otherwise(F.struct(
-            F.concat(acc["out"], F.expr("substring(__t, 1, 2147483647)").substr(
-                (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"),
-            s["end"].alias("at")))
-    done = F.aggregate("__s", F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")), step,
-                       lambda acc: F.concat(acc["out"], F.col("__t").substr(
-                           (acc["at"] + 1).cast("int"), F.length("__t"))))
-    out = found.withColumn("__s", spans).withColumn("__t", F.col(text))
-    out = out.withColumn(text, F.when(F.size("__s") == 0, F.col(text)).otherwise(done))
+    p = spare(docs)
+    (whole,) = cols([text])
+    own = docs.select("*", F.struct("*").alias(f"{p}given"))
+    found = scan(own, text)
+    spans = F.col(f"{p}s")
+
+    def cut(given_: Column) -> Column:
+        ends, raw = given_["ends"], given_["raw"]
+
+        def piece(start: Column, size: Column) -> Column:
+            """Code points of the text by their place, at the cost of the piece alone."""
+            own = F.substr(raw, (start * 4 + 1).cast("int"), (size * 4).cast("int"))
+            return F.decode(F.concat(F.lit(bytearray(BIG_ENDIAN)), own), "UTF-32")
+
+        parts = F.transform(spans, lambda s, i: F.when(s["start"] >= ends[i], F.concat(
+            piece(ends[i], s["start"] - ends[i]), F.lit(mark))).otherwise(""))
+        last = F.greatest(F.element_at(spans, -1)["end"], F.element_at(ends, -1))
+        return F.concat(F.array_join(parts, ""), piece(last, F.octet_length(raw) / 4 - last))
+
+    out = found.select(f"{p}given", F.array_sort(F.concat("base_spans", "entropy_spans")).alias(f"{p}s"), whole.alias(f"{p}t"))
+    # Bound by `let`, the bytes are held once; read from a row, they would be copied for each piece.
+    held = F.struct(running(F.transform(spans, lambda s: s["end"]), F.greatest, 0).alias("ends"),
+                    F.encode(f"{p}t", "UTF-32").alias("raw"))
+    done = F.when(F.size(spans) == 0, F.col(f"{p}t")).otherwise(let(held, cut))
+    out = out.select(f"{p}given", f"{p}s", done.alias(f"{p}d"))
+    new = {text: F.col(f"{p}d")}
+    given = F.col(f"{p}given")
     if length and length in docs.columns:
-        out = out.withColumn(length, F.when(F.size("__s") == 0, F.col(length)).otherwise(
-            F.length(text).cast(docs.schema[length].dataType)))
-    return out.select(*cols(docs.columns))
+        new[length] = F.when(F.size(spans) == 0, given[length]).otherwise(F.length(f"{p}d").cast(docs.schema[length].dataType))
+    return out.select(*[new.get(c, given[c]).alias(c) for c in docs.columns])
 
 
 def _sql() -> str:
