@@ -144,40 +144,78 @@ def collect_urls(fetched: DataFrame, seeds: DataFrame, max_depth: int, **judge)
     )
 
 
-def finished_pages(named: DataFrame, existing: DataFrame) -> DataFrame:
-    """Pages (without their text) whose output exists or is made by another page.
+def _keys(named: DataFrame) -> DataFrame:
+    """One narrow row per distinct page row: its name, what it is made of, and how often it occurs.
 
-    Of the pages of one output name, the one with the smallest URL makes it. Only
-    names and URLs are shuffled; the list is written, for it is read three times.
+    `_order` sorts the pages of a name (by URL, then content); the text is only hashed.
     """
-    names = named.drop("html")
-    makers = (
-        names.groupBy("md_name").agg(F.min("url").alias("url"))
-        .join(existing.select("md_name").distinct(), "md_name", "left_anti")
-    )
-    return cut_lineage(names.join(makers, ["url", "md_name"], "left_anti"))
+    carried = [c for c in named.columns if c not in ("html", "_id")]
+    order = F.struct("url", "_hash", "_id")
+    return cut_lineage(named.groupBy("_id").agg(
+        *[F.any_value(c).alias(c) for c in carried], F.count(F.lit(1)).alias("_n")).withColumn("_order", order))
+
+
+def _gated(named: DataFrame, keys: DataFrame, some: DataFrame, min_length: int, min_quality: float,
+           columns: list[str]) -> DataFrame:
+    """Outcomes of the pages in `some` (of `keys`), one row per distinct page; written, for they are read twice."""
+    rest = keys.join(some.select("_id"), "_id", "left_anti").select("_id")
+    # Whichever list is shorter meets the pages, so that it can be broadcast and their text stays in place.
+    few = some.count() <= keys.count() / 2
+    todo = named.join(some.select("_id"), "_id", "left_semi") if few else named.join(rest, "_id", "left_anti")
+    todo = todo.withColumn("empty", strip(F.coalesce("html", F.lit(""))) == "")
+    done = IO.gate_markdown(parse_pages(todo, ["markdown"]), min_length, min_quality)
+    done = done.join(some.select("_id", "_n", "_order"), "_id")
+    done = done.select(*columns, "_id", "_n", "_order")
+    return cut_lineage(done.filter("_n = 1").unionByName(done.filter("_n > 1").dropDuplicates(["_id"])))
 
 
-def pages_to_markdown(pages: DataFrame, existing: DataFrame, min_length: int = 200,
-                      min_quality: float = 40, force: bool = False) -> DataFrame:
-    """Pages (url, html) to outcomes and clean Markdown.
+def _existing(rows: DataFrame, columns: list[str]) -> DataFrame:
+    made = {"outcome": F.lit("existing"), "reason": F.lit(None).cast("string"),
+            "clean_markdown": F.lit(None).cast("string"), "quality": F.lit(None).cast("double")}
+    return rows.select(*[made[c].alias(c) if c in made else F.col(c) for c in columns])
+
 
-    Pages that need no work are told apart by name before the parse, so Python
-    never reads them. With `force` all pages are processed and clashing names
-    get a suffix.
+def pages_to_markdown(pages: DataFrame, existing: DataFrame, min_length: int = 200,
+                      min_quality: float = 40, force: bool = False, name: Column | None = None) -> DataFrame:
+    """Pages (url, html) to outcomes and clean Markdown; one row per page row.
+
+    Pages of one output name (`name`, by default made from the URL) are tried in the
+    order of their URLs until one succeeds; the others are `existing`, as are repeated
+    rows of a page that succeeded. That takes two passes however many pages a name
+    has: its first page, and all others where that one failed. Pages that need no work
+    are told apart by narrow rows before the parse, so Python never reads them. With
+    `force` all pages are processed and clashing names get a suffix.
     """
-    named = pages.withColumn("md_name", U.md_filename(U.page_filename("url")))
-    todo = named
-    if not force:
-        finished = finished_pages(named, existing)
-        todo = named.join(finished.select("url"), "url", "left_anti")
-    todo = todo.withColumn("empty", strip(F.coalesce("html", F.lit(""))) == "")
-    done = IO.gate_markdown(parse_pages(todo, ["markdown"]), min_length, min_quality)
+    made = U.md_filename(U.page_filename("url")) if name is None else name
+    named = pages.withColumn("md_name", made)
     if force:
-        return IO.unique_md_names(done, existing)
-    label = finished.select(
-        *[F.col(c) for c in done.columns if c in finished.columns],
-        F.lit("existing").alias("outcome"), F.lit(None).cast("string").alias("reason"),
-        F.lit(None).cast("string").alias("clean_markdown"), F.lit(None).cast("double").alias("quality"),
-    )
-    return done.unionByName(label)
+        todo = named.withColumn("empty", strip(F.coalesce("html", F.lit(""))) == "")
+        return IO.unique_md_names(IO.gate_markdown(parse_pages(todo, ["markdown"]), min_length, min_quality), existing)
+    columns = [*[c for c in named.columns if c != "html"], "outcome", "reason", "clean_markdown", "quality"]
+    named = named.withColumn("_hash", F.sha2(F.coalesce("html", F.lit("")), 256))
+    rest = [c for c in named.columns if c != "html"]
+    named = named.withColumn("_id", F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256))
+    keys = _keys(named)
+    open_ = keys.join(existing.select("md_name").distinct(), "md_name", "left_anti")
+    first = open_.groupBy("md_name").agg(F.min("_order").alias("_least"))
+    one = cut_lineage(open_.join(first.select(F.col("_least._id").alias("_id")), "_id", "left_semi"))
+    done = _gated(named, keys, one, min_length, min_quality, columns)
+    tried = one
+    thin = done.filter("outcome <> 'success'").select("md_name")
+    others = cut_lineage(open_.join(thin, "md_name", "left_semi").join(one.select("_id"), "_id", "left_anti"))
+    if not others.isEmpty():
+        more = _gated(named, keys, others, min_length, min_quality, columns)
+        best = more.filter("outcome = 'success'").groupBy(F.col("md_name").alias("_name")).agg(F.min("_order").alias("_best"))
+        more = more.join(best, F.col("md_name") == F.col("_name"), "left")
+        late = F.coalesce(F.col("_order") > F.col("_best"), F.lit(False))
+        more = more.withColumn("_late", late).drop("_name", "_best")
+        done = done.unionByName(more.filter("not _late").drop("_late")).unionByName(
+            _existing(more.filter("_late"), [*columns, "_id", "_n", "_order"]).select(*done.columns))
+        tried = one.unionByName(others)
+    # Repeated rows: the output of a success exists for its copies, a failure is theirs too.
+    copies = done.filter("_n > 1").withColumn("_copy", F.explode(F.sequence(F.lit(2), F.col("_n"))))
+    failed = copies.filter("outcome <> 'success'").select(*columns)
+    served = _existing(copies.filter("outcome = 'success'"), columns)
+    left = keys.join(tried.select("_id"), "_id", "left_anti")
+    left = _existing(left.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))), columns)
+    return done.select(*columns).unionByName(failed).unionByName(served).unionByName(left)

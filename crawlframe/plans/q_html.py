@@ -11,6 +11,7 @@ from crawlframe.functions import html as H
 from crawlframe.functions import markdown as M
 from crawlframe.functions import relevance as R
 from crawlframe.functions import urls as U
+from crawlframe.functions.text import strip
 from crawlframe.operators import graph as G
 from crawlframe.operators import reports as RP
 from crawlframe.operators.parse import parse_pages
@@ -152,23 +153,25 @@ def clean_html(spark, d):
     return parse_pages(V.pages(spark, d).select("page_id", "html"), ["clean_html"])
 
 
-# Marks (#, *, escapes) and blanks are left out of the comparison.
-_MARKS_RE = r"[#*\\\s]"
-_MD_TEXT = s_unescape(
-    f"regexp_replace(regexp_replace({_ARTICLE}, '</?p>|<br>|</h1>', chr(10), 'g'), '<[^>]*>', '', 'g')"
-)
+# Markdown of an article: its first entity behind an opened mark stands off by a blank, and marks
+# that stay open are closed at its end, each on a line of its own.
+_OPENED = f"regexp_replace({_ARTICLE}, '(<b>[^<&]*[^<&\\s])(&[a-z]+;)', '\\1 \\2', 'g')"
+_LINED = "replace(" * 6 + _OPENED + "".join(
+    f", '{tag}', {text})" for tag, text in (("<h1>", "'# '"), ("</h1>", "chr(10)"), ("<p>", "chr(10)"), ("</p>", "chr(10)"),
+                                            ("<br>", "chr(10)"), ("<b>", "'**'")))
+_MD_TEXT = s_unescape(f"concat({_LINED}, repeat(concat(chr(10), '**'), {s_count(_ARTICLE, '<b>')} - {s_count(_ARTICLE, '</b>')}))")
+_MD_PAGES = f"SELECT page_id AS doc_id, {_MD_TEXT} AS text FROM pages"
 
 
 @query("page_markdown", "", f"""
-    SELECT page_id, len(ls) AS n_lines, md5(array_to_string(ls, '')) AS text_md5
-    FROM (SELECT page_id, list_filter(list_transform(string_split({_MD_TEXT}, chr(10)),
-            lambda x: regexp_replace(x, '{_MARKS_RE}', '', 'g')), lambda x: x <> '') AS ls FROM pages) l""")
+    SELECT page_id, len(ls) AS n_lines, md5(array_to_string(ls, chr(10))) AS text_md5
+    FROM (SELECT doc_id AS page_id, list_filter(list_transform(string_split(text, chr(10)),
+            lambda x: regexp_replace(x, '^{rules.WS}+|{rules.WS}+$', '', 'g')), lambda x: x <> '') AS ls FROM ({_MD_PAGES}) m) l""")
 def page_markdown(spark, d):
     md = parse_pages(V.pages(spark, d).select("page_id", "html"), ["markdown"])
-    bare = F.transform(F.split("markdown", "\n"), lambda x: F.regexp_replace(x, _MARKS_RE, ""))
-    lines = F.filter(bare, lambda x: x != "")
+    lines = F.filter(F.transform(F.split("markdown", "\n"), strip), lambda x: x != "")
     return md.select(
-        "page_id", F.size(lines).cast("long").alias("n_lines"), F.md5(F.array_join(lines, "")).alias("text_md5")
+        "page_id", F.size(lines).cast("long").alias("n_lines"), F.md5(F.array_join(lines, "\n")).alias("text_md5")
     )
 
 
@@ -343,12 +346,17 @@ def s_strip(t: str) -> str:
 
 NAV_PATTERNS = [re.escape(t).replace("\\-", "-") for t in rules.NAV_TEXTS] + [p for _, p in rules.NAV_REGEXES]
 _ANY_NAV = "|".join(f"(?:{p})" for p in NAV_PATTERNS)
-_FILTERED = f"""SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT (
+def s_filtered(src: str) -> str:
+    """A (doc_id, text) source without navigation lines."""
+    return f"""SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT (
         line = '' OR regexp_matches(line, {lit(_ANY_NAV)}) OR line IN ({', '.join(lit(x) for x in rules.NAV_EXACT_LINES)})
         OR regexp_matches(line, {lit(rules.NAV_RULE_LINE)})
         OR (length(line) <= 5 AND {s_any('line', rules.NAV_SHORT_WORDS)}))), '') AS text
     FROM (SELECT doc_id, {s_strip('unnest(string_split(text, chr(10)))')} AS line,
-                 generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM ({_NAV_DOCS}) nd) ln GROUP BY doc_id"""
+                 generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM ({src}) nd) ln GROUP BY doc_id"""
+
+
+_FILTERED = s_filtered(_NAV_DOCS)
 
 
 @query("nav_filter", "", f"SELECT doc_id, md5(text) AS text_md5, length(text) AS n_chars FROM ({_FILTERED}) f")
@@ -385,11 +393,19 @@ def doc_quality(spark, d):
     return V.table(spark, d, "documents").select("doc_id", M.quality("text").alias("q")).select("doc_id", "q.*")
 
 
-_GATED = f"""SELECT doc_id, text_length, total,
+def s_gated(src: str) -> str:
+    """Outcome and reason of a (doc_id, text) source of filtered texts."""
+    return f"""SELECT doc_id, text_length, total,
     CASE WHEN text_length < 200 OR total < 40 THEN 'skipped' ELSE 'success' END AS outcome,
     CASE WHEN text_length < 200 THEN concat('内容长度不足：', text_length, '字符 < 200字符')
          WHEN total < 40 THEN concat('内容质量不达标：', printf('%.1f', total), '分 < 40分') END AS reason
-    FROM ({s_quality(_FILTERED)}) q"""
+    FROM ({s_quality(src)}) q"""
+
+
+_GATED = s_gated(_FILTERED)
+_MD_FILTERED = s_filtered(_MD_PAGES)
+_MD_GATED = f"""SELECT f.doc_id AS page_id, f.text, g.total, g.outcome, g.reason
+    FROM ({_MD_FILTERED}) f JOIN ({s_gated(_MD_FILTERED)}) g USING (doc_id)"""
 
 
 @query("quality_gate", "", f"SELECT doc_id, outcome, reason FROM ({_GATED}) g")
@@ -418,10 +434,3 @@ def md_summary(spark, d):
     done = IO.gate_markdown(IO.skip_existing(docs, old)).select("outcome")
     kept = docs.select("md_name").join(old, "md_name", "left_semi").select(F.lit("existing").alias("outcome"))
     return RP.md_summary(done.unionByName(kept))
-
-
-@query("md_corpus")
-def md_corpus(spark, d):
-    p = V.pages(spark, d)
-    old = p.filter("page_id % 7 = 0").select(U.md_filename(U.page_filename("url")).alias("md_name"))
-    return J.pages_to_markdown(p, old)

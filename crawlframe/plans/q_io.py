@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crawlframe.functions import html as H
@@ -20,10 +21,10 @@ from crawlframe.operators.parse import parse_pages
 from crawlframe.plans import jobs as J
 from crawlframe.plans import views as V
 from crawlframe.plans.q_frontier import _SHOWN, shown
-from crawlframe.plans.q_html import _TITLE_DOM, LINKS_SQL, PAGE_BLACKLIST, s_unescape
+from crawlframe.plans.q_html import _MD_GATED, _TITLE_DOM, LINKS_SQL, PAGE_BLACKLIST, s_unescape
 from crawlframe.plans.q_urls import _PAGE_NAME, lit, s_any, s_valid
 from crawlframe.plans.registry import query
-from crawlframe.session import scratch
+from crawlframe.session import cut_lineage, scratch
 from crawlframe.sources import files as IO
 from crawlframe.sources import tables as TB
 
@@ -177,14 +178,63 @@ def md_force(spark, d):
     return J.pages_to_markdown(p, taken, force=True).select("page_id", "md_name")
 
 
-@query("md_write")
-def md_write(spark, d):
+def md_pages(spark, d):
+    """Pages in pairs of one name, some first ones too thin; some rows twice and some names taken."""
     p = V.pages(spark, d)
-    none = spark.createDataFrame([], "md_name string")
+    k = F.col("page_id")
+    rows = p.select(
+        "page_id", F.concat("url", F.lit("#"), F.lpad(k.cast("string"), 8, "0")).alias("url"),
+        F.when(k % 6 == 0, "<p>thin</p>").when(k % 10 == 4, " ").otherwise(F.col("html")).alias("html"),
+        F.concat(F.lit("n"), F.floor(k / 2).cast("string"), F.lit(".md")).alias("md"),
+    )
+    # A name's pages are tried by URL; these sort by page number.
+    rows = rows.withColumn("url", F.concat(F.lit("http://x/"), F.lpad(k.cast("string"), 8, "0")))
+    return rows.unionByName(rows.filter("page_id % 5 = 0"))
+
+
+def md_taken(spark, d):
+    return V.pages(spark, d).filter("page_id % 14 = 0").select(
+        F.concat(F.lit("n"), F.floor(F.col("page_id") / 2).cast("string"), F.lit(".md")).alias("md_name"))
+
+
+_MD_ROWS = f"""rws AS (SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'thin' WHEN page_id % 10 = 4 THEN 'blank' END AS odd,
+      concat('n', page_id // 2, '.md') AS md_name, CASE WHEN page_id % 5 = 0 THEN 2 ELSE 1 END AS copies FROM pages),
+    gated AS (SELECT r.*, CASE WHEN odd = 'thin' THEN 'skipped' WHEN odd = 'blank' THEN 'failed' ELSE g.outcome END AS out,
+      CASE WHEN odd = 'thin' THEN '内容长度不足：4字符 < 200字符' WHEN odd = 'blank' THEN '处理失败: HTML文件为空' ELSE g.reason END AS why,
+      g.text, g.total FROM rws r JOIN ({_MD_GATED}) g USING (page_id)),
+    best AS (SELECT md_name, min(page_id) FILTER (out = 'success') AS winner FROM gated GROUP BY md_name),
+    taken AS (SELECT DISTINCT concat('n', page_id // 2, '.md') AS md_name FROM pages WHERE page_id % 14 = 0),
+    c AS (SELECT g.*, unnest(range(1, copies + 1)) AS copy, winner, md_name IN (SELECT md_name FROM taken) AS old
+          FROM gated g JOIN best USING (md_name)),
+    told AS (SELECT page_id, md_name, copy, CASE WHEN old OR page_id > winner OR (page_id = winner AND copy > 1) THEN 'existing' ELSE out END AS outcome,
+      why, text, total, odd FROM c)"""
+
+
+@query("md_corpus", "", f"""WITH {_MD_ROWS}
+    SELECT page_id, md_name, outcome, CASE WHEN outcome <> 'existing' THEN why END AS reason,
+      CASE WHEN outcome = 'success' THEN md5(text) END AS text_md5,
+      CASE WHEN outcome IN ('success', 'skipped') AND odd IS NULL THEN round(total, 6) END AS quality FROM told""")
+def md_corpus(spark, d):
+    out = J.pages_to_markdown(md_pages(spark, d), md_taken(spark, d), name=F.col("md"))
+    odd = (F.col("page_id") % 6 == 0) | (F.col("page_id") % 10 == 4)
+    return out.select("page_id", "md_name", "outcome", "reason", F.md5("clean_markdown").alias("text_md5"),
+                      F.when(~odd, F.round("quality", 6)).alias("quality"))
+
+
+@query("md_write", "", f"""WITH {_MD_ROWS}
+    SELECT md_name, length(text) AS n_chars, round(total, 6) AS quality, md5(text) AS text_md5 FROM told WHERE outcome = 'success'""")
+def md_write(spark, d):
     path = scratch(spark, "corpus")
-    IO.write_markdown(J.pages_to_markdown(p, none), path)
-    stored = spark.read.parquet(path)
-    return stored.select("md_name", F.length("clean_markdown").alias("n_chars"), "quality")
+    done = J.pages_to_markdown(md_pages(spark, d), md_taken(spark, d), name=F.col("md"))
+    # Two batches; the second runs twice, and a third run dies before it is committed.
+    half = F.pmod(F.xxhash64("md_name"), F.lit(2)) == 0
+    IO.write_markdown(done.filter(half), path, "first")
+    for _ in range(2):
+        IO.write_markdown(done.filter(~half), path, "second")
+    done.filter("outcome = 'success'").select("md_name", "clean_markdown", "quality").write.parquet(f"{path}/data/died")
+    return IO.read_markdown(spark, path).select(
+        "md_name", F.length("clean_markdown").cast("long").alias("n_chars"), F.round("quality", 6).alias("quality"),
+        F.md5("clean_markdown").alias("text_md5"))
 
 
 @query("md_rejects", "", """
@@ -299,12 +349,59 @@ def snapshot_manifest(spark, d):
     return m.select("name", "rows", "raw_bytes", smaller.alias("smaller"))
 
 
+_BUCKET_SQL = f"CAST(('0x' || substr(md5(url), 1, 7))::BIGINT % {TB.BUCKETS} AS INT)"
+
+
+@query("snapshot_damaged", "", f"""
+    SELECT bucket, n AS rows, CASE bucket WHEN 3 THEN 2 * n WHEN 5 THEN 0 ELSE n END AS actual_rows, bucket NOT IN (3, 5) AS ok
+    FROM (SELECT {_BUCKET_SQL} AS bucket, count(*) AS n FROM pages GROUP BY 1) b""")
+def snapshot_damaged(spark, d):
+    root, name = scratch(spark, "archives"), f"webpages_archive_{_AT:%Y%m%d_%H%M%S}"
+    TB.snapshot(V.pages(spark, d), root, _AT)
+    # One folder gets its rows once more, another loses them.
+    held = TB.read_snapshot(spark, root, name, buckets=[3]).drop(TB.BUCKET)
+    cut_lineage(held).write.mode("append").parquet(f"{root}/{name}/{TB.BUCKET}=3")
+    held.filter("false").write.mode("overwrite").parquet(f"{root}/{name}/{TB.BUCKET}=5")
+    return TB.verify_tree(spark, root, name).select("bucket", "rows", "actual_rows", "ok")
+
+
+def changed_pages(spark, d):
+    """The pages a while later: some gone, some changed, some new."""
+    k = F.col("page_id")
+    p = V.pages(spark, d)
+    later = p.filter(k % 11 != 0).withColumn("html", F.when(k % 13 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html")))
+    return later.unionByName(p.filter(k % 17 == 0).withColumn("url", F.concat("url", F.lit("/new"))))
+
+
+@query("snapshot_compare", "", """
+    SELECT url, CASE WHEN page_id % 11 = 0 THEN 'removed' ELSE 'changed' END AS change FROM pages WHERE page_id % 11 = 0 OR page_id % 13 = 0
+    UNION ALL SELECT concat(url, '/new'), 'added' FROM pages WHERE page_id % 17 = 0""")
+def snapshot_compare(spark, d):
+    root = scratch(spark, "archives")
+    TB.snapshot(V.pages(spark, d), root, _AT)
+    TB.snapshot(changed_pages(spark, d), root, datetime(2024, 5, 7))
+    return TB.compare_snapshots(spark, root, "webpages_archive_20240506_070809", "webpages_archive_20240507_000000")
+
+
+@query("retention_tree", "", "SELECT concat(url, '/new') AS url FROM pages WHERE page_id % 17 = 0")
+def retention_tree(spark, d):
+    root = scratch(spark, "archives")
+    TB.snapshot(V.pages(spark, d), root, _AT)
+    return TB.retain_by_tree(changed_pages(spark, d), root, "webpages_archive_20240506_070809").select("url")
+
+
 @query("snapshot_verify", "", """
-    SELECT 'webpages_archive_20240506_070809' AS name, count(*) AS rows, count(*) AS actual_rows, true AS ok FROM pages""")
+    SELECT 'webpages_archive_20240506_070809' AS name, count(*) AS rows, count(*) AS actual_rows, true AS ok FROM pages
+    UNION ALL SELECT 'webpages_archive_20240507_000000', count(*), count(*) FILTER (('0x' || substr(md5(url), 1, 7))::BIGINT % 16 <> 2), false FROM pages""")
 def snapshot_verify(spark, d):
     root = scratch(spark, "archives")
     TB.snapshot(V.pages(spark, d), root, _AT)
-    return TB.verify_snapshot(spark, root, "webpages_archive_20240506_070809")
+    TB.snapshot(V.pages(spark, d), root, datetime(2024, 5, 7))
+    gone = V.pages(spark, d).filter("false")
+    gone.write.mode("overwrite").parquet(f"{root}/webpages_archive_20240507_000000/{TB.BUCKET}=2")
+    names = ("webpages_archive_20240506_070809", "webpages_archive_20240507_000000")
+    one, two = (TB.verify_snapshot(spark, root, n) for n in names)
+    return one.unionByName(two)
 
 
 @query("snapshot_list", "", """
@@ -315,10 +412,8 @@ def snapshot_list(spark, d):
     TB.snapshot(V.pages(spark, d), root, _AT)
     TB.snapshot(V.pages(spark, d).filter("page_id % 2 = 0"), root, datetime(2024, 5, 7))
     listed = TB.list_snapshots(spark, root)
-    # A manifest is short; its order is read off by collecting the names.
-    order = {r["name"]: i for i, r in enumerate(listed.select("name").collect(), 1)}
-    place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    return listed.select("name", "rows", place[F.col("name")].alias("place"))
+    newest_first = W.orderBy(F.desc("created"), "name")  # a manifest is short
+    return listed.select("name", "rows", F.row_number().over(newest_first).alias("place"))
 
 
 @query("retention", "", "SELECT page_id, url FROM pages WHERE page_id % 3 <> 0")

@@ -15,6 +15,7 @@ from crawlframe.plans.q_io import incoming
 from crawlframe.plans.registry import CHECKS, query
 from crawlframe.session import scratch
 from crawlframe.sources.frontier_store import FrontierStore
+from crawlframe.sources.name_registry import NameRegistry
 
 # --- many rules over whole texts -----------------------------------------------------
 
@@ -120,3 +121,45 @@ def stale_stored(spark, d):
     s = store(spark, d)
     s.reset_stale(_now())
     return s.read().select("url", "status")
+
+
+@query("stats_kept", "", f"SELECT status, count(*) AS n FROM ({CHECKS['apply_updates']}) u GROUP BY status")
+def stats_kept(spark, d):
+    s = store(spark, d)
+    s.apply_updates(updates(spark, d))
+    return s.status_counts()
+
+
+@query("daily_kept", "", f"""
+    SELECT strftime(date, '%Y-%m-%d') AS date, sum(a)::BIGINT AS urls_added, sum(c)::BIGINT AS urls_crawled,
+           sum(f)::BIGINT AS urls_failed, sum(p)::BIGINT AS pages_saved
+    FROM (SELECT created_time::TIMESTAMP::DATE AS date, 1 AS a, 0 AS c, 0 AS f, 0 AS p FROM ({CHECKS['apply_updates']}) u
+          UNION ALL SELECT crawled_time::TIMESTAMP::DATE, 0, (status = 'success')::INT, (status = 'failed')::INT,
+                           (status = 'success' AND html_file_path IS NOT NULL)::INT FROM ({CHECKS['apply_updates']}) v
+          WHERE crawled_time IS NOT NULL) x
+    GROUP BY date HAVING sum(a) + sum(c) + sum(f) > 0""")
+def daily_kept(spark, d):
+    s = store(spark, d)
+    s.apply_updates(updates(spark, d))
+    return s.daily_stats().withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+# --- names over batches -----------------------------------------------------------------
+
+
+def site_pages(spark, d):
+    """Pages of few stems, in two batches."""
+    k = F.col("page_id")
+    return V.pages(spark, d).select("page_id", "url", F.concat(F.lit("site"), (k % 9).cast("string")).alias("stem"))
+
+
+@query("names_registered", "", """
+    WITH p AS (SELECT page_id, url, concat('site', page_id % 9) AS stem, page_id % 2 AS half FROM pages),
+    r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY half, substr(md5(url), 1, 3), url) - 1 AS n FROM p)
+    SELECT stem, url, CASE WHEN n = 0 THEN stem ELSE concat(stem, '_', n) END AS name FROM r""")
+def names_registered(spark, d):
+    reg = NameRegistry(spark, scratch(spark, "names"), 8)
+    rows = site_pages(spark, d)
+    reg.assign(rows.filter("page_id % 2 = 0"), "even")
+    reg.assign(rows, "all")  # the even pages keep their names
+    return reg.names()

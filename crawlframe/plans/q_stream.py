@@ -86,3 +86,18 @@ def stream_stale(spark, d):
     out = scratch(spark, "live")
     finish(S_LIVE.stream_live(timed_log(spark, d), out, scratch(spark, "ckpt"), _STALE_HOURS, f"{_LATE_HOURS} hours"))
     return shown(S_LIVE.read_live(spark, out))
+
+
+@query("stream_progress", "attempts_v", """
+    WITH r AS (SELECT run_id, event_id, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS processed FROM attempts_v)
+    SELECT run_id, event_id, processed FROM r WHERE processed % 10 = 0""")
+def stream_progress(spark, d):
+    path = scratch(spark, "attempts")
+    e = V.table(spark, d, "events").select("event_id", (F.col("user_id") % 3).cast("bigint").alias("run_id"))
+    n = e.count()
+    for k in range(3):  # in the order of events, as attempts come in
+        part = e.filter((F.col("event_id") >= n * k // 3) & (F.col("event_id") < n * (k + 1) // 3))
+        part.coalesce(1).write.mode("append").parquet(path)
+    out = scratch(spark, "progress")
+    finish(S.stream_progress(S.read_log_stream(spark, path, e.schema, files_per_batch=1), out, scratch(spark, "ckpt")))
+    return S.read_progress(spark, out)

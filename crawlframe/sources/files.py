@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from crawlframe.functions import urls as U
 from crawlframe.functions.text import strip
 from crawlframe.operators.lookup import drop_blacklisted
 from crawlframe.operators.ranking import salted_rank
+from crawlframe.sources.commits import commit, committed
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -166,13 +169,27 @@ def unique_md_names(batch: DataFrame, existing: DataFrame) -> DataFrame:
     return j.withColumn("md_name", fresh).select(*batch.columns)
 
 
-def write_markdown(batch: DataFrame, path: str) -> None:
-    """Append the successful rows of a batch to the corpus."""
-    (
-        batch.filter(F.col("outcome") == "success")
-        .select("md_name", "clean_markdown", "quality")
-        .write.mode("append").option("compression", "zstd").parquet(path)
-    )
+def write_markdown(batch: DataFrame, path: str, batch_id: str) -> bool:
+    """Store the successful rows of a batch under its number; False if that was done before.
+
+    Rows go to a folder of their own, then one small manifest names it. Readers follow
+    manifests only, so a batch that is run again, or dies half way, is in the corpus once or not.
+    """
+    spark = batch.sparkSession
+    if batch_id in committed(spark, path):
+        return False
+    run = f"data/{uuid.uuid4().hex}"
+    rows = batch.filter(F.col("outcome") == "success").select("md_name", "clean_markdown", "quality")
+    rows.write.option("compression", "zstd").parquet(f"{path}/{run}")
+    commit(spark, path, batch_id, run)
+    return True
+
+
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """The corpus: the rows of all committed batches."""
+    schema = "md_name string, clean_markdown string, quality double"
+    folders = [f"{path}/{p}" for p in committed(spark, path).values()]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def rejects(batch: DataFrame, at: Column | None = None) -> DataFrame:

@@ -7,6 +7,10 @@ manifest whole or not at all, so they never see half a change, and older version
 read. Nothing is overwritten or removed: a job that dies leaves files that no manifest names.
 
 Two writers of one version collide when the second writes its manifest, which fails.
+
+With each version stand its statistics: rows per status and the daily table. A change takes the old
+rows of the changed buckets out of the last version's figures and puts the new ones in, so
+the figures follow a status that moves without a count of the whole frontier.
 """
 
 from __future__ import annotations
@@ -18,10 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlframe.operators import frontier as FR
+from crawlframe.operators import reports as RP
 from crawlframe.schemas import URLS
 from crawlframe.session import cut_lineage
 
 MANIFEST = "bucket int, path string, rows long, bytes long"
+STATUS = "status string, n bigint"
+DAILY = "date date, urls_added bigint, urls_crawled bigint, urls_failed bigint, pages_saved bigint"
 
 
 class FrontierStore:
@@ -37,7 +44,8 @@ class FrontierStore:
         spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("errorifexists").json(f"{root.rstrip('/')}/layout")
         store = cls(spark, root)
         first = spark.createDataFrame([], URLS) if rows is None else rows
-        store._commit(0, store._write(0, store._placed(first)), None)
+        written = store._write(0, store._placed(first))
+        store._commit(0, written, None, store._counted(0, first, None))
         return store
 
     # --- manifests --------------------------------------------------------------------
@@ -54,12 +62,12 @@ class FrontierStore:
         v = self.versions()[-1] if version is None else version
         return self.spark.read.schema(MANIFEST).json(f"{self.root}/manifest/v={v}").filter("bucket >= 0")
 
-    def _commit(self, version: int, written: DataFrame, before: DataFrame | None) -> None:
+    def _commit(self, version: int, written: DataFrame, before: DataFrame | None, stats: str = "") -> None:
         named = written.select("bucket", "path", "rows", "bytes")
         if before is not None:
             named = named.unionByName(before.join(F.broadcast(written.select("bucket")), "bucket", "left_anti"))
-        # A row of no bucket, so that the file is there for an empty frontier too.
-        mark = self.spark.createDataFrame([(-1, "", 0, 0)], MANIFEST)
+        # A row of no bucket names the statistics, and is there for an empty frontier too.
+        mark = self.spark.createDataFrame([(-1, stats, 0, 0)], MANIFEST)
         mark.unionByName(named.filter("rows > 0")).coalesce(1).write.mode("errorifexists").json(f"{self.root}/manifest/v={version}")
 
     # --- reading and writing buckets ------------------------------------------------------
@@ -107,11 +115,50 @@ class FrontierStore:
         touched = self._touched(changed)
         if not touched:
             return now
-        before = self.manifest(now)
-        written = self._write(now + 1, self._placed(change(self.read(now, touched))), touched)
-        self._commit(now + 1, written, before)
+        before, old = self.manifest(now), self.read(now, touched)
+        written = self._write(now + 1, self._placed(change(old)), touched)
+        paths = [f"{self.root}/{r['path']}" for r in written.filter("rows > 0").select("path").collect()]
+        new = self.spark.read.schema(URLS).parquet(*paths) if paths else self.spark.createDataFrame([], URLS)
+        self._commit(now + 1, written, before, self._counted(now + 1, new, old))
         return now + 1
 
+    # --- statistics -----------------------------------------------------------------------
+
+    def _counted(self, version: int, new: DataFrame, old: DataFrame | None) -> str:
+        """Write the figures of a version: the last ones, less the old rows, plus the new ones."""
+        run = f"stats/v={version}-{uuid.uuid4().hex[:8]}"
+        states, days = RP.status_counts(new), RP.daily_stats(new)
+        if old is not None:
+            minus = [F.col(c).alias(c) if c == "date" else (-F.col(c)).alias(c) for c in days.columns]
+            days = days.unionByName(RP.daily_stats(old).select(*minus)).unionByName(self._stats("daily", DAILY, version - 1))
+            states = states.unionByName(RP.status_counts(old).select("status", (-F.col("n")).alias("n"))).unionByName(
+                self._stats("status", STATUS, version - 1))
+        sums = [F.sum(c).alias(c) for c in days.columns if c != "date"]
+        states.groupBy("status").agg(F.sum("n").alias("n")).filter("n <> 0").coalesce(1).write.parquet(f"{self.root}/{run}/status")
+        days.groupBy("date").agg(*sums).filter("urls_added + urls_crawled + urls_failed > 0").coalesce(1).write.parquet(
+            f"{self.root}/{run}/daily")
+        return run
+
+    def _stats(self, table: str, schema: str, version: int | None) -> DataFrame:
+        v = self.versions()[-1] if version is None else version
+        named = self.spark.read.schema(MANIFEST).json(f"{self.root}/manifest/v={v}").filter("bucket = -1").first()["path"]
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{named}/{table}")
+
+    def status_counts(self, version: int | None = None) -> DataFrame:
+        """Rows per status, as kept with the version."""
+        return self._stats("status", STATUS, version)
+
+    def daily_stats(self, version: int | None = None) -> DataFrame:
+        """The daily table, as kept with the version."""
+        return self._stats("daily", DAILY, version)
+
+    def frontier_stats(self, version: int | None = None) -> DataFrame:
+        """One row of status counts, from the kept figures."""
+        kept = self.status_counts(version)
+        return kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), *[
+            F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)).alias(s)
+            for s in ("pending", "success", "failed", "crawling")])
+
     # --- changes --------------------------------------------------------------------------
 
     def _near(self, rows: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from crawlframe.functions.text import log_level
+from crawlframe.functions.text import log_level, strip
 from crawlframe.operators.frontier import fold_aggregates, frontier_from_state
+from crawlframe.operators.ranking import running_index
 
 
 def read_log_stream(spark: SparkSession, path: str, schema: T.StructType,
@@ -81,9 +82,42 @@ def compact_frontier(spark: SparkSession, out: str, target: str) -> None:
     newest.select("url", "s.*").write.partitionBy("batch_id").parquet(target)
 
 
+def stream_progress(attempts: DataFrame, out: str, checkpoint: str, every: int = 10,
+                    trigger: dict | None = None) -> StreamingQuery:
+    """Each `every`-th row of a run (run_id, event_id, processed), counted over batch borders.
+
+    Batches must come in the order of `event_id`. A batch numbers its own rows in
+    pieces, so a run that holds most of them is no single task, and adds what the
+    runs had before; the runs' counts after it are stored under its number, one row per run. A
+    batch that runs again starts from the same counts and overwrites itself.
+    """
+    spark = attempts.sparkSession
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("run_id", "event_id")
+        before = spark.createDataFrame([], "run_id bigint, n bigint")
+        if batch_id > 0:
+            before = spark.read.schema("run_id bigint, n bigint").parquet(f"{out}/counts/batch_id={batch_id - 1}")
+        numbered = running_index(rows, ["run_id"], "event_id", "_nth").join(before, "run_id", "left")
+        done = numbered.withColumn("processed", F.col("_nth") + F.coalesce("n", F.lit(0)))
+        done.filter(F.col("processed") % every == 0).select("run_id", "event_id", "processed").write.mode("overwrite").parquet(
+            f"{out}/points/batch_id={batch_id}")
+        after = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).unionByName(before)
+        after.groupBy("run_id").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{out}/counts/batch_id={batch_id}")
+
+    return (
+        attempts.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).foreachBatch(save).start()
+    )
+
+
+def read_progress(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(f"{out}/points").select("run_id", "event_id", "processed")
+
+
 def stream_log_levels(lines: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Label each non-blank log line; stateless."""
-    line = F.trim("value")
+    line = strip(F.col("value"))
     labelled = lines.select(line.alias("message")).filter(F.col("message") != "").withColumn(
         "level", log_level("message")
     )

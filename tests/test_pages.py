@@ -199,17 +199,40 @@ def test_second_run_finds_its_output(spark):
     rows = [(f"http://h.com/{i}", f"<article>{body}</article>") for i in range(5)] + [("http://h.com/short", "<p>x</p>")]
     df = spark.createDataFrame(rows, "url string, html string")
     path = scratch(spark, "corpus")
-    IO.write_markdown(J.pages_to_markdown(df, df.select(F.lit("").alias("md_name")).limit(0)), path)
-    again = J.pages_to_markdown(df, spark.read.parquet(path))
+    first = J.pages_to_markdown(df, IO.read_markdown(spark, path))
+    assert IO.write_markdown(first, path, "one") and not IO.write_markdown(first, path, "one")
+    again = J.pages_to_markdown(df, IO.read_markdown(spark, path))
     assert {r.outcome: r["count"] for r in again.groupBy("outcome").count().collect()} == {"existing": 5, "skipped": 1}
-    IO.write_markdown(again, path)
-    assert spark.read.parquet(path).count() == 5
+    assert IO.write_markdown(again, path, "two") and set(IO.committed(spark, path)) == {"one", "two"}
+    first.filter("outcome = 'success'").write.parquet(f"{path}/data/half")  # a writer that died before its manifest
+    assert IO.read_markdown(spark, path).count() == 5
     bad = IO.rejects(again).collect()
     assert [r.outcome for r in bad] == ["skipped"] and bad[0].rejected_at is not None
-    forced = J.pages_to_markdown(df, spark.read.parquet(path), force=True).filter("outcome = 'success'")
+    forced = J.pages_to_markdown(df, IO.read_markdown(spark, path), force=True).filter("outcome = 'success'")
     assert all(r.md_name.endswith("_1.md") for r in forced.collect())
 
 
+def test_pages_of_one_name_are_tried_in_turn(spark):
+    body = "<article>" + "".join(f"<p>矿产资源管理，地质勘探工作第{i}段，内容充实。more words here to read {i}</p>" for i in range(20))
+    rows = [
+        (1, "u1", "a.md", "<p>thin</p>"), (2, "u2", "a.md", " "), (3, "u3", "a.md", body), (4, "u4", "a.md", body + "x"),
+        (5, "u5", "b.md", body), (6, "u6", "b.md", "<p>thin</p>"), (7, "u7", "c.md", "<p>thin</p>"), (8, "u8", "c.md", None),
+        (9, "u9", "d.md", body), (9, "u9", "d.md", body), (9, "u9", "d.md", body), (10, "u10", "e.md", "<p>x</p>"), (10, "u10", "e.md", "<p>x</p>"),
+        (11, "u11", "old.md", body), (11, "u11", "old.md", body), (12, None, "f.md", body), (13, "u13", "g.md", body), (14, "u13", "g.md", body),
+    ]
+    df = spark.createDataFrame(rows, "k int, url string, nm string, html string")
+    old = spark.createDataFrame([("old.md",)], "md_name string")
+    out = J.pages_to_markdown(df, old, name=F.col("nm"))
+    got = sorted((r.k, r.outcome) for r in out.collect())
+    assert got == [
+        (1, "skipped"), (2, "failed"), (3, "success"), (4, "existing"), (5, "success"), (6, "existing"), (7, "skipped"), (8, "failed"),
+        (9, "existing"), (9, "existing"), (9, "success"), (10, "skipped"), (10, "skipped"), (11, "existing"), (11, "existing"),
+        (12, "success"), *got[-2:]]
+    assert sorted(o for k, o in got if k > 12) == ["existing", "success"]
+    made = out.filter("outcome = 'success'")
+    assert made.count() == made.select("md_name").distinct().count() == 5
+
+
 def test_links_of_untidy_pages(spark):
     html = (
         "<a href='/single'>1</a><a href=/bare>2</a><a title='a > b' href=\"/after\">3</a><!-- <a href='/hidden'>x</a> -->"

@@ -136,6 +136,26 @@ def test_store_rewrites_changed_buckets_only(spark):
     assert FrontierStore(spark, s.root).read().count() == 2_001
 
 
+def test_kept_figures_follow_the_changes(spark):
+    from crawlframe.operators import reports as RP
+
+    s = FrontierStore.create(spark, scratch(spark, "store"), frontier(spark, 300), 8)
+
+    def check():
+        rows = s.read()
+        assert sorted(map(tuple, s.status_counts().collect())) == sorted(map(tuple, RP.status_counts(rows).collect()))
+        assert sorted(map(tuple, s.daily_stats().collect())) == sorted(map(tuple, RP.daily_stats(rows).collect()))
+        assert s.frontier_stats().first() == RP.frontier_stats(rows).first()
+
+    check()
+    s.apply_updates(marks(spark, [f"https://x/{i}" for i in range(0, 300, 7)]))
+    check()
+    s.add_urls(spark.createDataFrame([("https://y/1", "https://s/", 1)], "url string, source_url string, depth int"), F.lit(T0 + timedelta(days=3)))
+    s.reset_stale(F.lit(T0 + timedelta(hours=2)))
+    check()
+    assert s.frontier_stats(0).first().success == 0  # the older version keeps its own
+
+
 def test_store_ignores_unfinished_versions(spark):
     s = FrontierStore.create(spark, scratch(spark, "store"), frontier(spark, 100), 4)
     s._write(1, s._placed(frontier(spark, 5)))  # a writer that died before its manifest

@@ -16,9 +16,41 @@ def test_snapshot_notices_a_change(spark):
     m = TB.snapshot(df, root, at).first()
     assert (m.name, m.rows, m.raw_bytes) == ("webpages_archive_20240102_030405", 50, 10000)
     assert TB.verify_snapshot(spark, root, m.name).first().ok
-    spark.createDataFrame([("extra", "y")], df.schema).write.mode("append").parquet(f"{root}/{m.name}")
+    spark.createDataFrame([("extra", "y")], df.schema).coalesce(1).write.mode("append").parquet(f"{root}/{m.name}/{TB.BUCKET}=3")
     bad = TB.verify_snapshot(spark, root, m.name).first()
     assert not bad.ok and bad.actual_rows == 51
+    told = {r.bucket: r for r in TB.verify_tree(spark, root, m.name).collect()}
+    assert [b for b, r in told.items() if not r.ok] == [3] and len(told[3].bad_files) == 1
+
+
+def test_damaged_files_are_named(spark):
+    import pathlib
+
+    df = spark.createDataFrame([(f"u{i}", f"text {i}" * 50, i) for i in range(300)], "url string, html string, k int")
+    root = scratch(spark, "snap")
+    m = TB.snapshot(df, root, datetime(2024, 1, 2)).first()
+    folder = pathlib.Path(root.removeprefix("file:")) / m.name
+    cut = next(folder.glob(f"{TB.BUCKET}=4/*.parquet"))
+    cut.write_bytes(cut.read_bytes()[:200])  # a torn file
+    gone = next(folder.glob(f"{TB.BUCKET}=7/*.parquet"))
+    gone.unlink()
+    told = {r.bucket: r for r in TB.verify_tree(spark, root, m.name).collect()}
+    assert sorted(b for b, r in told.items() if not r.ok) == [4, 7]
+    assert told[4].bad_files == [cut.name] and told[7].bad_files == [gone.name] and told[7].actual_rows == 0
+    bad = TB.verify_snapshot(spark, root, m.name).first()
+    assert not bad.ok and bad.rows == 300 and bad.actual_rows < 300
+
+
+def test_equal_folders_are_not_read(spark):
+    df = spark.createDataFrame([(f"u{i}", "x" * i) for i in range(200)], "url string, html string")
+    root = scratch(spark, "snap")
+    a = TB.snapshot(df, root, datetime(2024, 1, 2)).first().name
+    b = TB.snapshot(df.withColumn("html", F.when(F.col("url") == "u7", "new").otherwise(F.col("html"))), root, datetime(2024, 1, 3)).first().name
+    assert [tuple(r) for r in TB.compare_snapshots(spark, root, a, b).collect()] == [("u7", "changed")]
+    assert len(TB._different(TB.tree_checksums(spark, root, a), TB.tree_checksums(spark, root, b))) == 1
+    more = df.unionByName(spark.createDataFrame([("z", "1")], df.schema))
+    assert [r.url for r in TB.retain_by_tree(more, root, a).collect()] == ["z"]
+    assert TB.retain_by_tree(df, root, a).count() == 0 and TB.compare_snapshots(spark, root, a, a).count() == 0
 
 
 def test_tables_keep_types(spark):
@@ -32,6 +64,38 @@ def test_tables_keep_types(spark):
     assert TB.read_table(spark, root, "urls").count() == 0
 
 
+def test_names_stay_over_batches(spark):
+    from crawlframe.sources.name_registry import NameRegistry
+
+    def batch(rows):
+        return spark.createDataFrame(rows, "url string, stem string")
+
+    reg = NameRegistry(spark, scratch(spark, "names"), 4)
+    one = {(r.url, r.stem): r.name for r in reg.assign(batch([(f"u{i}", "x") for i in range(5)] + [("a", "x_2"), ("b", "y"), ("b", "y")]), "1").collect()}
+    assert sorted(n for (u, s), n in one.items() if s == "x") == ["x", "x_1", "x_3", "x_4", "x_5"]
+    assert one["a", "x_2"] == "x_2" and one["b", "y"] == "y" and len(one) == 7
+    second = batch([("u1", "x"), ("v1", "x"), ("v2", "x"), ("c", "x_4"), ("d", "y_7"), ("e", "y"), ("g", "x_7")])
+    two = {(r.url, r.stem): r.name for r in reg.assign(second, "2").collect()}
+    assert two["u1", "x"] == one["u1", "x"] and two["c", "x_4"] == "x_4_1" and two["d", "y_7"] == "y_7" and two["e", "y"] == "y_1"
+    assert {two["v1", "x"], two["v2", "x"]} == {"x_6", "x_8"} and two["g", "x_7"] == "x_7"
+    again = {(r.url, r.stem): r.name for r in reg.assign(second, "2").collect()}
+    assert again == two
+    every = [r.name for r in reg.names().collect()]
+    assert len(every) == len(set(every)) == 13
+    assert reg.assign(batch([]), "3").count() == 0
+
+
+def test_taken_numbers_are_ranges(spark):
+    from crawlframe.sources.name_registry import TAKEN, NameRegistry
+
+    reg = NameRegistry(spark, scratch(spark, "names"), 4)
+    reg.assign(spark.range(10_000).select(F.concat(F.lit("u"), "id").alias("url"), F.lit("s").alias("stem")), "1")
+    assert reg._read("taken", TAKEN).count() <= 3
+    reg.assign(spark.range(10_000, 10_010).select(F.concat(F.lit("u"), "id").alias("url"), F.lit("s").alias("stem")), "2")
+    names = {r.name for r in reg.names().collect()}
+    assert names == {"s"} | {f"s_{i}" for i in range(1, 10_010)}
+
+
 def test_text_lists(spark, tmp_path):
     p = tmp_path / "seeds.txt"
     p.write_text("# note\nhttp://a.com/ \n\n #http://b.com/\nnot-a-url\nhttps://facebook.com/x\n", encoding="utf-8")
