@@ -25,6 +25,14 @@ def check_limit(kind: str, n: int) -> int:
     return n
 
 
+def limit_ok(kind: Column, n: Column) -> Column:
+    """Whether a list of the kind may have `n` rows; false for other kinds and without a number."""
+    ok = F.lit(False)
+    for name, (low, high) in LIMITS.items():
+        ok = F.when(kind == name, n.between(low, high)).otherwise(ok)
+    return F.coalesce(ok, F.lit(False))
+
+
 def pending_queue(frontier: DataFrame, n: int = 100) -> DataFrame:
     """Pending rows, shallow and old ones first."""
     return (
@@ -70,7 +78,11 @@ def random_batch(frontier: DataFrame, n: int, seed: int = 0, replace: bool = Fal
     number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}#"), F.col("id").cast("string"))), 1, 15), 16, 10)
     drawn = frontier.sparkSession.range(n).select(
         F.col("id").cast("int").alias("draw"), F.pmod(number.cast("bigint"), F.lit(max(total, 1))).alias("_at"))
-    drawn = drawn.join(bounds, (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))).select(
+    # Pieces are looked up by blocks of about a piece's size: a piece lies in few of them.
+    block = max(1, -(-total // 16**digits))
+    inside = bounds.select("*", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block))).alias("_block"))
+    drawn = drawn.withColumn("_block", F.floor(F.col("_at") / block)).join(inside, "_block").filter(
+        (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))).select(
         "draw", "_piece", (F.col("_at") - F.col("_from") + 1).alias("_rank"))
     met = hashed.withColumn("_piece", piece).join(drawn.select("_piece").distinct(), "_piece", "left_semi")
     ranked = met.withColumn("_rank", F.row_number().over(W.partitionBy("_piece").orderBy("_h", "url")))
@@ -95,15 +107,16 @@ def page_view(df: DataFrame) -> DataFrame:
 
 
 def mark_files(view: DataFrame, files: DataFrame, name: str = "file_name") -> DataFrame:
-    """A page list with `file_exists`; the list is short (its limit is checked).
+    """A page list with `file_exists`.
 
-    The listing is cut down to the shown names by a broadcast of those names,
-    so a long listing is scanned once and never shuffled.
+    The listing is cut down to the shown names first. Spark broadcasts these
+    where the list is as short as its limit says, and a long listing is then scanned
+    without a shuffle; a long list is joined by name instead.
     """
-    shown = F.broadcast(view.select(F.col("html_file").alias(name)).distinct())
+    shown = view.select(F.col("html_file").alias(name)).distinct()
     present = files.select(name).join(shown, name, "left_semi").distinct()
     return (
-        view.join(F.broadcast(present.select(F.col(name).alias("_file"))), F.col("html_file") == F.col("_file"), "left")
+        view.join(present.select(F.col(name).alias("_file")), F.col("html_file") == F.col("_file"), "left")
         .withColumn("file_exists", F.col("_file").isNotNull())
         .drop("_file")
     )

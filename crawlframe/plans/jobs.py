@@ -14,7 +14,7 @@ from crawlframe.functions.text import strip
 from crawlframe.operators import frontier as FR
 from crawlframe.operators import graph as G
 from crawlframe.operators.parse import parse_pages
-from crawlframe.session import cut_lineage
+from crawlframe.session import broadcast_if_small, cut_lineage
 from crawlframe.sources import files as IO
 
 
@@ -69,11 +69,12 @@ def crawl_step(pages: DataFrame, frontier: DataFrame, blacklist: list[str] | Non
 
 def judge_fetches(fetched: DataFrame, preset: str = "spider", strict: bool = False,
                   keywords: list[str] | None = None, title_words: list[str] | None = None,
-                  blacklist: list[str] | None = None) -> DataFrame:
+                  blacklist: list[str] | None = None, topic_gate: bool = True) -> DataFrame:
     """Fetched pages with their outcome and, for good ones, their links.
 
     Needs url, html, status_code, error_type, content_type. Pages that fail an
     earlier gate are not parsed: their text is left out before the Python stage.
+    Without `topic_gate` every page that was read is a good one.
     """
     n_chars = F.length(strip(F.coalesce("html", F.lit(""))))
     gate = FT.classify_fetch(
@@ -88,8 +89,9 @@ def judge_fetches(fetched: DataFrame, preset: str = "spider", strict: bool = Fal
             "error_message", F.when(~banned, F.col("error_message"))
         )
     rows = rows.withColumn("html", F.when(F.col("status") == "success", F.col("html")))
-    texts = ["title", "title_text", "page_text", "meta_text", "heading_text", "hrefs"]
-    judged = relevance(parse_pages(rows, texts), preset, keywords, title_words)
+    texts = ["title_text", "page_text", "meta_text", "heading_text"] if topic_gate else []
+    parsed = parse_pages(rows, ["title", "hrefs", *texts])
+    judged = relevance(parsed, preset, keywords, title_words) if topic_gate else parsed.withColumn("relevant", F.lit(True))
     on_topic = (F.col("status") == "success") & F.col("relevant")
     off_topic = (F.col("status") == "success") & ~F.col("relevant")
     return judged.select(
@@ -158,10 +160,12 @@ def _keys(named: DataFrame) -> DataFrame:
 def _gated(named: DataFrame, keys: DataFrame, some: DataFrame, min_length: int, min_quality: float,
            columns: list[str]) -> DataFrame:
     """Outcomes of the pages in `some` (of `keys`), one row per distinct page; written, for they are read twice."""
-    rest = keys.join(some.select("_id"), "_id", "left_anti").select("_id")
-    # Whichever list is shorter meets the pages, so that it can be broadcast and their text stays in place.
-    few = some.count() <= keys.count() / 2
-    todo = named.join(some.select("_id"), "_id", "left_semi") if few else named.join(rest, "_id", "left_anti")
+    # Whichever list is shorter meets the pages; within the bound of a broadcast their text stays in place.
+    if some.count() <= keys.count() / 2:
+        todo = named.join(broadcast_if_small(some.select("_id")), "_id", "left_semi")
+    else:
+        rest = cut_lineage(keys.join(some.select("_id"), "_id", "left_anti").select("_id"))
+        todo = named.join(broadcast_if_small(rest), "_id", "left_anti")
     todo = todo.withColumn("empty", strip(F.coalesce("html", F.lit(""))) == "")
     done = IO.gate_markdown(parse_pages(todo, ["markdown"]), min_length, min_quality)
     done = done.join(some.select("_id", "_n", "_order"), "_id")

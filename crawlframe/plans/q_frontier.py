@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from crawlframe import rules
@@ -17,7 +19,7 @@ from crawlframe.operators.ranking import running_index
 from crawlframe.plans import jobs as J
 from crawlframe.plans import views as V
 from crawlframe.plans.q_html import _SCORES, LINKS_SQL, PAGE_BLACKLIST, TITLE_WORDS, WORDS
-from crawlframe.plans.q_urls import part, s_any, s_ext, s_valid
+from crawlframe.plans.q_urls import part, s_any, s_ext, s_should, s_valid
 from crawlframe.plans.registry import query
 
 NOW = "2000-01-01 00:30:00"
@@ -246,11 +248,19 @@ def status_share(spark, d):
     return RP.status_share(V.urls_v(spark, d))
 
 
-@query("run_status", "urls_v", f"""
-    SELECT success + failed AS completed, failed, 'finished_with_errors' AS run_status, '抓取完成（有错误）' AS status_text
-    FROM (SELECT {_STATS} FROM urls_v) s""")
+_RUNS = {"whole": "true", "no_failed": "status <> 'failed'", "waiting": "status IN ('pending', 'crawling')", "none": "false", "going": "true"}
+
+
+@query("run_status", "urls_v", " UNION ALL ".join(f"""
+    SELECT '{name}' AS run, success + failed AS completed, failed, label AS run_status,
+        CASE label WHEN 'running' THEN '抓取运行中' WHEN 'finished_with_errors' THEN '抓取完成（有错误）' WHEN 'finished' THEN '抓取完成' ELSE '系统空闲' END AS status_text
+    FROM (SELECT *, CASE WHEN {name == 'going'} THEN 'running' WHEN failed > 0 THEN 'finished_with_errors'
+              WHEN success + failed > 0 THEN 'finished' ELSE 'idle' END AS label FROM (SELECT {_STATS} FROM urls_v WHERE {where}) s) l"""
+    for name, where in _RUNS.items()))
 def run_status(spark, d):
-    return RP.run_status(V.urls_v(spark, d))
+    u = V.urls_v(spark, d)
+    rows = [RP.run_status(u.filter(where), running=name == "going").select(F.lit(name).alias("run"), "*") for name, where in _RUNS.items()]
+    return reduce(type(u).unionByName, rows)
 
 
 @query("file_stats", "", "SELECT count(*) AS total, sum(octet_length(encode(html)))::BIGINT AS total_size FROM pages")
@@ -387,6 +397,18 @@ def peek(spark, d):
     return shown(T.peek(V.urls_v(spark, d)))
 
 
+@query("limit_bounds", "urls_v", """
+    SELECT url, kind, n, CASE kind WHEN 'pages' THEN n BETWEEN 1 AND 100 WHEN 'failed' THEN n BETWEEN 1 AND 50
+        WHEN 'search' THEN n BETWEEN 1 AND 100 WHEN 'files' THEN n BETWEEN 1 AND 200 ELSE false END AS ok
+    FROM (SELECT url, list_extract(['pages', 'failed', 'search', 'files', 'other'], depth + CASE status WHEN 'failed' THEN 2 ELSE 1 END) AS kind,
+        CAST(length(url) * 7 % 260 - 5 AS INT) AS n FROM urls_v) x""")
+def limit_bounds(spark, d):
+    kinds = F.array(*[F.lit(k) for k in ("pages", "failed", "search", "files", "other")])
+    kind = F.element_at(kinds, F.col("depth") + F.when(F.col("status") == "failed", 2).otherwise(1))
+    asked = V.urls_v(spark, d).select("url", kind.alias("kind"), (F.length("url") * 7 % 260 - 5).cast("int").alias("n"))
+    return asked.withColumn("ok", T.limit_ok(F.col("kind"), F.col("n")))
+
+
 @query("last_logs", "log_v", "SELECT seq, url, op FROM log_v ORDER BY seq DESC LIMIT 100")
 def last_logs(spark, d):
     return T.last_logs(V.log_v(spark, d)).select("seq", "url", "op")
@@ -521,20 +543,38 @@ def spider_round(spark, d):
     return after.groupBy("status", "depth", "error_message").agg(F.count(F.lit(1)).alias("n"))
 
 
+def linked_pages(spark, d):
+    """The fetched pages, each with two more links to other pages."""
+    p, n = V.pages(spark, d), V.pages(spark, d).count()
+    to = p.select("page_id", F.explode(F.array((F.col("page_id") * 3 + 1) % n, (F.col("page_id") * 5 + 2) % n)).alias("to"))
+    named = to.join(p.select(F.col("page_id").alias("to"), "url"), "to")
+    tags = named.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(
+        F.lit('<a href="'), "url", F.lit('">x</a>')))), "").alias("tags"))  # two of a page
+    return fetched_pages(spark, d).join(tags, "page_id").withColumn("html", F.when(
+        F.trim("html") == "x", F.col("html")).otherwise(F.concat("html", "tags"))).drop("tags")
+
+
 @query("collect_urls", "", f"""
-    WITH t AS (SELECT page_id, url, page_id % 10 > 3 AND collector AS ok,
+    WITH RECURSIVE t AS (SELECT page_id, url, page_id % 10 > 3 AND collector AS ok,
         CASE WHEN page_id % 10 = 0 THEN 'HTTP 404' WHEN page_id % 10 = 1 THEN 'Request Exception: '
-             WHEN page_id % 10 <> 2 THEN '页面内容与目标主题不相关' END AS err FROM pages JOIN {_TOPIC} x USING (page_id)
-        WHERE NOT {s_any('lower(url)', PAGE_BLACKLIST)}),
+             WHEN page_id % 10 = 3 THEN '页面内容与目标主题不相关' WHEN page_id % 10 <> 2 THEN '页面内容与目标主题不相关' END AS err
+        FROM pages JOIN {_TOPIC} x USING (page_id) WHERE NOT {s_any('lower(url)', PAGE_BLACKLIST)}),
     l AS ({LINKS_SQL}),
-    n AS (SELECT dst AS url, min(l.src) AS source_url FROM l JOIN t USING (page_id) WHERE ok AND page_id % 3 = 0
-          AND dst NOT IN (SELECT url FROM t WHERE page_id % 3 = 0) GROUP BY dst)
-    SELECT url, '' AS source_url, 0 AS depth, CASE WHEN ok THEN 'success' WHEN err IS NULL THEN 'pending' ELSE 'failed' END AS status,
-           CASE WHEN NOT ok THEN err END AS error_message FROM t WHERE page_id % 3 = 0
-    UNION ALL SELECT url, source_url, 1, 'pending', NULL FROM n""")
+    m AS (SELECT src, dst FROM l UNION SELECT p.url, regexp_replace(q.url, '#.*$', '') FROM pages p CROSS JOIN (SELECT count(*) AS n FROM pages) c
+          JOIN pages q ON q.page_id = (p.page_id * 3 + 1) % c.n OR q.page_id = (p.page_id * 5 + 2) % c.n
+          WHERE {s_valid('q.url')} AND {s_should('q.url', PAGE_BLACKLIST)}),
+    e AS (SELECT src, dst FROM m WHERE src IN (SELECT url FROM t WHERE ok)),
+    r(url, source_url, depth) AS (SELECT url, '', 0 FROM t WHERE page_id % 7 = 0 AND {s_valid('url')} UNION
+        SELECT e.dst, e.src, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 3),
+    b AS (SELECT url, min(depth) AS depth FROM r GROUP BY url),
+    f AS (SELECT b.url, min(r.source_url) AS source_url, b.depth FROM b JOIN r ON r.url = b.url AND r.depth = b.depth GROUP BY b.url, b.depth)
+    SELECT f.url, source_url, CAST(depth AS INT) AS depth,
+        CASE WHEN depth > 2 OR t.url IS NULL THEN 'pending' WHEN ok THEN 'success' WHEN err IS NULL THEN 'pending' ELSE 'failed' END AS status,
+        CASE WHEN depth <= 2 AND NOT ok THEN err END AS error_message
+    FROM f LEFT JOIN t ON t.url = f.url""")
 def collect_urls(spark, d):
-    seeds = V.pages(spark, d).filter("page_id % 3 = 0").select("url")
-    got = J.collect_urls(fetched_pages(spark, d), seeds, 2, keywords=WORDS, title_words=TITLE_WORDS, blacklist=PAGE_BLACKLIST)
+    seeds = V.pages(spark, d).filter("page_id % 7 = 0").select("url")  # every seventh page is in the seed list
+    got = J.collect_urls(linked_pages(spark, d), seeds, 2, keywords=WORDS, title_words=TITLE_WORDS, blacklist=PAGE_BLACKLIST)
     return got.withColumn("source_url", F.coalesce("source_url", F.lit("")))
 
 

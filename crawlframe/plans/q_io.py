@@ -167,14 +167,20 @@ def md_incremental(spark, d):
     return out.select("page_id", F.when(F.col("outcome") == "existing", "existing").otherwise("processed").alias("outcome"))
 
 
+_STEM_SQL = f"""trim(regexp_replace(regexp_replace(regexp_replace({_PAGE_NAME}, '\\.html$', ''),
+              '[^\\p{{L}}\\p{{N}}_\\-]', '_', 'g'), '_+', '_', 'g'), '_')"""
+
+
+# Names taken: x, x_1 and x_5 of every seventh page, x and x_2 of every tenth; the first free number follows.
 @query("md_force", "", f"""
-    SELECT page_id, concat(stem, CASE WHEN page_id % 7 = 0 THEN '_2' ELSE '' END, '.md') AS md_name
-    FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({_PAGE_NAME}, '\\.html$', ''),
-              '[^\\p{{L}}\\p{{N}}_\\-]', '_', 'g'), '_+', '_', 'g'), '_') AS stem FROM pages) s""")
+    SELECT page_id, concat(stem, CASE WHEN page_id % 7 = 0 AND page_id % 10 = 0 THEN '_3' WHEN page_id % 7 = 0 THEN '_2'
+        WHEN page_id % 10 = 0 THEN '_1' ELSE '' END, '.md') AS md_name FROM (SELECT page_id, {_STEM_SQL} AS stem FROM pages) s""")
 def md_force(spark, d):
     p = V.pages(spark, d)
     name = U.md_filename(U.page_filename("url"))
-    taken = p.filter("page_id % 7 = 0").select(F.explode(F.array(name, F.regexp_replace(name, r"\.md$", "_1.md"))).alias("md_name"))
+    with_ = lambda k: F.regexp_replace(name, r"\.md$", f"_{k}.md")
+    taken = p.filter("page_id % 7 = 0").select(F.explode(F.array(name, with_(1), with_(5))).alias("md_name")).unionByName(
+        p.filter("page_id % 10 = 0").select(F.explode(F.array(name, with_(2))).alias("md_name")))
     return J.pages_to_markdown(p, taken, force=True).select("page_id", "md_name")
 
 

@@ -254,24 +254,27 @@ def header_charset(spark, d):
 _CHINESE = "矿产资源勘探开发与地质调查工作"
 
 
+# All bytes of all pages. Chinese in front of a page decides for UTF-8, whatever the header says; pages of ASCII
+# come also with Chinese in GB2312 bytes, or plain, which leaves them to the response's own charset.
+_ASCII_ONLY = "regexp_matches(html, '^[\\x00-\\x7F]*$')"
+
+
 @query("decode_pages", "", f"""
-    SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'utf-8' ELSE 'latin-1' END AS charset,
-           CASE WHEN page_id % 2 = 0 THEN md5(concat('{_CHINESE}', html)) END AS chinese_md5,
-           CASE WHEN page_id % 2 = 1 THEN length(regexp_replace(html, '[^\x00-\x7F]', '', 'g')) ELSE 0 END AS latin_chars
-    FROM pages""")
+    SELECT page_id, CASE WHEN ascii AND page_id % 3 = 1 THEN 'gb2312' WHEN ascii AND page_id % 3 = 2 THEN 'latin-1' ELSE 'utf-8' END AS charset,
+        md5(CASE WHEN ascii AND page_id % 3 = 2 THEN html ELSE concat('{_CHINESE}', html) END) AS text_md5
+    FROM (SELECT page_id, html, {_ASCII_ONLY} AS ascii FROM pages) p""")
 def decode_pages_query(spark, d):
-    chinese = F.col("page_id") % 2 == 0
+    k = F.col("page_id") % 3
+    plain = F.col("html").rlike(r"^[\x00-\x7F]*$")
+    own = F.encode("html", "UTF-8")
+    front = F.when(plain & (k == 1), F.lit(bytearray(_CHINESE.encode("gb2312")))).when(
+        plain & (k == 2), F.lit(bytearray())).otherwise(F.lit(bytearray(_CHINESE.encode())))
     raw = V.pages(spark, d).select(
-        "page_id", F.encode(F.when(chinese, F.concat(F.lit(_CHINESE), "html"))
-            .otherwise(F.regexp_replace("html", r"[^\x00-\x7F]", "")), "UTF-8").alias("body"),
-        F.lit("text/html").alias("content_type"), F.lit("latin-1").alias("original_charset"),
-    )
-    out = decode_pages(raw)
-    even = F.col("page_id") % 2 == 0
-    return out.select(
-        "page_id", "charset", F.when(even, F.md5("html")).alias("chinese_md5"),
-        F.when(~even, F.length("html").cast("long")).otherwise(F.lit(0).cast("long")).alias("latin_chars"),
+        "page_id", F.concat(front, own).alias("body"),
+        F.when(k == 0, "text/html; charset=latin-1").otherwise("text/html").alias("content_type"),
+        F.lit("latin-1").alias("original_charset"),
     )
+    return decode_pages(raw).select("page_id", "charset", F.md5("html").alias("text_md5"))
 
 
 @query("size_label", "", """

@@ -97,3 +97,12 @@ def fits_broadcast(
     width = F.octet_length(F.to_json(F.struct("*")))
     rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A stored side of a join, marked for broadcast if it was measured within the bounds.
+
+    Without the mark Spark starts the shuffle of the other side before it knows
+    how small this one is; so a long, wide table stays where it is.
+    """
+    return F.broadcast(df) if fits_broadcast(df) else df

@@ -15,6 +15,10 @@ from crawlframe.operators.ranking import salted_rank
 from crawlframe.sources.commits import commit, committed
 
 
+#: Stands for U+FFFD while a text is repaired: noncharacters, which no text interchange has.
+_OWN_SIGN = "\ufdd0\ufdef\ufdd1"
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     # A comment is a line that starts with '#' before any trimming.
     return spark.read.text(path).select("value", strip(F.col("value")).alias("line"))
@@ -50,7 +54,9 @@ def read_html_dir(spark: SparkSession, path: str, pattern: str = "*.html") -> Da
     Text is UTF-8; bytes that are not are left out. Files in other charsets go
     through the `binaryFile` source and `decode_pages`.
     """
-    repaired = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
+    # The sign that the repair puts in goes again; where the file itself has it, it stays.
+    held = F.replace("value", F.lit("\ufffd"), F.lit(_OWN_SIGN))
+    repaired = F.replace(F.replace(F.make_valid_utf8(held), F.lit("\ufffd"), F.lit("")), F.lit(_OWN_SIGN), F.lit("\ufffd"))
     return (
         spark.read.option("pathGlobFilter", pattern)
         .text(path, wholetext=True)
@@ -88,12 +94,12 @@ def write_pages(pages: DataFrame, path: str, folder: str = "webpages") -> DataFr
     rows = page_rows(pages, folder)
     good = F.col("html").isNotNull()
     rows.filter(good).write.mode("errorifexists").option("compression", "zstd").parquet(path)
-    return rows.select(
-        "url",
-        F.when(good, "success").otherwise("failed").alias("op"),
-        F.when(good, F.col("html_file_path")).alias("html_file_path"),
-        F.when(~good, "no content").alias("error_message"),
-    )
+    # What counts as a success is what the table holds now.
+    stored = pages.sparkSession.read.parquet(path).select(
+        "url", F.lit("success").alias("op"), "html_file_path", F.lit(None).cast("string").alias("error_message"))
+    return stored.unionByName(rows.filter(~good).select(
+        "url", F.lit("failed").alias("op"), F.lit(None).cast("string").alias("html_file_path"),
+        F.lit("no content").alias("error_message")))
 
 
 def metadata_rows(pages: DataFrame, title: Column, links: Column, crawl_time: Column,

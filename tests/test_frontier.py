@@ -219,3 +219,24 @@ def test_stale_flag_on_missing_time(spark):
     row = ("u", None, "crawling", 0, None, None, None, None, None)
     f = spark.createDataFrame([row], schemas.URLS)
     assert FR.reset_stale(f, F.lit(T0).cast("timestamp")).first().was_stale is False
+
+
+def test_content_duplicates_move_no_text(spark):
+    rows = [("b", "x"), ("a", "x"), ("a", "x"), ("c", "y"), (None, "y"), (None, None), ("d", None), ("e", "z"), ("e", "w")]
+    df = spark.createDataFrame(rows, "url string, html string")
+    got = sorted((str(r.url), str(r.html)) for r in D.keep_first_content(df).collect())
+    assert got == sorted([("a", "x"), ("None", "y"), ("None", "None"), ("e", "z"), ("e", "w")])
+    many = spark.range(1000).select(F.concat(F.lit("u"), "id").alias("url"), F.concat(F.lit("t"), (F.col("id") % 990).cast("string")).alias("html"))
+    out = D.keep_first_content(many)
+    assert out.count() == 990
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_site_filenames_meet_suffixed_names(spark):
+    urls = [f"{s}://h.com/{p}" for s in ("http", "https") for p in ("a", "a_1", "a_1_1", "b", "c_1")] + ["http://h.com/a?x", "http://h.com/a#y"]
+    df = spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, k int")
+    out = D.site_filenames(df).collect()
+    names = [r.file_name for r in out]
+    assert len(set(names)) == len(urls) and sorted(r.k for r in out) == list(range(len(urls)))

@@ -154,6 +154,26 @@ def test_decode(spark):
     assert got == {1: (text, "gbk"), 2: (text, "gb2312"), 3: (text, "no-such"), 4: ("plain", "ISO-8859-1"), 5: (None, None)}
 
 
+def test_repair_keeps_the_files_own_signs(spark, tmp_path):
+    from crawlframe.sources import files as IO
+
+    (tmp_path / "a.html").write_bytes("own � sign ".encode() + b"bad \xff\xfe byte" + " 矿".encode())
+    (tmp_path / "b.html").write_bytes("clean � text".encode())
+    got = {r.file_name: r.html for r in IO.read_html_dir(spark, str(tmp_path)).collect()}
+    assert got == {"a.html": "own � sign bad  byte 矿", "b.html": "clean � text"}
+
+
+def test_topic_gate_can_be_left_out(spark):
+    rows = [("http://a.com/x", "<title>食谱</title><p>more than ten characters</p><a href='/y'>l</a>", 200, None, "text/html"),
+            ("http://a.com/z", "<p>more than ten characters</p>", 500, None, "text/html")]
+    df = spark.createDataFrame(rows, "url string, html string, status_code int, error_type string, content_type string")
+    on = {r.url: r for r in J.judge_fetches(df).collect()}
+    off = {r.url: r for r in J.judge_fetches(df, topic_gate=False).collect()}
+    assert on["http://a.com/x"].op == "failed" and off["http://a.com/x"].op == "success"
+    assert off["http://a.com/x"].links == ["http://a.com/y"] and off["http://a.com/x"].title == "食谱"
+    assert on["http://a.com/z"].op == off["http://a.com/z"].op == "failed"
+
+
 def test_page_to_markdown_outcomes(spark):
     body = "".join(f"<p>矿产资源管理，地质勘探工作第{i}段，内容充实。more words here to read {i}</p>" for i in range(20))
     rows = [("http://h.com/good", f"<article>{body}</article>"), ("http://h.com/short", "<p>x</p>"),
