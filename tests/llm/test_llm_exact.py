@@ -219,7 +219,7 @@ def brute_nearest(ids, x, q, k):
 
 def test_postings_with_copies_and_bad_vectors(spark, monkeypatch):
     monkeypatch.setattr(postings, "PAGE", 50)
-    monkeypatch.setattr(postings, "LIST", 40)
+    monkeypatch.setattr(postings, "LISTS", 0.6)
     rng = np.random.default_rng(2)
     x = rng.standard_normal((600, 8)).astype(np.float32)
     x[200:420] = x[200]  # a third of all rows is one vector

@@ -6,17 +6,27 @@ from pyspark.sql import functions as F
 from crawlframe.llm import postings
 
 
-def test_no_cap_and_a_floor():
-    dist = np.tile(np.linspace(1.0, 2.0, 4096), (2, 1))  # all within the ratio
-    assert postings.to_visit(dist, np.full(dist.shape, 250), 20).all()
-    dist[:, 0] = 0  # the query is a centroid itself
-    assert (postings.to_visit(dist, np.full(dist.shape, 250), 20).sum(axis=1) >= postings.FLOOR).all()
+def test_lists_within_a_ratio():
+    rng = np.random.default_rng(2)
+    c = rng.standard_normal((600, 8))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    g, x = postings.Graph(c), c[:40] + 0.1
+    many = np.full(600, 250)
+    for ratio in (1.0, 1.5, 100.0):
+        for q, (ids, dist) in zip(x, g.within(x, ratio, 2, many, 84)):
+            full = np.sort(((c - q) ** 2).sum(1))
+            assert len(ids) == len(set(ids)) >= 2 and (np.diff(dist) >= 0).all()
+            if ratio == 100.0:
+                assert len(ids) == 600  # no cap
+            elif len(ids) > 2:
+                assert abs(len(ids) - (full <= ratio ** 2 * full[0] + 1e-12).sum()) <= 0.1 * len(ids)
     # Nearly empty lists: it goes on until 21 vectors are sure to be found.
-    assert (postings.to_visit(dist, np.full(dist.shape, 1), 20).sum(axis=1) >= 6 * 21).all()
+    assert all(len(ids) >= 84 for ids, _ in g.within(x, 1.0, 2, np.ones(600, int), 84))
+    assert all(len(ids) == 600 for ids, _ in g.within(x, 1.0, 2, np.zeros(600, int), 84))
 
 
 def test_recall_with_all_lists(spark, monkeypatch):
-    monkeypatch.setattr(postings, "LIST", 4)
+    monkeypatch.setattr(postings, "LISTS", 32)
     rng = np.random.default_rng(4)
     x = rng.standard_normal((16_384, 16))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
