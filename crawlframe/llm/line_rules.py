@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crawlframe.functions.text import spare
 from crawlframe.llm.common import LOWER, WORD, cols, query, table, text_bytes, without
-from crawlframe.session import cut_lineage, ship_package
+from crawlframe.session import broadcast_if_small, cut_lineage, ship_package
 
 SHARE, LEAST = 0.02, 20
 #: A text is depleted if less than this share of its words, or fewer than so many words, are left.
@@ -71,15 +72,15 @@ def text_stats(text: bytes | None) -> tuple[list[int], dict[int, int]]:
     return [len(words), chars, symbols, dup, repeated_words(words)], lines
 
 
-def line_stats(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """`docs` without the text: base counts, __host, __text (hash) and __lines of (h, w)."""
+def line_stats(docs: DataFrame, text: str = "text", host: str = "source", prefix: str = "__") -> DataFrame:
+    """`docs` without the text: base counts and, under `prefix`, host, text (hash) and lines of (h, w)."""
     ship_package(docs.sparkSession)
     keep = without(docs, [text, *MADE])
-    sent = docs.select(*cols(keep), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("__host"),
-                       F.col(text).alias("__t"))
+    (body, home) = cols([text, host])
+    sent = docs.select(*cols(keep), F.coalesce(home.cast("string"), F.lit("")).alias(f"{prefix}host"), body.alias(f"{prefix}t"))
     line = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("w", T.LongType())]))
     schema = T.StructType([*sent.schema.fields[:-1], *[T.StructField(s, T.LongType()) for s in STATS],
-                           T.StructField("__text", T.LongType()), T.StructField("__lines", line)])
+                           T.StructField(f"{prefix}text", T.LongType()), T.StructField(f"{prefix}lines", line)])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -101,13 +102,14 @@ def line_stats(docs: DataFrame, text: str = "text", host: str = "source") -> Dat
     return sent.mapInArrow(run, schema)
 
 
-def frequent_lines(stats: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(__host, h, n) of the lines above a host's limit; all counting combines before the shuffle."""
-    lines = stats.select("__host", "__text", F.explode("__lines.h").alias("h"))
+def frequent_lines(stats: DataFrame, share: float = SHARE, least: int = LEAST, prefix: str = "__") -> DataFrame:
+    """(host, h, n) of the lines above a host's limit; all counting combines before the shuffle."""
+    own = stats.select(F.col(f"{prefix}host").alias("host"), F.col(f"{prefix}text").alias("text"), F.col(f"{prefix}lines.h").alias("h"))
     # Copies of a text fall together first; the rest is an ordinary count.
-    counts = lines.distinct().groupBy("__host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    hosts = stats.select("__host", "__text").distinct().groupBy("__host").agg(F.count(F.lit(1)).alias("docs"))
-    return counts.join(hosts, "__host").where(F.col("n") > F.col("docs") * share).select("__host", "h", "n")
+    lines = own.select("host", "text", F.explode("h").alias("h")).distinct()
+    counts = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    hosts = own.select("host", "text").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    return counts.join(hosts, "host").where(F.col("n") > F.col("docs") * share).select("host", "h", "n")
 
 
 def without_lines(text: bytes | None, gone: set[int]) -> tuple[bytes | None, int]:
@@ -132,15 +134,17 @@ def clean(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
 
     The first pass keeps line hashes only; the second gets each text's frequent ones and counts what it removes.
     """
-    key = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    home = F.coalesce(F.col(host).cast("string"), F.lit(""))
-    stats = cut_lineage(line_stats(docs.select(F.col(text).alias("t"), key.alias("__key"), home.alias("s")), "t", "s"))
-    often = frequent_lines(stats).select("__host", "h")
-    lines = stats.select("__host", "__key", F.explode("__lines.h").alias("h")).distinct()
-    gone = lines.join(often, ["__host", "h"]).groupBy("__host", "__key").agg(F.collect_set("h").alias("__gone"))
+    p = spare(docs)
+    (body, home) = cols([text, host])
+    key = F.xxhash64(F.coalesce(body.cast("string"), F.lit("")))
+    home = F.coalesce(home.cast("string"), F.lit(""))
+    stats = cut_lineage(line_stats(docs.select(body.alias("t"), key.alias("key"), home.alias("s")), "t", "s"))
+    often = broadcast_if_small(cut_lineage(frequent_lines(stats).select(F.col("host").alias("__host"), "h")))
+    lines = stats.select("__host", "key", F.explode("__lines.h").alias("h")).join(often, ["__host", "h"]).distinct()
+    gone = lines.groupBy(F.col("__host").alias(f"{p}host"), F.col("key").alias(f"{p}key")).agg(F.collect_set("h").alias(f"{p}gone"))
     keep = without(docs, [text, *MADE])
-    sent = docs.select(*cols(keep), F.col(text).alias("__t"), home.alias("__host"), key.alias("__key")).join(
-        gone, ["__host", "__key"], "left").select(*cols(keep), "__t", "__gone")
+    sent = docs.select(*cols(keep), body.alias(f"{p}t"), home.alias(f"{p}host"), key.alias(f"{p}key")).join(
+        gone, [f"{p}host", f"{p}key"], "left").select(*cols(keep), f"{p}t", f"{p}gone")
     schema = T.StructType([*sent.schema.fields[:-2], T.StructField(text, T.StringType()), *[
         T.StructField(c, T.LongType()) for c in [*STATS, "n_removed_words"]]])
 
@@ -157,7 +161,10 @@ def clean(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
                 *[pa.array([m[k] for m in made], pa.int64()) for k in range(len(STATS))],
                 pa.array([n for _, n in done], pa.int64())], names=schema.names)
 
-    out = sent.mapInArrow(run, schema)
+    return _judged(sent.mapInArrow(run, schema))
+
+
+def _judged(out: DataFrame) -> DataFrame:
     left = F.col("n_words") - F.col("n_removed_words")
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (
         100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn(
@@ -166,9 +173,22 @@ def clean(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
 
 
 def quality(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The judgements of `clean` without the text."""
-    out = clean(docs, text, host)
-    return out.select(*cols(without(out, [text])))
+    """The judgements of `clean` without the text, which is read once and never moves.
+
+    The words that go are counted from the lines' hashes and word counts. Texts are
+    told apart by host and hash; only those with a frequent line are looked up.
+    """
+    p = spare(docs)
+    stats = cut_lineage(line_stats(docs, text, host, p))
+    often = broadcast_if_small(cut_lineage(frequent_lines(stats, prefix=p).select(F.col("host").alias(f"{p}host"), F.col("h").alias(f"{p}h"))))
+    lines = stats.select(f"{p}host", f"{p}text", F.explode(f"{p}lines").alias(f"{p}l")).select(
+        f"{p}host", f"{p}text", F.col(f"{p}l.h").alias(f"{p}h"), F.col(f"{p}l.w").alias(f"{p}w"))
+    # Copies of a text give the same lines; one of each is enough.
+    met = lines.join(often, [f"{p}host", f"{p}h"]).groupBy(f"{p}host", f"{p}text", f"{p}h").agg(F.max(f"{p}w").alias(f"{p}w"))
+    gone = met.groupBy(f"{p}host", f"{p}text").agg(F.sum(f"{p}w").alias("n_removed_words"))
+    narrow = stats.drop(f"{p}lines").join(broadcast_if_small(cut_lineage(gone)), [f"{p}host", f"{p}text"], "left")
+    keep = without(docs, [text, *MADE])
+    return _judged(narrow.select(*cols(keep), *STATS, F.coalesce("n_removed_words", F.lit(0).cast("bigint")).alias("n_removed_words")))
 
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
