@@ -18,7 +18,8 @@ windows are equal. Anchors with more kinds than a task should hold have their
 windows' hashes counted instead, with the same result.
 
 Defined cases: null and short texts keep all their bytes; rows repeated as they
-are repeat each other; an empty table gives no rows. Matches never cross rows.
+are repeat each other; an empty table gives no rows. Matches never cross rows. Only id
+and text are read; other columns may have any name and are not in the result.
 """
 
 from __future__ import annotations
@@ -389,4 +390,6 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def op9(spark, d) -> DataFrame:
     done = remove_repeated(table(spark, d, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"),
-                       F.sha2("kept", 256).alias("kept_sha256"))
+                       F.sha2("kept", 256).alias("kept_sha256"),
+                       # What is left, as text; a character that a cut went through is U+FFFD.
+                       F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
