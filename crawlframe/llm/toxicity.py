@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Fit on at most `FIT_ROWS` labelled rows; `labels` must hold training rows only.
 
     Only that bounded sample of labels is broadcast. What reaches the driver is
-    the lexicon (at most `LEXICON` entries) and two numbers per sampled row.
+    the lexicon (at most `LEXICON` entries) and, twice, two numbers per sampled id.
     """
     spark = docs.sparkSession
     sample = _sample(labels, doc_id, label)
@@ -210,30 +210,34 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return ToxicModel(bias=share)
     bounded = spark.createDataFrame([tuple(r) for r in picked], sample.schema)
     joined = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(
-        F.broadcast(bounded), "_id").select("_text", "_y", "_late")
+        F.broadcast(bounded), "_id")
     model = _lexicon(joined.where("NOT _late").select("_text", "_y"), n1, n)
 
-    def best(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def held(measure) -> list:
+        """(y, x, n) of the late rows, `x` being what `measure` makes of a text's segments; one row per sampled id."""
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
 
-        for b in batches:
-            found = [segments(t, model) for t in text_bytes(b.column(0))]
-            yield pa.RecordBatch.from_arrays([
-                b.column(1), pa.array([max((s for *_, s in f), default=0.0) for f, _ in found], pa.float64()),
-                pa.array([m for _, m in found], pa.int64()),
-                pa.array([[s for *_, s in f] for f, _ in found], pa.list_(pa.float64())),
-            ], ["y", "s", "n", "all"])
-
-    held = joined.where("_late").select("_text", "_y").mapInArrow(best, "y int, s double, n bigint, all array<double>")
-    rows = held.orderBy("y", "n", "s").limit(2 * FIT_ROWS).collect()
-    clean = [(r["s"], math.log(max(r["n"], 1))) for r in rows if r["y"] == 0]
+            for b in batches:
+                found = [segments(t, model) for t in text_bytes(b.column(0))]
+                yield pa.RecordBatch.from_arrays([
+                    b.column(1), b.column(2), pa.array([measure(f, m) for f, m in found], pa.float64()),
+                    pa.array([m for _, m in found], pa.int64())], ["id", "y", "x", "n"])
+
+        kind = joined.schema["_id"].dataType.simpleString()
+        rows = joined.where("_late").select("_text", "_id", "_y").mapInArrow(run, f"id {kind}, y int, x double, n bigint")
+        # An id may stand for several rows; the one with the least figures stands for it.
+        return rows.groupBy("id").agg(F.min(F.struct("y", "n", "x")).alias("m")).select("m.*").orderBy("y", "n", "x").collect()
+
+    best = held(lambda found, _: max((s for *_, s in found), default=0.0))
+    clean = [(r["x"], math.log(max(r["n"], 1))) for r in best if r["y"] == 0]
     if clean:
         s = np.array([x for x, _ in clean])
         # Floor on the spread: clean texts may hold no positive word at all.
         model.lam = float(np.clip(math.pi / (max(s.std(), 0.3) * math.sqrt(6)), 0.2, 4.0))
         model.log_k = float(model.lam * s.mean() - np.mean([x for _, x in clean]) - 0.5772)
-    x = np.array([evidence([(0, 0, s) for s in r["all"]], r["n"], model)[1] for r in rows])
-    y = np.array([r["y"] for r in rows], float)
+    rows = held(lambda found, n: float(evidence(found, n, model)[1]))
+    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
     model.bias, model.slope = _logistic(x, y)
     return model
 
