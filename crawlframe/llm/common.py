@@ -47,6 +47,16 @@ def cols(names: Iterable[str]) -> list[Column]:
     return [F.col(f"`{n.replace('`', '``')}`") for n in names]
 
 
+def given(df: DataFrame, names: Iterable[str]) -> Column:
+    """The columns `names` of `df` as one, called __given, so that their names meet no inner ones."""
+    return F.struct(*cols(names)).alias("__given")
+
+
+def restored(names: Iterable[str]) -> list[Column]:
+    """What `given` packed, as columns again."""
+    return [F.col("__given")[n].alias(n) for n in names]
+
+
 def split_of(doc_id: str = "doc_id", parts: int = 5) -> Column:
     """crc32 of the id as text, modulo `parts`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts

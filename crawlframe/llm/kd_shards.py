@@ -11,7 +11,8 @@ value breaks ties, so one value that holds a third of all rows is split as well.
 DataFrame functions only. Law: bytes. Defined cases: a null text has no bytes
 (size 1), a null language or source counts as empty; rows that are the same in
 all of id and text share a shard; fewer rows than shards leave shards empty; an
-empty table gives no rows. Extra columns pass through, result names are replaced.
+empty table gives no rows. Extra columns pass through whatever their names, those
+named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crawlframe.llm.common import cols, query, table, without
+from crawlframe.llm.common import given, query, restored, table, without
 from crawlframe.session import cut_lineage
 
 SCALE, TIE = 1 << 20, 32
@@ -83,7 +84,7 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
     """`docs` without the text, with size, text_crc32, law, shard, slot and grown_shard (null)."""
     keep = without(docs, [text, *MADE])
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*cols(keep), F.col(doc_id).cast("string").alias("__id"),
+    rows = docs.select(given(docs, keep), F.col(doc_id).cast("string").alias("__id"),
                        (F.octet_length(body) + 1).cast("bigint").alias("size"),
                        F.crc32(body.cast("binary")).alias("text_crc32"), _number(F.col(lang)).alias("__lang0"),
                        _number(F.col(source)).alias("__source0"))
@@ -137,7 +138,7 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
     offsets = counts.select("shard", "__piece", F.coalesce(F.sum("c").over(along), F.lit(0)).alias("__before"))
     inside = W.partitionBy("shard", "__piece").orderBy("__tie", "__id", "text_crc32")
     done = rows.withColumn("__at", F.row_number().over(inside) - 1).join(offsets, ["shard", "__piece"])
-    return done.select(*cols(keep), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+    return done.select(*restored(keep), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                        (F.col("__before") + F.col("__at")).cast("bigint").alias("slot"),
                        F.lit(None).cast("int").alias("grown_shard"))
 

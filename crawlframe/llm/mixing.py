@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crawlframe.llm.common import WORD, cols, query, table
+from crawlframe.llm.common import WORD, given, query, restored, table, without
 from crawlframe.session import cut_lineage
 
 #: Rows that one bucket of a leaf should hold, and leaves up to which their plan is broadcast.
@@ -34,6 +34,8 @@ WEIGHTS = {
     "source": {},
 }
 SEED = 42
+#: Names of the results.
+MADE = ["__domain", "__epoch", "__tokens"]
 
 
 def domain_of(source: Column) -> Column:
@@ -91,14 +93,19 @@ def budgets(leaves: DataFrame, weights: dict, share: float, epochs: int) -> Data
 def mix(docs: DataFrame, weights: dict = WEIGHTS, share: float = 0.6, epochs: int = 4, seed: int = SEED,
         doc_id: str = "doc_id", text: str = "text", domain: Column | None = None, lang: str = "lang",
         source: str = "source") -> DataFrame:
-    """One row per document and epoch that is taken: the columns of `docs`, __domain, __epoch, __tokens."""
+    """One row per document and epoch that is taken: the columns of `docs`, and __domain, __epoch, __tokens.
+
+    Columns of `docs` may have any name; those named like a result are replaced.
+    """
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     keys = [f"__{n}" for n in LEVELS]
+    keep = without(docs, MADE)
     rows = docs.select(
-        *cols(docs.columns), name(domain_of(F.col(source)) if domain is None else domain).alias("__domain"),
+        given(docs, keep), name(domain_of(F.col(source)) if domain is None else domain).alias("__domain"),
         name(F.col(lang)).alias("__lang"), name(F.col(source)).alias("__source"),
         token_count(F.col(text)).alias("__tokens"))
-    slim = rows.select(*keys, "__tokens", F.col(doc_id).cast("string").alias("__id"))
+    id_ = F.col("__given")[doc_id].cast("string")
+    slim = rows.select(*keys, "__tokens", id_.alias("__id"))
     leaves = cut_lineage(slim.groupBy(*keys).agg(F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("n")))
     n, most = leaves.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
     sent = F.broadcast if n <= LEAVES else (lambda x: x)
@@ -123,18 +130,18 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, share: float = 0.6, epochs: in
                                              F.col("e.__before").alias("__before")), keys, "left"))
 
     met = rows.join(sent(plan), keys)
-    key = order(F.col(doc_id).cast("string"))
+    key = order(id_)
     copies = F.sequence(F.lit(0).cast("bigint"), F.col("__full") - 1)
     inside = met.withColumn("__key", key).withColumn("__bucket", F.col("__key").substr(1, digits))
     whole = F.when(F.col("__full") > 0, copies).otherwise(F.expr("cast(array() as array<bigint>)"))
     sure = inside.withColumn("__epoch", F.explode(F.concat(whole, F.when(
         F.col("__bucket") < F.col("__edge"), F.array("__full")).otherwise(F.expr("cast(array() as array<bigint>)")))))
-    w = W.partitionBy(*keys, "__bucket").orderBy("__key", F.xxhash64(F.col(text))).rowsBetween(
+    w = W.partitionBy(*keys, "__bucket").orderBy("__key", F.xxhash64(F.col("__given")[text])).rowsBetween(
         W.unboundedPreceding, W.currentRow)
     last = inside.where(F.col("__bucket") == F.col("__edge")).withColumn(
         "__start", F.col("__before") + F.sum("__tokens").over(w) - F.col("__tokens")).where(
         "__start < __part").withColumn("__epoch", F.col("__full"))
-    out = [*cols(docs.columns), F.col("__domain"), F.col("__epoch"), F.col("__tokens")]
+    out = [*restored(keep), *[F.col(c) for c in MADE]]
     return sure.select(*out).unionByName(last.select(*out))
 
 

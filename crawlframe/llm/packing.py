@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crawlframe.functions.text import spare
 from crawlframe.llm.common import cols, query, table, without
 from crawlframe.session import cut_lineage, ship_package
 
@@ -121,7 +122,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity:
     ship_package(docs.sparkSession)
     made = ["piece", "start", "length", "ids_crc32"]
     keep = without(docs, [text, *made])
-    sent = docs.select(*cols(keep), F.col(text).alias("_text"))
+    sent = docs.select(*cols(keep), *[c.alias(f"{spare(docs)}text") for c in cols([text])])
     schema = T.StructType([*sent.schema.fields[:-1], T.StructField("piece", T.IntegerType()), *[
         T.StructField(n, T.LongType()) for n in made[1:]]])
     tail = np.array([END], "<u4").tobytes()

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crawlframe.functions.text import spare
 from crawlframe.llm.common import cols, query, table, text_bytes, without, words
 from crawlframe.llm.components import components
 from crawlframe.session import cut_lineage, ship_package
@@ -75,7 +76,7 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, out: str =
     """`docs` without the text, with the fingerprint as a signed bigint."""
     ship_package(docs.sparkSession)
     keep = without(docs, [text, out])
-    sent = docs.select(*cols(keep), F.col(text).alias("_text"))
+    sent = docs.select(*cols(keep), *[c.alias(f"{spare(docs)}text") for c in cols([text])])
     schema = T.StructType([*sent.schema.fields[:-1], T.StructField(out, T.LongType())])
 
     def run(batches: Iterator) -> Iterator:
@@ -168,15 +169,16 @@ def classes(marked: DataFrame, doc_id: str = "doc_id", fp: str = "fingerprint",
     Links are `edges` (a, b) of fingerprints, by default those of `links`. The
     smallest fingerprint of the class is kept under the name `root`, if there is one.
     """
+    own = f"{spare(marked)}fp"
     nodes = cut_lineage(marked.groupBy(F.col(fp).alias("_fp")).agg(F.min(doc_id).alias("_least")))
     roots = components(links(nodes.select("_fp"), "_fp") if edges is None else edges)
     joined = nodes.join(roots, nodes["_fp"] == roots["node"], "left").select(
         "_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     least = joined.groupBy("_root").agg(F.min("_least").alias("component_id"))
     extra = [F.col("_root").alias(root)] if root else []
-    of = joined.join(least, "_root").select("_fp", "component_id", *extra)
+    of = joined.join(least, "_root").select(F.col("_fp").alias(own), "component_id", *extra)
     keep = without(marked, ["component_id"])
-    return marked.select(*cols(keep)).join(of, F.col(fp).eqNullSafe(F.col("_fp"))).drop("_fp")
+    return marked.select(*cols(keep)).join(of, F.col(fp).eqNullSafe(F.col(own))).drop(own)
 
 
 def checksum(text: str) -> Column:
@@ -196,20 +198,21 @@ def keep_first(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text:
     Losers are found on narrow rows (id, text checksum) and taken out with an
     anti join; only rows that are repeated as they are get regrouped.
     """
-    key = checksum(text)
+    key, p = checksum(text), spare(docs)
     rows = found.groupBy("doc_id", "_key", "component_id", "_root").agg(F.count(F.lit(1)).alias("n"))
     rows = cut_lineage(rows.select("doc_id", "_key", "component_id", "n", "_root"))
     # Of a class, the row of the smallest id stays; of equal ids, the one with the smallest checksum.
     best = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("_root")).alias("_f")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "_key")).alias("m"))
-    stays = best.select(F.col("m.doc_id").alias("_i"), F.col("m._key").alias("_k"))
-    same = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))
-    lost = rows.join(stays, same, "left_anti").select(F.col("doc_id").alias("_i"), F.col("_key").alias("_k"))
+    i, k = f"{p}i", f"{p}k"
+    stays = best.select(F.col("m.doc_id").alias(i), F.col("m._key").alias(k))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("_key") == F.col(k))
+    lost = rows.join(stays, same, "left_anti").select(F.col("doc_id").alias(i), F.col("_key").alias(k))
     twice = rows.where("n > 1").join(stays, same, "left_semi").select(
-        F.col("doc_id").alias("_i"), F.col("_key").alias("_k"))
-    at = F.col(doc_id).eqNullSafe(F.col("_i")) & (key == F.col("_k"))
+        F.col("doc_id").alias(i), F.col("_key").alias(k))
+    at = cols([doc_id])[0].eqNullSafe(F.col(i)) & (key == F.col(k))
     once = docs.join(lost.union(twice), at, "left_anti")
-    again = docs.join(twice, at, "left_semi").withColumn("_key", key).dropDuplicates([doc_id, "_key"]).drop("_key")
+    again = docs.join(twice, at, "left_semi").withColumn(k, key).dropDuplicates([doc_id, k]).drop(k)
     return once.unionByName(again).select(*cols(docs.columns))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as CP
-from crawlframe.llm import kd_shards, line_rules, mixing, packing, postings, ppm, secret_scan, simhash, suffix_dedup, toxicity
+from crawlframe.llm import kd_shards, line_rules, mixing, near_copies, packing, postings, ppm, secret_scan, simhash, suffix_dedup, toxicity
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, score double, fingerprint string, piece int, "
@@ -56,6 +56,31 @@ def test_messy_rows_keep_their_number(spark, messy):
         assert out.count() == len(rows()), name
 
 
+INNER = ("__given __t __id __tie __piece __node __next __at __before __host __text __lines __key __gone __domain __lang __source __epoch "
+         "__tokens __bucket __full __part __edge __start __l __h _text _key _i _k _fp _root _least _forest node root key h w n fp m id text_key "
+         "kept removed spans want anchor kind gid list page").split()
+
+
+def test_any_extra_column_name(spark):
+    texts = [(1, prose(1, 80)), (2, prose(1, 80)), (3, None), (4, ""), (5, prose(5, 90) + " token=abc123")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in INNER)
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 2}", 1, *INNER) for i, t in texts], schema)
+    for name, out in all_ops(spark, docs):
+        assert out.count() == len(texts), name
+    tokens = packing.token_pieces(docs, packing.word_bpe())
+    passed = {
+        "mix": mixing.mix(docs, share=1.0, epochs=1), "keep_one": simhash.keep_one(docs), "near": near_copies.keep_one(docs),
+        "shard": kd_shards.shard(docs), "clean": line_rules.clean(docs), "quality": line_rules.quality(docs), "scan": secret_scan.scan(docs),
+        "redact": secret_scan.redact(docs), "print": simhash.fingerprints(docs), "pieces": tokens, "classes": simhash.classes(simhash.fingerprints(docs))}
+    for name, out in passed.items():
+        made = {"mix": mixing.MADE, "clean": line_rules.MADE, "quality": line_rules.MADE}.get(name, [])
+        row = out.orderBy("doc_id").first()
+        for n in INNER:
+            if n not in made:
+                assert row[n] == n, (name, n)
+    assert packing.pack(tokens.select("doc_id", "piece", "start", "length", "ids_crc32")).count() == len(texts)
+
+
 def test_empty_tables(spark, empty):
     for name, out in all_ops(spark, empty):
         assert out.count() == 0, name
