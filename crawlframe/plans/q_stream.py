@@ -49,6 +49,14 @@ def stream_frontier(spark, d):
     return shown(S.read_frontier(spark, out))
 
 
+@query("stream_compacted", "log_v", FOLD_SQL)
+def stream_compacted(spark, d):
+    out, target = scratch(spark, "frontier"), scratch(spark, "compact")
+    finish(S.stream_frontier(log_stream(spark, d), out, scratch(spark, "ckpt")))
+    S.compact_frontier(spark, out, target)
+    return shown(S.read_frontier(spark, target))
+
+
 @query("stream_log_levels", "", f"SELECT line AS message, {LOG_LEVEL_SQL} AS level FROM ({LOG_LINES_SQL}) l")
 def stream_log_levels(spark, d):
     path = scratch(spark, "lines")
