@@ -2,7 +2,8 @@
 
 Lines are normalised (A-Z lower-cased, blanks joined) and hashed. Per host, the
 distinct documents that hold a line are counted; equal whole texts are one
-document there, so mere copies do not turn their lines into boilerplate. A line
+document there, so mere copies do not turn their lines into boilerplate, unless
+`every_row` counts each row. A line
 in more than `SHARE` of a host's documents, and in more than `LEAST` of them, is
 removed. A text of which too few words are left is depleted and rejected.
 
@@ -102,13 +103,18 @@ def line_stats(docs: DataFrame, text: str = "text", host: str = "source", prefix
     return sent.mapInArrow(run, schema)
 
 
-def frequent_lines(stats: DataFrame, share: float = SHARE, least: int = LEAST, prefix: str = "__") -> DataFrame:
-    """(host, h, n) of the lines above a host's limit; all counting combines before the shuffle."""
+def frequent_lines(stats: DataFrame, share: float = SHARE, least: int = LEAST, prefix: str = "__",
+                   every_row: bool = False) -> DataFrame:
+    """(host, h, n) of the lines above a host's limit; all counting combines before the shuffle.
+
+    With `every_row` each row is a document of its own, copies of a text too.
+    """
     own = stats.select(F.col(f"{prefix}host").alias("host"), F.col(f"{prefix}text").alias("text"), F.col(f"{prefix}lines.h").alias("h"))
-    # Copies of a text fall together first; the rest is an ordinary count.
-    lines = own.select("host", "text", F.explode("h").alias("h")).distinct()
+    lines, texts = own.select("host", "text", F.explode("h").alias("h")), own.select("host", "text")
+    if not every_row:  # copies of a text fall together first; the rest is an ordinary count
+        lines, texts = lines.distinct(), texts.distinct()
     counts = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    hosts = own.select("host", "text").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     return counts.join(hosts, "host").where(F.col("n") > F.col("docs") * share).select("host", "h", "n")
 
 
@@ -128,7 +134,7 @@ def without_lines(text: bytes | None, gone: set[int]) -> tuple[bytes | None, int
     return b"\n".join(left), n
 
 
-def clean(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+def clean(docs: DataFrame, text: str = "text", host: str = "source", every_row: bool = False) -> DataFrame:
     """`docs` with the text less its frequent lines, the base counts of the whole text, n_removed_words, base_failed,
     depleted and kept.
 
@@ -139,7 +145,7 @@ def clean(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
     key = F.xxhash64(F.coalesce(body.cast("string"), F.lit("")))
     home = F.coalesce(home.cast("string"), F.lit(""))
     stats = cut_lineage(line_stats(docs.select(body.alias("t"), key.alias("key"), home.alias("s")), "t", "s"))
-    often = broadcast_if_small(cut_lineage(frequent_lines(stats).select(F.col("host").alias("__host"), "h")))
+    often = broadcast_if_small(cut_lineage(frequent_lines(stats, every_row=every_row).select(F.col("host").alias("__host"), "h")))
     lines = stats.select("__host", "key", F.explode("__lines.h").alias("h")).join(often, ["__host", "h"]).distinct()
     gone = lines.groupBy(F.col("__host").alias(f"{p}host"), F.col("key").alias(f"{p}key")).agg(F.collect_set("h").alias(f"{p}gone"))
     keep = without(docs, [text, *MADE])
@@ -172,7 +178,7 @@ def _judged(out: DataFrame) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
-def quality(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+def quality(docs: DataFrame, text: str = "text", host: str = "source", every_row: bool = False) -> DataFrame:
     """The judgements of `clean` without the text, which is read once and never moves.
 
     The words that go are counted from the lines' hashes and word counts. Texts are
@@ -180,7 +186,7 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source") -> DataFr
     """
     p = spare(docs)
     stats = cut_lineage(line_stats(docs, text, host, p))
-    often = broadcast_if_small(cut_lineage(frequent_lines(stats, prefix=p).select(F.col("host").alias(f"{p}host"), F.col("h").alias(f"{p}h"))))
+    often = broadcast_if_small(cut_lineage(frequent_lines(stats, prefix=p, every_row=every_row).select(F.col("host").alias(f"{p}host"), F.col("h").alias(f"{p}h"))))
     lines = stats.select(f"{p}host", f"{p}text", F.explode(f"{p}lines").alias(f"{p}l")).select(
         f"{p}host", f"{p}text", F.col(f"{p}l.h").alias(f"{p}h"), F.col(f"{p}l.w").alias(f"{p}w"))
     # Copies of a text give the same lines; one of each is enough.
