@@ -8,16 +8,18 @@ any scan of the frontier. Times are whole microseconds (`*_us`), which no time z
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from crawlframe.operators.frontier import FRONTIER_COLUMNS
-from crawlframe.session import ship_package
+from crawlframe.session import PROVIDER, ROCKSDB
 from crawlframe.streaming.jobs import _write_batches
 
 #: What is kept of a URL; a `seq` of null means that there was no such row yet.
@@ -118,15 +120,23 @@ def stream_live(log: DataFrame, out: str, checkpoint: str, stale_hours: int = 1,
     """Changed frontier rows of a log stream, written per batch.
 
     Log rows more than `delay` behind the newest are dropped by the watermark. A crawling row created
-    over `stale_hours` before the watermark becomes pending. Needs the RocksDB state store.
+    over `stale_hours` before the watermark becomes pending. Timers need the RocksDB state store,
+    which this stream gets whatever the session has.
     """
-    ship_package(log.sparkSession)
+    # Spark also loads the processor in a worker of the driver, which no shipped file reaches: it goes as code.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows = log.withWatermark("ts", delay).select("url", "ts", "seq", "op", "depth", "source_url", "title", "html_file_path",
                                                  "error_message", F.unix_micros("ts").alias("us"))
     changes = rows.groupBy("url").transformWithState(
         statefulProcessor=LiveFrontier(stale_hours * 3_600_000), outputStructType=OUT, outputMode="Update",
         timeMode="EventTime")
-    return _write_batches(changes, out, checkpoint, "update", trigger)
+    conf = log.sparkSession.conf
+    before = conf.get(PROVIDER)
+    conf.set(PROVIDER, ROCKSDB)
+    try:  # a stream holds the settings that its session has when it starts
+        return _write_batches(changes, out, checkpoint, "update", trigger)
+    finally:
+        conf.set(PROVIDER, before)
 
 
 def read_live(spark, out: str) -> DataFrame:

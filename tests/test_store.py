@@ -2,9 +2,12 @@
 
 import random
 import re
+import subprocess
+import sys
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from conftest import ROOT
 from pyspark.sql import functions as F
 
 from crawlframe.operators import frontier as FR
@@ -273,3 +276,25 @@ def test_contained_join_equals_every_pair(spark):
     names = spark.createDataFrame([(p,) for p in PATTERNS] * 2 + [(None,)], "p string")
     got = sorted((r.p, r.k) for r in grams.contained_join(names, "p", df, "t").collect())
     assert got == sorted((p, k) for p in PATTERNS for k, t, _ in rows if like(p, t))
+
+
+def test_live_stream_runs_in_a_plain_session_elsewhere(tmp_path):
+    """Neither the session's state store nor the folder it was started in may matter."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+from crawlframe.streaming import live
+spark = SparkSession.builder.master("local[2]").config(map={{
+    "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.sql.session.timeZone": "UTC"}}).getOrCreate()
+rows = "seq long, ts timestamp, url string, op string, depth int, source_url string, title string, html_file_path string, error_message string"
+spark.sql("SELECT 1L seq, timestamp'2020-01-01 00:00:00' ts, 'u' url, 'add' op, 0 depth, 's' source_url, '' title, '' html_file_path,"
+          " '' error_message UNION ALL SELECT 2L, timestamp'2020-01-01 00:00:01', 'u', 'crawling', 0, 's', '', '', ''").coalesce(1).write.parquet("log")
+before = spark.conf.get(live.PROVIDER)
+q = live.stream_live(spark.readStream.schema(rows).parquet("log"), "out", "ckpt")
+q.awaitTermination()
+assert spark.conf.get(live.PROVIDER) == before
+print("ROWS", [(r.url, r.status) for r in live.read_live(spark, "out").collect()])
+"""
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "ROWS [('u', 'crawling')]" in ran.stdout, ran.stderr[-2000:]
