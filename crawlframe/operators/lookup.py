@@ -105,11 +105,15 @@ def files_with_stored_url(files: DataFrame, frontier: DataFrame, name: str = "fi
 
 
 def with_file_exists(frontier: DataFrame, files: DataFrame, name: str = "file_name") -> DataFrame:
-    """The frontier with the stored file's base name and whether that file exists."""
-    names = files.select(F.col(name).alias("_file")).distinct()
-    named = frontier.withColumn("html_file", basename("html_file_path"))
+    """The frontier with the stored file's base name and whether that file exists.
+
+    Rows without a file, usually half of them, are dealt out by their URL; as equal keys
+    of the join they would all lie in one task.
+    """
+    names = files.select(F.col(name).alias("_file"), F.xxhash64(name).alias("_file_hash")).distinct()
+    named = frontier.withColumn("html_file", basename("html_file_path")).withColumn("_dealt", F.xxhash64(F.coalesce("html_file", "url")))
     return (
-        named.join(names, F.col("html_file") == F.col("_file"), "left")
+        named.join(names, (F.col("html_file") == F.col("_file")) & (F.col("_dealt") == F.col("_file_hash")), "left")
         .withColumn("file_exists", F.col("_file").isNotNull())
-        .drop("_file")
+        .drop("_file", "_file_hash", "_dealt")
     )

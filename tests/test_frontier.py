@@ -240,3 +240,20 @@ def test_site_filenames_meet_suffixed_names(spark):
     out = D.site_filenames(df).collect()
     names = [r.file_name for r in out]
     assert len(set(names)) == len(urls) and sorted(r.k for r in out) == list(range(len(urls)))
+
+
+def test_rows_without_a_file_are_dealt_out(spark):
+    set_ = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in set_}
+    try:
+        for k, v in set_.items():
+            spark.conf.set(k, v)
+        f = spark.range(2000).selectExpr("concat('u', id) AS url", "IF(id < 20, concat('p/f', id, '.html'), NULL) AS html_file_path")
+        files = spark.createDataFrame([("f1.html",), ("f1.html",), ("f2.html",), (None,), ("u7",)], "file_name string")
+        got = L.with_file_exists(f, files).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted(r.url for r in got if r.file_exists) == ["u1", "u2"] and len(got) == 2000
+        assert len({r.task for r in got if r.html_file is None}) == 4  # all partitions of the session
+        assert set(got[0].asDict()) == {"url", "html_file_path", "html_file", "file_exists", "task"}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
