@@ -257,3 +257,17 @@ def test_rows_without_a_file_are_dealt_out(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_requests_are_not_sorted_for_the_crawled_ones(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), (None,)], "url string")
+        f = spark.createDataFrame([("a", "success"), ("a", "success"), ("b", "failed"), (None, "success")], "url string, status string")
+        for made, want in ((FR.already_crawled, ["a", "a"]), (FR.skip_crawled, [None, "b", "c"])):
+            df = made(asked, f)
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+            assert sorted((r.url for r in df.collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
