@@ -12,20 +12,25 @@ into hash groups, each with an automaton and a pass of its own, and never held w
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlframe.functions.text import spare
+from crawlframe.operators.batches import pieces
 from crawlframe.session import cut_lineage, ship_package
 
 #: Rules of one automaton: at most so many, and so many characters in all.
 GROUP_RULES, GROUP_CHARS = 200_000, 16 << 20
 #: Automata that a worker keeps.
-KEPT = 2
+KEPT = 1
+#: Hits after which a batch goes out.
+HITS = 1 << 16
 _automata: dict[str, ahocorasick.Automaton] = {}
 
 
@@ -74,15 +79,22 @@ def contained(texts: DataFrame, text: str, key: str, words: list[str], rule: str
         names = shared.value
         found = _of_worker(name, names)
         told = pa.array(names, pa.string())
-        for b in batches:
-            rows, which = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                if t and names:
+
+        def out(b: pa.RecordBatch, rows: array, which: array) -> pa.RecordBatch:
+            at, of = (pa.array(np.frombuffer(x, np.int64)) for x in (rows, which))
+            return pa.RecordBatch.from_arrays([b.column(0).take(at), told.take(of)], [key, rule])
+
+        for b in pieces(batches, 1):
+            rows, which = array("q"), array("q")
+            for i, t in enumerate(b.column(1)):
+                if names and (t := t.as_py()):
                     hits = {v for _, v in found.iter(t)}
-                    rows += [i] * len(hits)
-                    which += hits
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows, pa.int64())), told.take(pa.array(which, pa.int64()))], [key, rule])
+                    rows.extend([i] * len(hits))
+                    which.extend(hits)
+                    if len(which) >= HITS:
+                        yield out(b, rows, which)
+                        rows, which = array("q"), array("q")
+            yield out(b, rows, which)
 
     schema = narrow.select(key).schema.add(rule, "string")
     return narrow.mapInArrow(run, schema)
@@ -96,7 +108,7 @@ def without_hits(df: DataFrame, text, words: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _of_worker(name, shared.value)
-        for b in batches:
+        for b in pieces(batches, width):
             free = [not t or not shared.value or next(found.iter(t), None) is None for t in b.column(width).to_pylist()]
             kept = pa.RecordBatch.from_arrays([b.column(i) for i in range(width)], names=columns)
             yield kept.filter(pa.array(free, pa.bool_()))
