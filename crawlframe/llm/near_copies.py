@@ -1,6 +1,8 @@
 """Near copies by the Jaccard similarity of their sets of word shingles, each link verified.
 
-Texts with one set of shingles are one node. A node has `BANDS` keys, each made of
+Texts with one set of shingles are one node. Candidates are the links of the nodes' SimHash
+fingerprints (pigeonring chains before the Hamming check, see `simhash`), and, for what lies
+further apart than its two bits, nodes in common MinHash buckets. A node has `BANDS` keys, each made of
 `ROWS` MinHash values; nodes that share a key are a bucket. Two sets of similarity
 0.8 share a bucket with probability 1 - (1 - 0.8 ** 5) ** 25 = 0.99995; a 64-bit
 SimHash differs there in 10 bits on average and up to about 18, too many for keys
@@ -73,7 +75,7 @@ def _node(grams: np.ndarray) -> int:
 
 
 def marks(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, _key, fingerprint, bands) of (doc_id, _key, text); the fingerprint stands for the shingle set."""
+    """(doc_id, _key, fingerprint, bands, simhash) of (doc_id, _key, text); the fingerprint stands for the shingle set."""
     ship_package(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -82,18 +84,19 @@ def marks(docs: DataFrame, size: int = SIZE) -> DataFrame:
         import xxhash
 
         for b in batches:
-            node, bands = [], []
+            node, bands, sim = [], [], []
             for t in text_bytes(b.column(2)):
                 grams = shingles(t, size)
                 node.append(_node(grams))
+                sim.append(simhash._signed(simhash.fingerprint(t, size)))
                 parts = signature(grams).reshape(BANDS, ROWS) if len(grams) else []
                 bands.append([simhash._signed(xxhash.xxh3_64_intdigest(p.tobytes(), i)) for i, p in enumerate(parts)])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "_key", "fingerprint", "bands"])
+                [b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sim, pa.int64())],
+                names=["doc_id", "_key", "fingerprint", "bands", "simhash"])
 
     return docs.select("doc_id", "_key", "text").mapInArrow(
-        run, f"doc_id {kind}, _key bigint, fingerprint bigint, bands array<bigint>")
+        run, f"doc_id {kind}, _key bigint, fingerprint bigint, bands array<bigint>, simhash bigint")
 
 
 def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -222,6 +225,21 @@ def _crossing(full: DataFrame, sets: DataFrame, roots: DataFrame, similar: float
     return rows.mapInArrow(search, "a bigint, b bigint")
 
 
+def ring_pairs(marked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that SimHash links, not yet verified: at most two bits apart.
+
+    Nodes of one SimHash are paired with the smallest of them, which stands for them in the
+    links between different ones; so a line that rules many texts gives no more pairs than nodes.
+    """
+    of = cut_lineage(marked.where(F.size("bands") > 0).groupBy("fingerprint").agg(F.min("simhash").alias("sim")))
+    first = cut_lineage(of.groupBy("sim").agg(F.min("fingerprint").alias("node")))
+    same = of.join(first, "sim").where("fingerprint <> node").select(F.col("node").alias("a"), F.col("fingerprint").alias("b"))
+    near = simhash.links(first.select("sim"), "sim")
+    ends = [first.select(F.col("sim").alias(e), F.col("node").alias(f"{e}_node")) for e in ("a", "b")]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return cut_lineage(same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def links(docs: DataFrame, marked: DataFrame, size: int = SIZE, similar: float = SIMILAR) -> DataFrame:
     """Verified links (a, b) of nodes, from `docs` (doc_id, _key, text) and their `marks`."""
     nodes = marked.where(F.size("bands") > 0).groupBy("fingerprint").agg(F.first("bands").alias("bands"))
@@ -231,14 +249,16 @@ def links(docs: DataFrame, marked: DataFrame, size: int = SIZE, similar: float =
     mass = met.groupBy("fp").agg(F.sum("n").alias("mass"))
     centres = met.join(mass, "fp").groupBy("key").agg(F.max(F.struct("mass", "fp")).alias("m")).select("key", F.col("m.fp").alias("centre"))
     full = cut_lineage(met.join(centres, "key"))
-    # One row of each node in a bucket gives the set.
+    ring = ring_pairs(marked)
+    met = full.select("fp").union(ring.select("a")).union(ring.select("b")).distinct()
+    # One row of each node in a bucket or pair gives the set.
     shown = marked.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "_key")).alias("m")).join(
-        full.select(F.col("fp").alias("fingerprint")).distinct(), "fingerprint", "left_semi")
+        met.withColumnRenamed("fp", "fingerprint"), "fingerprint", "left_semi")
     shown = shown.select(F.col("m.doc_id").alias("_i"), F.col("m._key").alias("_k"))
     sets = cut_lineage(shingle_sets(docs.join(
         shown, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi"), size))
-    star = full.where("fp <> centre").select(F.least("centre", "fp").alias("a"), F.greatest("centre", "fp").alias("b")).distinct()
-    found = cut_lineage(verified(star, sets, similar))
+    star = full.where("fp <> centre").select(F.least("centre", "fp").alias("a"), F.greatest("centre", "fp").alias("b"))
+    found = cut_lineage(verified(ring.unionByName(star).distinct(), sets, similar))
     return found.unionByName(cut_lineage(_crossing(full, sets, components(found), similar)))
 
 
@@ -247,5 +267,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     """The row with the smallest id of every class of near copies, with the columns of `docs`."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), simhash.checksum(text).alias("_key"), F.col(text).alias("text"))
     marked = cut_lineage(marks(narrow, size))
-    found = simhash.classes(marked.drop("bands"), edges=links(narrow, marked, size, similar), root="_root")
+    found = simhash.classes(marked.drop("bands", "simhash"), edges=links(narrow, marked, size, similar), root="_root")
     return simhash.keep_first(docs, found, doc_id, text)

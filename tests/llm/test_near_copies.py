@@ -107,3 +107,18 @@ def test_null_ids_of_one_class_leave_one_row(spark):
     text = " ".join(f"w{i}" for i in range(200))
     docs = spark.createDataFrame([(None, text), (None, text + " more"), (None, ""), (None, None)], "doc_id long, text string")
     assert CP.drop_near_copies(spark, docs, "").count() == 2
+
+
+def test_simhash_finds_candidates_of_its_own(spark):
+    """Close texts are candidates by SimHash; a line that rules two texts makes them candidates, but no near copies."""
+    rnd = random.Random(8)
+    long_ = [" ".join(f"w{rnd.randrange(9000)}" for _ in range(2_000)) for _ in range(6)]
+    line = " ".join(f"menu{i}" for i in range(9))
+    texts = [*long_, *(t + " more" for t in long_), *(" ".join([line] * 60 + [f"own{rnd.randrange(10**6)}" for _ in range(60)]) for _ in range(2))]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None), (98, "")], "doc_id long, text string")
+    marked = near_copies.marks(docs.selectExpr("doc_id", "xxhash64(text) AS _key", "text"))
+    node = {r.doc_id: r.fingerprint for r in marked.collect()}
+    pairs = {(r.a, r.b) for r in near_copies.ring_pairs(marked).collect()}
+    found = [i for i in range(6) if tuple(sorted((node[i], node[i + 6]))) in pairs]
+    assert len(found) >= 4 and tuple(sorted((node[12], node[13]))) in pairs
+    assert sorted(r.doc_id for r in CP.drop_near_copies(spark, docs, "").collect()) == [0, 1, 2, 3, 4, 5, 12, 13, 98]
