@@ -82,6 +82,7 @@ def timed_log(spark, d):
     for k in range(3):
         after = late >= F.lit(low + step * k) if k else F.lit(True)
         before = late < F.lit(low + step * (k + 1)) if k < 2 else F.lit(True)
+        before = before if k else F.coalesce(before, F.lit(True))  # rows without a time come first
         e.filter(after & before).coalesce(1).write.mode("append").parquet(path)
     return V.log_columns(S.read_log_stream(spark, path, e.schema, files_per_batch=1))
 

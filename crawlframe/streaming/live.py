@@ -88,7 +88,8 @@ class LiveFrontier(StatefulProcessor):
         after = frontier_row(url, state)
         # The timer stands while the row is being crawled, and only then. It goes off when the
         # watermark reaches it; a row at the limit is not stale yet, hence one more millisecond.
-        wanted = {state["add_us"] // 1000 + self.stale_ms + 1} if after is not None and after[2] == "crawling" else set()
+        timed = after is not None and after[2] == "crawling" and state["add_us"] is not None
+        wanted = {state["add_us"] // 1000 + self.stale_ms + 1} if timed else set()
         standing = set(self.handle.listTimers())
         for t in standing - wanted:
             self.handle.deleteTimer(t)

@@ -14,6 +14,7 @@ from crawlframe.operators import frontier as FR
 from crawlframe.operators import graph as G
 from crawlframe.operators import grams, lookup, matching
 from crawlframe.operators.visited import Visited
+from crawlframe.plans import q_stream
 from crawlframe.schemas import CRAWL_LOG, URLS
 from crawlframe.session import cut_lineage, scratch
 from crawlframe.sources.frontier_store import FrontierStore
@@ -298,3 +299,33 @@ print("ROWS", [(r.url, r.status) for r in live.read_live(spark, "out").collect()
 """
     ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "ROWS [('u', 'crawling')]" in ran.stdout, ran.stderr[-2000:]
+
+
+def test_live_row_without_a_time_sets_no_timer():
+    class Kept:
+        def exists(self):
+            return False
+
+        def update(self, value):
+            pass
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Kept()
+
+        def listTimers(self):
+            return iter(())
+
+    made = live.LiveFrontier(1000)
+    made.init(Handle())
+    rest = dict(us=None, depth=0, source_url="s", title=None, html_file_path=None, error_message=None)
+    out = list(made.handleInputRows(("u",), [dict(seq=1, op="add", **rest), dict(seq=2, op="crawling", **rest)], None))
+    assert [(r.url, r.status, r.created_us) for r in out] == [("u", "crawling", None)]
+
+
+def test_stale_query_reads_rows_without_a_time(spark, tmp_path):
+    spark.sql("""SELECT id AS event_id, IF(id = 2, NULL, timestamp'2024-01-01 00:00:00' + make_dt_interval(0, id * 10)) AS ts, id AS user_id,
+        'click' AS event_type, 1.0D AS value, '{}' AS props FROM range(6)""").write.parquet(f"{tmp_path}/events.parquet")
+    got = q_stream.stream_stale(spark, str(tmp_path)).collect()
+    assert sorted(r.url[-1] for r in got) == list("012345")
+    assert [r.url[-1] for r in got if r.created_time is None] == ["2"]
