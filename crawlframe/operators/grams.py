@@ -112,24 +112,61 @@ def search(rows: DataFrame, key: str, columns: list[str], pattern: str, index: G
 
 # --- many patterns against many texts -------------------------------------------------------
 
-#: Characters of a piece that stands for a pattern, and pieces in a window.
-PIECE, WINDOW = 6, 3
+#: Characters of a piece that stands for a pattern, pieces in a window, and characters kept on either side of a piece.
+PIECE, WINDOW, AROUND = 6, 3, 12
 
 
-def _minima(text: Column) -> Column:
-    """The distinct pieces of `PIECE` characters that have the least hash of some window of `WINDOW` of them.
+def _minima(text: Column, literal: bool = False) -> Column:
+    """The pieces of `PIECE` characters that have the least hash of some window of `WINDOW` of them: array of (gram, at).
 
     A text that contains a run of `PIECE + WINDOW - 1` characters has the same minima
-    in it as the run itself.
+    in it, at the same places, as the run itself: the leftmost of equal ones is taken in
+    both. With `literal`, windows that hold `_` are left out.
     """
-    grams = F.transform(pieces(text, PIECE), lambda p: F.struct(F.xxhash64(p["gram"]).alias("h"), p["gram"].alias("gram")))
+    grams = F.transform(pieces(text, PIECE), lambda p: F.struct(F.xxhash64(p["gram"]).alias("h"), p["at"].alias("at"), p["gram"].alias("gram")))
 
     def chosen(g: Column) -> Column:
         windows = F.sequence(F.lit(1), F.size(g) - (WINDOW - 1))
-        return F.array_distinct(F.transform(windows, lambda i: F.array_min(F.slice(g, i, F.lit(WINDOW)))["gram"]))
+        if literal:
+            windows = F.filter(windows, lambda i: ~F.contains(F.substr(text, i, F.lit(PIECE + WINDOW - 1)), F.lit("_")))
+        least = F.array_distinct(F.transform(windows, lambda i: F.array_min(F.slice(g, i, F.lit(WINDOW)))))
+        return F.transform(least, lambda m: F.struct(m["gram"].alias("gram"), m["at"].alias("at")))
 
     return F.transform(F.array(grams), lambda g: F.when(F.size(g) >= WINDOW, chosen(g)).otherwise(
-        F.expr("cast(array() as array<string>)")))[0]
+        F.expr("cast(array() as array<struct<gram:string,at:int>>)")))[0]
+
+
+def _around(text: Column, at: Column, fill: str) -> Column:
+    """A piece at `at` with `AROUND` characters on either side, `fill` beyond the ends."""
+    edge = F.lit(fill * AROUND)
+    return F.substr(F.concat(edge, text, edge), at, F.lit(PIECE + 2 * AROUND))
+
+
+def _escaped(pattern: Column) -> Column:
+    return F.replace(pattern, F.lit("\\"), F.lit("\\\\"))
+
+
+def candidate_pairs(names: DataFrame, rows: DataFrame) -> DataFrame:
+    """(_id, _pattern), distinct: texts, by hash, that may match a pattern of `names`, as far as the surroundings of a piece tell.
+
+    A row of `told` has what stands around its piece, so a pattern that shares only
+    a frequent piece with many texts is settled where the two meet, and no such pair goes on.
+    """
+    part = F.explode(F.split(F.lower("_pattern"), "%+")).alias("_part")
+    anchors = names.select("_pattern", part).select("_pattern", "_part", F.explode(_minima(F.col("_part"), literal=True)).alias("_p"))
+    anchors = anchors.select("_pattern", F.col("_p.gram").alias("_piece"), _around(F.col("_part"), F.col("_p.at"), "_").alias("_mask"))
+    # Only hashes, pieces and their surroundings of the distinct texts meet the patterns; a text itself is fetched for a candidate.
+    told = rows.select(F.xxhash64("_low").alias("_id"), "_low").dropDuplicates(["_id", "_low"]).select(
+        "_id", "_low", F.explode(_minima(F.col("_low"))).alias("_p")).select(
+        "_id", F.col("_p.gram").alias("_piece"), _around(F.col("_low"), F.col("_p.at"), "\0").alias("_near"))
+    common = told.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    run = F.array_max(F.transform(F.split("_mask", "_"), lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
+    # Sizes are guessed from before the explode, so neither exploded side may be broadcast by them.
+    rare = anchors.hint("merge").join(common, "_piece").groupBy("_pattern").agg(F.min(F.struct("_n", "_piece", "_mask")).alias("_a")).select(
+        "_pattern", F.col("_a._piece").alias("_piece"), F.col("_a._mask").alias("_mask")).select(
+        "_pattern", "_piece", run.alias("_run"), _escaped(F.col("_mask")).alias("_mask"))
+    met = told.hint("merge").join(rare, "_piece").filter(F.contains("_near", "_run") & F.like("_near", F.col("_mask")))
+    return met.select("_id", "_pattern").distinct()
 
 
 def contained_join(patterns: DataFrame, pattern: str, texts: DataFrame, text: str) -> DataFrame:
@@ -137,7 +174,8 @@ def contained_join(patterns: DataFrame, pattern: str, texts: DataFrame, text: st
 
     A pattern's longest literal runs give its pieces; the one that the fewest texts
     have stands for it, so a piece that most texts share (a common folder or ending)
-    joins nothing unless a pattern has no other. Patterns without a run of eight characters
+    joins nothing unless a pattern has no other; then what stands around it is compared
+    in the join. Patterns without a run of eight characters
     are matched by the automaton over the run they have, and by a scan if they have none.
     Gives the columns of `texts` and `pattern`.
     """
@@ -145,21 +183,12 @@ def contained_join(patterns: DataFrame, pattern: str, texts: DataFrame, text: st
     names = cut_lineage(patterns.select(F.col(pattern).cast("string").alias("_pattern")).filter("_pattern is not null").distinct()
                         .withColumn("_runs", F.filter(wild, lambda r: F.length(r) > 0)))
     least = PIECE + WINDOW - 1
-    like = F.replace(F.lower("_pattern"), F.lit("\\"), F.lit("\\\\"))
-    hit = F.like("_low", F.concat(F.lit("%"), like, F.lit("%")))
+    hit = F.like("_low", F.concat(F.lit("%"), _escaped(F.lower("_pattern")), F.lit("%")))
     out = [F.col(f"`{c}`") for c in texts.columns] + [F.col("_pattern").alias(pattern)]
     rows = texts.withColumn("_low", F.lower(text)).filter("_low is not null")
 
     long_ = F.exists("_runs", lambda r: F.length(r) >= least)
-    anchors = names.filter(long_).select("_pattern", F.explode(F.array_distinct(F.flatten(
-        F.transform("_runs", _minima)))).alias("_piece"))
-    # Only hashes and pieces of the distinct texts meet the patterns; a text itself is fetched for a candidate.
-    told = rows.select(F.xxhash64("_low").alias("_id"), "_low").dropDuplicates(["_id", "_low"]).select(
-        "_id", F.explode(_minima(F.col("_low"))).alias("_piece"))
-    common = told.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
-    rare = anchors.join(common, "_piece").groupBy("_pattern").agg(F.min(F.struct("_n", "_piece")).alias("_a")).select(
-        "_pattern", F.col("_a._piece").alias("_piece"))
-    near = told.join(rare, "_piece").select("_id", "_pattern").distinct()
+    near = candidate_pairs(names.filter(long_), rows)
     pairs = rows.withColumn("_id", F.xxhash64("_low")).join(near, "_id").filter(hit).select(*out)
 
     short = names.filter(~long_).withColumn("_run", F.array_max(F.transform(

@@ -279,6 +279,22 @@ def test_contained_join_equals_every_pair(spark):
     assert got == sorted((p, k) for p in PATTERNS for k, t, _ in rows if like(p, t))
 
 
+def test_contained_join_looks_around_a_shared_piece(spark):
+    """Patterns that share only frequent pieces with the texts make no candidates; those at edges and repeats are kept."""
+    texts = [f"webpages/{i:08x}_{i}7.html" for i in range(3000)] + [
+        "abababababababab", "xabababab", "a\\b12345678", "12345678", "été_1234567é", "ab%cd_efghijkl", "0_12345.html", "q" * 40 + "12345678", None]
+    names = [f"stray_{i}7.html" for i in range(1000)] + [
+        "abababab", "babababa", "b12345678", "a\\b12345678", "12345678_", "_12345678", "%12345678", "_t__1234567_", "cd_efghijkl",
+        "b%cd_efghijkl", "_0_12345.html", "0_12345.html", "q12345678", "q" * 41 + "12345678", "00000b_b_117.html", "0000000b_%17.html"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    told = spark.createDataFrame([(n,) for n in names], "p string")
+    got = sorted((r.p, r.t) for r in grams.contained_join(told, "p", df, "t").collect())
+    assert got == sorted((n, t) for n in names for t in texts if t is not None and like(n, t))
+    rows = df.selectExpr("lower(t) AS _low").filter("_low IS NOT NULL")
+    near = grams.candidate_pairs(told.withColumnRenamed("p", "_pattern").filter("_pattern LIKE 'stray%'"), rows)
+    assert near.count() == 0
+
+
 def test_live_stream_runs_in_a_plain_session_elsewhere(tmp_path):
     """Neither the session's state store nor the folder it was started in may matter."""
     code = f"""
