@@ -14,8 +14,10 @@ Runs of rows of an input partition are blocks; a block lists its distinct
 grams, and counts are summed over blocks. Both passes over the texts must see
 the same partitions, as reads of a stored table do; if not, the job fails. All contexts that end in the same two
 bytes form a group, which holds everything needed above order one; orders one
-and zero have at most 65,536 counts and are sent along. Log probabilities of
-the grams go back to the blocks that asked for them.
+and zero have at most 65,536 counts and are sent along. Groups are dealt to
+buckets: a block sends one row to each bucket, its grams there and their counts
+packed, and the row goes back with the log probabilities packed. Words and their
+counts go the same way.
 
 Defined cases: a null text is the empty text, of one symbol and one token;
 repeated rows are scored alike; without training rows all symbols are equally
@@ -25,6 +27,7 @@ likely; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,6 +44,8 @@ START, END = b"\xfe", b"\xff"
 ALPHABET = 256
 #: Bytes of text in a block, and of a chunk that is sorted at once.
 BLOCK, CHUNK = 24 << 20, 2 << 20
+#: Buckets of groups and of words: one for so many bytes of text, up to a number that keeps a block's rows long.
+BUCKET, BUCKETS = 8 << 20, 1024
 
 
 def chunks(texts: list[bytes | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -79,6 +84,78 @@ def _grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return part[inside], six[inside]
 
 
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all lists in order, and the sum of each one's counts."""
+    g, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(g, kind="stable")
+    g, n = g[order], n[order]
+    at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
+    return g[at], (np.add.reduceat(n, at) if len(at) else n)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers of eight bytes, compressed byte by byte: all lowest ones first."""
+    return zlib.compress(np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def turned(grams: np.ndarray) -> np.ndarray:
+    """Grams with their group, the two bytes before the symbol, moved to the front."""
+    g = grams
+    return (g >> np.uint64(8) & np.uint64(0xFFFF)) << np.uint64(32) | (g >> np.uint64(24)) << np.uint64(8) | g & np.uint64(255)
+
+
+def turned_back(keys: np.ndarray) -> np.ndarray:
+    k = keys
+    return (k >> np.uint64(8) & np.uint64(0xFFFFFF)) << np.uint64(24) | (k >> np.uint64(32)) << np.uint64(8) | k & np.uint64(255)
+
+
+def dealt(grams: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, steps from one turned gram to the next, counts) of a block, packed."""
+    keys = turned(grams)
+    bucket = ((keys >> np.uint64(32)) * np.uint64(0x9E3779B1) >> np.uint64(16) & np.uint64(0xFFFF)) % np.uint64(buckets)
+    order = np.argsort(bucket << np.uint64(48) | keys)
+    keys, bucket, counts = keys[order], bucket[order], counts[order]
+    ends = [*(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+    for a, z in zip([0, *ends], ends):
+        yield int(bucket[a]), pack(np.diff(keys[a:z], prepend=np.uint64(0))), pack(counts[a:z].astype(np.uint64))
+
+
+def steps(packed: bytes) -> np.ndarray:
+    """The turned grams of a row that `dealt` made."""
+    return np.cumsum(unpack(packed), dtype=np.uint64)
+
+
+def dealt_words(words: dict[bytes, int], buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, words, counts) of a block, packed."""
+    lists: dict[int, list[bytes]] = {}
+    for w in sorted(words):
+        lists.setdefault(zlib.crc32(w) % buckets, []).append(w)
+    for bucket, ws in lists.items():
+        yield bucket, zlib.compress(b"\n".join(ws), 1), pack(np.fromiter((words[w] for w in ws), np.uint64, len(ws)))
+
+
+def word_counts(words: bytes, counts: bytes) -> Iterator[tuple[bytes, int]]:
+    """The words of a row that `dealt_words` made, with counts in their order."""
+    return zip(zlib.decompress(words).split(b"\n"), unpack(counts).tolist())
+
+
+def sum_words(rows: list[tuple[bytes, bytes]]) -> tuple[list[bytes], int, int]:
+    """Of the rows (words, counts) of all blocks in a bucket: per row the counts of all blocks; tokens and distinct words counted."""
+    total: dict[bytes, int] = {}
+    for row in rows:
+        for w, n in word_counts(*row):
+            total[w] = total.get(w, 0) + n
+    out = []
+    for words, _ in rows:
+        ws = zlib.decompress(words).split(b"\n")
+        out.append(pack(np.fromiter((total[w] for w in ws), np.uint64, len(ws))))
+    return out, sum(total.values()), sum(n > 0 for n in total.values())
+
+
 def count_block(texts: list[bytes | None], train: list[bool]) -> tuple[np.ndarray, np.ndarray, Counter]:
     """Distinct grams of a block with their training counts, and the same for its words."""
     grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -86,13 +163,6 @@ def count_block(texts: list[bytes | None], train: list[bool]) -> tuple[np.ndarra
     pending: list[np.ndarray] = []
     weights: list[np.ndarray] = []
 
-    def merge(gs, ns):
-        g, n = np.concatenate(gs), np.concatenate(ns)
-        order = np.argsort(g, kind="stable")
-        g, n = g[order], n[order]
-        at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
-        return g[at], (np.add.reduceat(n, at) if len(at) else n)
-
     for owner, part, g in chunks(texts):
         key = np.sort(g << np.uint64(1) | learned[np.array(owner)][part].astype(np.uint64))
         at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -101,9 +171,9 @@ def count_block(texts: list[bytes | None], train: list[bool]) -> tuple[np.ndarra
         pending.append(key >> np.uint64(1))
         weights.append(runs * (key & np.uint64(1)).astype(np.int64))
         if len(pending) >= 4:
-            grams, counts = merge([grams, *pending], [counts, *weights])
+            grams, counts = merged([grams, *pending], [counts, *weights])
             pending, weights = [], []
-    grams, counts = merge([grams, *pending], [counts, *weights])
+    grams, counts = merged([grams, *pending], [counts, *weights])
     words: Counter = Counter()
     for text, learn in zip(texts, train):
         w = (text or b"").translate(LOWER).split()
@@ -201,6 +271,30 @@ def log_probabilities(grams: np.ndarray, counts: np.ndarray, one: np.ndarray) ->
     return out
 
 
+def score_bucket(rows: list[tuple[bytes, bytes]], one: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    """Of the rows (grams, counts) of all blocks in a bucket: per row which log probability each gram has, and these."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    pending: list[np.ndarray] = []
+    weights: list[np.ndarray] = []
+    size = 0
+    for packed, n in rows:
+        pending.append(steps(packed))
+        weights.append(unpack(n).astype(np.int64))
+        size += len(pending[-1])
+        if size > max(CHUNK, len(keys)):
+            keys, counts = merged([keys, *pending], [counts, *weights])
+            pending, weights, size = [], [], 0
+    keys, counts = merged([keys, *pending], [counts, *weights])
+    group = keys >> np.uint64(32)
+    ends = [*(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+    logs = np.zeros(len(keys))
+    for a, z in zip([0, *ends], ends):
+        logs[a:z] = log_probabilities(turned_back(keys[a:z]), counts[a:z], one)
+    for packed, _ in rows:
+        values, which = np.unique(logs[np.searchsorted(keys, steps(packed))], return_inverse=True)
+        yield pack(which.astype(np.uint64)), values.tobytes()
+
+
 def score_block(texts: list, grams: np.ndarray, logs: np.ndarray, words: dict, end: int, total: int, kinds: int) -> tuple:
     """Per text: tokens, known tokens, base score, model score."""
     score = np.zeros(len(texts))
@@ -242,6 +336,7 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text") ->
     whole, rows, learnt = slim.agg(F.coalesce(F.sum(size), F.lit(0)), F.count(F.lit(1)), F.count_if("train")).first()
     # A block is a run of rows of one input partition: the row's number without its last bits.
     bits = math.ceil(math.log2(max(1, BLOCK * rows // max(whole, 1))))
+    buckets = min(BUCKETS, max(1, whole // BUCKET))
     slim = slim.withColumn("block", F.shiftright(F.monotonically_increasing_id(), bits))
 
     def count(batches: Iterator) -> Iterator:
@@ -250,15 +345,14 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text") ->
         def told():
             grams, counts, words = count_block(texts, learn)
             pairs = np.unique(grams[counts > 0] & np.uint64(0xFFFFFF))
-            m, k = len(grams), len(words)
-            n = m + k + len(pairs)
-            none = lambda i, kind: pa.nulls(i, kind)
+            sent = [*((0, *x) for x in dealt(grams, counts, buckets)), *((1, *x) for x in dealt_words(words, buckets))]
+            m, k = len(sent), len(pairs)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat([0, 1, 2], [m, k, len(pairs)]), pa.int32()), pa.array(np.full(n, block), pa.int64()),
-                pa.concat_arrays([pa.array(grams.astype(np.int64)), none(k, pa.int64()), pa.array(pairs.astype(np.int64))]),
-                pa.concat_arrays([none(m, pa.binary()), pa.array(list(words), pa.binary()), none(len(pairs), pa.binary())]),
-                pa.concat_arrays([pa.array(counts), pa.array(list(words.values()), pa.int64()), none(len(pairs), pa.int64())])],
-                ["kind", "block", "gram", "word", "n"])
+                pa.array([x[0] for x in sent] + [2] * k, pa.int32()), pa.array(np.full(m + k, block), pa.int64()),
+                *(pa.concat_arrays([pa.array([x[i] for x in sent], kind), pa.nulls(k, kind)])
+                  for i, kind in ((1, pa.int32()), (2, pa.binary()), (3, pa.binary()))),
+                pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(pairs.astype(np.int64))])],
+                ["kind", "block", "bucket", "packed", "counts", "pair"])
 
         for b in batches:
             for text_, train_, at in zip(text_bytes(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -273,44 +367,48 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text") ->
 
     path = scratch(spark, "ppm-counts")
     slim.select("text", "train", "block").mapInArrow(
-        count, "kind int, block bigint, gram bigint, word binary, n bigint").write.partitionBy("kind").parquet(path)
-    told_ = spark.read.schema("block bigint, gram bigint, word binary, n bigint, kind int").parquet(path)
-    grams = told_.where("kind = 0").select("block", "gram", "n")
-    words = told_.where("kind = 1").select("block", "word", "n")
-
-    totals = grams.groupBy("gram").agg(F.sum("n").alias("n"))
-    pairs = told_.where("kind = 2").select("gram").distinct().groupBy(
-        F.col("gram").bitwiseAND(0xFFFF).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 65,536 rows
+        count, "kind int, block bigint, bucket int, packed binary, counts binary, pair bigint").write.partitionBy("kind").parquet(path)
+    told_ = spark.read.schema("block bigint, bucket int, packed binary, counts binary, pair bigint, kind int").parquet(path)
+
+    pairs = told_.where("kind = 2").select("pair").distinct().groupBy(
+        F.col("pair").bitwiseAND(0xFFFF).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 65,536 rows
     one = np.zeros((256, 256), np.int64)
     for r in pairs:
         one[r["p"] >> 8, r["p"] & 255] = r["n"]
 
     def model(t):
-        t = t.sort_by("gram")
-        g = t["gram"].to_numpy().astype(np.uint64)
-        logs = log_probabilities(g, t["n"].to_numpy(), one)
-        return pa.table({"gram": t["gram"], "v": pa.array(logs)})
-
-    group = F.shiftright("gram", 8).bitwiseAND(0xFFFF).alias("g")
-    logs = totals.groupBy(group).applyInArrow(model, "gram bigint, v double")
+        made = list(score_bucket(list(zip(t["packed"].to_pylist(), t["counts"].to_pylist())), one))
+        return pa.table({"block": t["block"], "packed": t["packed"], "which": pa.array([x[0] for x in made], pa.binary()),
+                         "logs": pa.array([x[1] for x in made], pa.binary())})
+
+    def add(t):
+        made, tokens, kinds = sum_words(list(zip(t["packed"].to_pylist(), t["counts"].to_pylist())))
+        rest = [0] * (len(made) - 1)
+        return pa.table({"block": t["block"], "packed": t["packed"], "counts": pa.array(made, pa.binary()),
+                         "tokens": pa.array([tokens, *rest], pa.int64()), "kinds": pa.array([kinds, *rest], pa.int64())})
+
+    logs = told_.where("kind = 0").select("block", "bucket", "packed", "counts").groupBy("bucket").applyInArrow(
+        model, "block bigint, packed binary, which binary, logs binary")
     path = scratch(spark, "ppm-words")
-    words.groupBy("word").agg(F.sum("n").alias("c")).write.parquet(path)
-    vocabulary = spark.read.schema("word binary, c bigint").parquet(path)
-    total, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    kept = "block bigint, packed binary, counts binary, tokens bigint, kinds bigint"
+    told_.where("kind = 1").select("block", "bucket", "packed", "counts").groupBy("bucket").applyInArrow(add, kept).write.parquet(path)
+    words = spark.read.schema(kept).parquet(path)
+    total, kinds = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     total, kinds = total + learnt, kinds + int(learnt > 0)
-    none = lambda kind: F.lit(None).cast(kind)
-    asked = grams.join(logs, "gram").select("block", "gram", none("binary").alias("word"), "v").unionByName(
-        words.join(vocabulary, "word").select("block", none("bigint").alias("gram"), "word", F.col("c").cast("double").alias("v")))
+    none = F.lit(None).cast("binary")
+    asked = logs.select("*", none.alias("counts")).unionByName(
+        words.select("block", "packed", none.alias("which"), none.alias("logs"), "counts"))
 
     def finish(key, left, right):
         texts = text_bytes(left["text"].combine_chunks())
-        gram = right["gram"].to_numpy(zero_copy_only=False)
-        v = right["v"].to_numpy()
-        is_word = np.asarray(right["word"].is_valid())
-        g = gram[~is_word].astype(np.int64).astype(np.uint64)
+        sent = right.filter(right["logs"].is_valid())
+        g = np.concatenate([np.zeros(0, np.uint64), *(turned_back(steps(x)) for x in sent["packed"].to_pylist())])
+        v = np.concatenate([np.zeros(0), *(np.frombuffer(x)[unpack(w).astype(np.int64)] for w, x in zip(
+            sent["which"].to_pylist(), sent["logs"].to_pylist()))])
         order = np.argsort(g)
-        known = dict(zip(right["word"].filter(right["word"].is_valid()).to_pylist(), v[is_word].astype(np.int64).tolist()))
-        tokens, found, base, scores = score_block(texts, g[order], v[~is_word][order], known, learnt, total, kinds)
+        told = right.filter(right["counts"].is_valid())
+        known = {w: n for row in zip(told["packed"].to_pylist(), told["counts"].to_pylist()) for w, n in word_counts(*row)}
+        tokens, found, base, scores = score_block(texts, g[order], v[order], known, learnt, total, kinds)
         return pa.table({
             "doc_id": left["doc_id"], "held_out": pa.array([not x for x in left["train"].to_pylist()]),
             "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(found, pa.int64()),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.llm import kd_shards, packing, postings, ppm, secret_scan, simhash, suffix_dedup, toxicity
 from crawlframe.llm.common import LOWER, QUERIES
+from crawlframe.session import scratch
 
 TOKEN = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -208,6 +209,29 @@ def test_ppm_against_a_plain_trie(spark):
         assert (got[i].n_tokens, got[i].n_known) == (len(words[i]), sum(seen[w] > 0 for w in words[i]))
 
 
+def test_ppm_sends_packed_rows(spark, monkeypatch):
+    """Blocks and buckets change no score, and a block sends one row to a bucket, not one per gram."""
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(["stone", "Berg", "矿产", "run", "x" * 9]) + str(r.randrange(50)) for _ in range(80))) for i in range(40)]
+    d = spark.createDataFrame([*rows, (40, None), (41, ""), (2, rows[2][1])], "doc_id long, text string").repartition(3, "doc_id")
+    d.write.parquet(path := scratch(spark, "ppm-test"))
+    d, train = spark.read.parquet(path), F.col("doc_id") % 3 > 0
+    plain = sorted(ppm.score(d, train).collect())
+    monkeypatch.setattr(ppm, "BLOCK", 4000)
+    monkeypatch.setattr(ppm, "BUCKET", 2000)
+    made = []
+    monkeypatch.setattr(ppm, "scratch", lambda s, name: made.append(scratch(s, name)) or made[-1])
+    cut = sorted(ppm.score(d, train).collect())
+    assert [x[:5] for x in cut] == [x[:5] for x in plain] and len(cut) == 43
+    assert np.allclose([x[5:] for x in cut], [x[5:] for x in plain], rtol=1e-12)
+    sent = spark.read.parquet(made[0]).where("kind = 0").select("block", "bucket", "packed", "counts").collect()
+    buckets = {x.bucket for x in sent}
+    assert len({x.block for x in sent}) > 3 and len(buckets) > 5
+    assert len(sent) == len({(x.block, x.bucket) for x in sent})
+    grams = sum(len(ppm.steps(x.packed)) for x in sent)
+    assert grams > 10 * len(sent) and sum(len(x.packed) + len(x.counts) for x in sent) < 10 * grams
+
+
 # --- nearest neighbours --------------------------------------------------------------
 
 def brute_nearest(ids, x, q, k):
