@@ -17,6 +17,13 @@ For each offset of the anchor in a window, runs of the two orders tell which
 windows are equal. Anchors with more kinds than a task should hold have their
 windows' hashes counted instead, with the same result.
 
+Passages of over 50 words that another document holds too, many of which are shorter
+than `LENGTH`, are counted beside that and not removed: windows of `WORDS` words,
+held by their least gram of `WORD_GRAM` words. Rows of anchors met in one document
+alone end early; equal contexts met in two count whole, and of the others the windows'
+hashes are compared (64 bits, within one anchor hash). White space between words makes
+no difference, and rows with the same id and text are one document there.
+
 Defined cases: null and short texts keep all their bytes; rows repeated as they
 are repeat each other; an empty table gives no rows. Matches never cross rows. Only id
 and text are read; other columns may have any name and are not in the result.
@@ -34,10 +41,12 @@ from crawlframe.llm.common import query, table, text_bytes
 from crawlframe.session import scratch, ship_package
 
 LENGTH, GRAM = 400, 64
+#: The same for passages, in words.
+WORDS, WORD_GRAM = 51, 8
 #: Bytes of contexts that a task compares at once, and kinds of one anchor up to which it does.
 TASK, KINDS = 3 << 20, 20_000
-#: Texts are scanned in parts of so many windows; places in a part fit 24 bits.
-PART = 8 << 20
+#: Texts are scanned in parts of so many windows (bytes, words); places in a part fit 24 bits.
+PART, WORD_PART = 8 << 20, 1 << 20
 
 _rng = np.random.default_rng(20_240_901)
 LETTERS = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,6 +90,18 @@ def _window_minima(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:m], ahead[width - 1:width - 1 + m])
 
 
+def _runs(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the least gram, first and last window of each run of windows of `width` grams that share it."""
+    places = np.arange(len(grams))
+    mixed = grams * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    key = mixed & np.uint64(~0xFFFFFF & (1 << 64) - 1) | places.astype(np.uint64)
+    anchor = (_window_minima(key, width) & np.uint64(0xFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    return anchor[first], first, np.r_[first[1:], len(anchor)] - 1
+
+
 def contexts(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
     """(anchor hash, anchor place, first window, last window) of each run of windows with one anchor."""
     n = len(text)
@@ -90,16 +111,29 @@ def contexts(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tu
     for at in range(0, n - length + 1, PART):
         x = whole[at:at + PART + length - 1]
         h = Hashes(x)
-        places = np.arange(len(x) - gram + 1)
-        grams = (h.sums[gram:] - h.sums[:-gram]) * h.down[:len(places)]
-        mixed = grams * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        key = mixed & np.uint64(~0xFFFFFF & (1 << 64) - 1) | places.astype(np.uint64)
-        anchor = (_window_minima(key, length - gram + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        last = np.r_[first[1:], len(anchor)] - 1
-        p = anchor[first]
+        grams = (h.sums[gram:] - h.sums[:-gram]) * h.down[:len(x) - gram + 1]
+        p, first, last = _runs(grams, length - gram + 1)
+        signed = grams[p].view(np.int64)
+        yield from zip(signed.tolist(), (p + at).tolist(), (first + at).tolist(), (last + at).tolist())
+
+
+def split_words(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words joined by blanks, and where each starts and ends there."""
+    joined = b" ".join(text.split())
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    return joined, np.r_[0, gaps + 1], np.r_[gaps, len(joined)]
+
+
+def word_contexts(joined: bytes, starts: np.ndarray, ends: np.ndarray, length: int = WORDS,
+                  gram: int = WORD_GRAM) -> Iterator[tuple[int, int, int, int]]:
+    """What `contexts` gives, of a text as `split_words` has it; places and windows count words."""
+    n = len(starts)
+    whole = np.frombuffer(joined, np.uint8)
+    for at in range(0, n - length + 1, WORD_PART):
+        to = min(at + WORD_PART + length - 1, n)
+        a, z = starts[at:to] - starts[at], ends[at:to] - starts[at]
+        grams = Hashes(whole[starts[at]:ends[to - 1]]).of(a[:len(a) - gram + 1], z[gram - 1:] - a[:len(a) - gram + 1])
+        p, first, last = _runs(grams, length - gram + 1)
         signed = grams[p].view(np.int64)
         yield from zip(signed.tolist(), (p + at).tolist(), (first + at).tolist(), (last + at).tolist())
 
@@ -141,6 +175,36 @@ def _rows(batches: Iterator) -> Iterator:
             ["id", "text_key", "anchor", "kind", "left", "size", "starts"])
 
 
+def _word_rows(batches: Iterator) -> Iterator:
+    """Per text and kind of context in words: anchor, kind, how many words it has and the words at which it starts."""
+    import pyarrow as pa
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    for b in _slices(batches):
+        row, anchor, kind, size, starts = [], [], [], [], []
+        for i, text in enumerate(text_bytes(b.column(2))):
+            seen: dict[tuple[int, int], int] = {}
+            joined, begin, end = split_words(text or b"")
+            for h, p, s0, s1 in word_contexts(joined, begin, end):
+                k = (h, digest(joined[begin[s0]:end[s1 + WORDS - 1]], p - s0))
+                j = seen.get(k)
+                if j is None:
+                    seen[k] = len(row)
+                    row.append(i)
+                    anchor.append(h)
+                    kind.append(k[1])
+                    size.append(s1 + WORDS - s0)
+                    starts.append([s0])
+                else:
+                    starts[j].append(s0)
+        take = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([
+            b.column(0).take(take), b.column(1).take(take), pa.array(anchor, pa.int64()),
+            pa.array(np.array(kind, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(starts, pa.list_(pa.int64()))],
+            ["id", "text_key", "anchor", "kind", "size", "starts"])
+
+
 def _extension(h: Hashes, a, na, b, nb) -> np.ndarray:
     """Common extension of the strings at a and b of sizes na and nb, by binary search."""
     low, high = np.zeros(len(a), np.int64), np.minimum(na, nb)
@@ -258,8 +322,76 @@ def equal_windows(texts: list[bytes], left: np.ndarray, group: np.ndarray, lengt
     return out
 
 
-def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text_key, spans): byte ranges that go, per document that has any, unsorted and overlapping."""
+def _word_kinds(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the anchors in words that two documents have: their rows, and their kinds of contexts.
+
+    A kind has the least and the greatest document (a, z) that has it, and how many kinds its anchor has.
+    """
+    spark = slim.sparkSession
+    kind_of = slim.schema["id"].dataType.simpleString()
+    path = scratch(spark, "word-anchors")
+    slim.mapInArrow(_word_rows, f"id {kind_of}, text_key bigint, anchor bigint, kind bigint, size int, "
+                                "starts array<bigint>").write.parquet(path)
+    rows = spark.read.parquet(path)
+    doc = F.xxhash64("id", "text_key")
+    path = scratch(spark, "word-met")  # written first, so that the join can split a frequent anchor
+    rows.groupBy("anchor").agg(F.min(doc).alias("a"), F.max(doc).alias("z")).where("a != z").select("anchor").write.parquet(path)
+    met = spark.read.parquet(path)
+    path = scratch(spark, "word-shared")
+    rows.join(met, "anchor", "left_semi").write.parquet(path)
+    rows = spark.read.parquet(path)
+    kinds = rows.groupBy("anchor", "kind").agg(
+        F.min(doc).alias("a"), F.max(doc).alias("z"), F.min(F.struct("id", "text_key", F.col("starts")[0].alias("at"), "size")).alias("one"))
+    path = scratch(spark, "word-kinds")
+    kinds.join(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "anchor").write.parquet(path)
+    return rows, spark.read.parquet(path)
+
+
+def _shared_windows(fetched: DataFrame, windows: int) -> DataFrame:
+    """(anchor, kind, cover): of contexts that one document has, the word ranges of windows that another has too."""
+
+    def compare(t):
+        import pyarrow as pa
+
+        t = t.to_pandas().drop_duplicates(["anchor", "kind"])  # equal rows of the table give a context twice
+        size = t["hashes"].map(len).to_numpy()
+        own = np.repeat(np.arange(len(t)), size)
+        h, anchor = np.concatenate(t["hashes"].to_list()), t["anchor"].to_numpy()[own]
+        order = np.lexsort((h, anchor))
+        g, k = h[order], anchor[order]
+        new = np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])]
+        first = np.flatnonzero(new)
+        least = np.minimum.reduceat(t["a"].to_numpy()[own[order]], first)
+        greatest = np.maximum.reduceat(t["z"].to_numpy()[own[order]], first)
+        found = np.zeros(len(h) + 1, bool)
+        found[order] = (least != greatest)[np.cumsum(new) - 1]
+        end = np.cumsum(size)
+        alone = (t["a"] == t["z"]).to_numpy()
+        hit = [i for i in np.unique(own[found[:-1]]).tolist() if alone[i]]
+        covers = []
+        for i in hit:
+            edge = np.diff(np.r_[0, found[end[i] - size[i]:end[i]].astype(np.int8), 0])
+            covers.append([{"a": a, "b": b - 1 + WORDS} for a, b in zip(
+                np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())])
+        return pa.table({"anchor": pa.array(t["anchor"].to_numpy()[hit], pa.int64()), "kind": pa.array(t["kind"].to_numpy()[hit], pa.int64()),
+                         "cover": pa.array(covers, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
+
+    part = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-8 * windows // TASK)))).alias("part")
+    some = fetched.where(F.col("kinds") <= KINDS).groupBy(part).applyInArrow(
+        compare, "anchor bigint, kind bigint, cover array<struct<a:int,b:int>>")
+    hot = fetched.where(F.col("kinds") > KINDS)
+    if not hot.limit(1).count():
+        return some
+    each = hot.dropDuplicates(["anchor", "kind"]).select("anchor", "kind", "a", "z", F.posexplode("hashes").alias("at", "hash"))
+    twice = each.groupBy("anchor", "hash").agg(F.min("a").alias("a"), F.max("z").alias("z")).where("a != z").select("anchor", "hash")
+    counted = each.where("a = z").join(twice, ["anchor", "hash"]).groupBy("anchor", "kind").agg(F.collect_list(F.struct(
+        F.col("at").alias("a"), (F.col("at") + WORDS).alias("b"))).alias("cover"))
+    return some.unionByName(counted)
+
+
+def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Per document that has any, unsorted and overlapping: the byte ranges that go (id, text_key, spans),
+    and the word ranges of passages that another document has too (id, text_key, passages)."""
     spark = docs.sparkSession
     ship_package(spark)
     slim = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"),
@@ -279,29 +411,45 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     whole = kinds.where("n > 1").select("anchor", "kind", F.array(F.struct(
         F.lit(0).alias("a"), F.col("one.size").alias("b"))).alias("cover"))
 
-    mixed = kinds.where("kinds > 1")
-    wanted = mixed.groupBy(F.col("one.id").alias("id"), F.col("one.text_key").alias("text_key")).agg(
-        F.collect_list(F.struct("anchor", "kind", "kinds", "one.at", "one.left", "one.size", "n")).alias("want"))
+    word_rows, word_kinds = _word_kinds(slim)
+    mixed, owner = kinds.where("kinds > 1"), [F.col("one.id").alias("id"), F.col("one.text_key").alias("text_key")]
+    # Texts are shuffled once to cut the contexts of both sorts out of them.
+    wanted = mixed.select(*owner, F.struct("anchor", "kind", "kinds", "one.at", "one.left", "one.size", "n").alias("want")).unionByName(
+        word_kinds.where("kinds > 1").select(*owner, F.struct("anchor", "kind", "kinds", "a", "z", "one.at", "one.size").alias("want_words")),
+        allowMissingColumns=True).groupBy("id", "text_key").agg(
+            F.collect_list("want").alias("want"), F.collect_list("want_words").alias("want_words"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import xxhash
 
+        digest = xxhash.xxh3_64_intdigest
         for b in _slices(batches):
             out = []
-            for t, want in zip(text_bytes(b.column(0)), b.column(1).to_pylist()):
-                out += [(w["anchor"], w["kind"], w["kinds"], w["left"], w["n"], t[w["at"]:w["at"] + w["size"]]) for w in want]
-            cols_ = list(zip(*out)) if out else [()] * 6
+            for t, want, want_words in zip(text_bytes(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                out += [(w["anchor"], w["kind"], w["kinds"], w["left"], w["n"], t[w["at"]:w["at"] + w["size"]], *[None] * 4) for w in want]
+                joined, starts, ends = split_words(t or b"") if want_words else (b"", (), ())
+                for w in want_words:
+                    own = np.array([digest(joined[starts[k]:ends[k + WORDS - 1]]) for k in range(
+                        w["at"], w["at"] + w["size"] - WORDS + 1)], np.uint64).view(np.int64)
+                    out.append((w["anchor"], None, w["kinds"], None, None, None, w["kind"], w["a"], w["z"], own))
+            cols_ = list(zip(*out)) if out else [()] * 10
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols_, (
-                pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
-                ["anchor", "kind", "kinds", "left", "n", "context"])
+                pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.list_(pa.int64())))],
+                ["anchor", "kind", "kinds", "left", "n", "context", "word_kind", "a", "z", "hashes"])
 
     same = slim["id"].eqNullSafe(wanted["id"]) & (slim["text_key"] == wanted["text_key"])
-    fetched = slim.join(wanted, same).select(slim["text"], "want").mapInArrow(
-        cut, "anchor bigint, kind binary, kinds bigint, left int, n bigint, context binary")
+    fetched = slim.join(wanted, same).select(slim["text"], "want", "want_words").mapInArrow(
+        cut, "anchor bigint, kind binary, kinds bigint, left int, n bigint, context binary, "
+             "word_kind bigint, a bigint, z bigint, hashes array<bigint>")
     path = scratch(spark, "contexts")
     fetched.write.parquet(path)
     fetched = spark.read.parquet(path)
-    total = fetched.agg(F.coalesce(F.sum(F.octet_length("context")), F.lit(0))).first()[0]
+    total, windows_ = fetched.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (
+        F.octet_length("context"), F.when(F.col("hashes").isNotNull(), F.size("hashes")))]).first()
+    shared = _shared_windows(fetched.where("hashes is not null").select(
+        "anchor", F.col("word_kind").alias("kind"), "kinds", "a", "z", "hashes"), windows_)
+    fetched = fetched.where("hashes is null").select("anchor", "kind", "kinds", "left", "n", "context")
     tasks = max(1, -(-total // TASK))
 
     def compare(t):
@@ -348,42 +496,58 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         "id", "text_key", F.explode("starts").alias("s"), "cover").select(
         "id", "text_key", F.transform("cover", lambda c: F.struct(
             (F.col("s") + c["a"]).alias("a"), (F.col("s") + c["b"]).alias("b"))).alias("c"))
-    return spans.groupBy("id", "text_key").agg(F.flatten(F.collect_set("c")).alias("spans"))
+    equal = word_kinds.where("a != z").select("anchor", "kind", F.array(F.struct(
+        F.lit(0).alias("a"), F.col("one.size").alias("b"))).alias("cover"))
+    passages = word_rows.select("id", "text_key", "anchor", "kind", "starts").join(equal.unionByName(shared), ["anchor", "kind"]).select(
+        "id", "text_key", F.explode("starts").alias("s"), "cover").select(
+        "id", "text_key", F.transform("cover", lambda c: F.struct(
+            (F.col("s") + c["a"]).alias("a"), (F.col("s") + c["b"]).alias("b"))).alias("c"))
+    return (spans.groupBy("id", "text_key").agg(F.flatten(F.collect_set("c")).alias("spans")),
+            passages.groupBy("id", "text_key").agg(F.flatten(F.collect_set("c")).alias("passages")))
+
+
+def _merged(ranges) -> list[list[int]]:
+    """The ranges in order; those that meet or overlap as one."""
+    merged: list[list[int]] = []
+    for a, z in sorted((s["a"], s["b"]) for s in ranges or ()):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], z)
+        else:
+            merged.append([a, z])
+    return merged
 
 
 def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, kept, n_bytes, n_removed, removed): remaining bytes, and the maximal removed runs."""
-    spans = repeated(docs, doc_id, text)
+    """(doc_id, kept, n_bytes, n_removed, removed, n_passage_words): remaining bytes, the maximal removed runs,
+    and how many words stand in passages of `WORDS` words or more that another document has too."""
+    spans, passages = repeated(docs, doc_id, text)
     key = F.xxhash64(F.coalesce(text, F.lit("")))
     slim = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key_"), F.col(text).alias("text"))
-    same = slim["doc_id"].eqNullSafe(spans["id"]) & (slim["key_"] == spans["text_key"])
+    of = lambda found: slim["doc_id"].eqNullSafe(found["id"]) & (slim["key_"] == found["text_key"])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in _slices(batches):
-            kept, sizes, gone, runs = [], [], [], []
-            for t, spans_ in zip(text_bytes(b.column(1)), b.column(2).to_pylist()):
+            kept, sizes, gone, runs, held = [], [], [], [], []
+            for t, spans_, passages_ in zip(text_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 t = t or b""
-                merged: list[list[int]] = []
-                for a, z in sorted((s["a"], s["b"]) for s in spans_ or ()):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], z)
-                    else:
-                        merged.append([a, z])
+                merged = _merged(spans_)
                 ends = [0, *[e for m in merged for e in m], len(t)]
                 kept.append(b"".join(t[ends[i]:ends[i + 1]] for i in range(0, len(ends), 2)))
                 sizes.append(len(t))
                 gone.append(sum(z - a for a, z in merged))
                 runs.append([{"a": a, "b": z} for a, z in merged])
+                held.append(sum(z - a for a, z in _merged(passages_)))
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()),
-                pa.array(runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))],
-                ["doc_id", "kept", "n_bytes", "n_removed", "removed"])
+                pa.array(runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(held, pa.int64())],
+                ["doc_id", "kept", "n_bytes", "n_removed", "removed", "n_passage_words"])
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.join(spans, same, "left").select(slim["doc_id"], "text", "spans").mapInArrow(
-        run, f"doc_id {kind}, kept binary, n_bytes bigint, n_removed bigint, removed array<struct<a:bigint,b:bigint>>")
+    return slim.join(spans, of(spans), "left").join(passages, of(passages), "left").select(
+        slim["doc_id"], "text", "spans", "passages").mapInArrow(
+        run, f"doc_id {kind}, kept binary, n_bytes bigint, n_removed bigint, removed array<struct<a:bigint,b:bigint>>, n_passage_words bigint")
 
 
 @query("op9_suffix_dedup")
@@ -392,4 +556,6 @@ def op9(spark, d) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"),
                        F.sha2("kept", 256).alias("kept_sha256"),
                        # What is left, as text; a character that a cut went through is U+FFFD.
-                       F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
+                       F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),
+                       # Passages of over 50 words; the bytes removed are those of 400-byte strings alone.
+                       "n_passage_words")

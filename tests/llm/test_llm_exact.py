@@ -304,6 +304,44 @@ def test_passages(spark, monkeypatch, kinds):
     assert sorted((tuple(r) for r in got), key=str) == brute_passages(rows)
 
 
+def brute_passage_words(rows):
+    """Words of a row that a run of 51 words covers which a row with another id or text has too."""
+    held = defaultdict(set)
+    split = [(t or "").split() for _, t in rows]
+    for row, w in zip(rows, split):
+        for k in range(len(w) - 50):
+            held[tuple(w[k:k + 51])].add(row)
+    out = []
+    for (i, _), w in zip(rows, split):
+        covered = set()
+        for k in range(len(w) - 50):
+            if len(held[tuple(w[k:k + 51])]) > 1:
+                covered |= set(range(k, k + 51))
+        out.append((i, len(covered)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("kinds,part", [(20_000, 1 << 20), (3, 40)])
+def test_passage_words(spark, monkeypatch, kinds, part):
+    """Passages of over 50 words under 400 bytes, at the length's edge, beside copies and repeats in one document."""
+    monkeypatch.setattr(suffix_dedup, "KINDS", kinds)
+    monkeypatch.setattr(suffix_dedup, "WORD_PART", part)
+    rnd = random.Random(6)
+    text = lambda n: [rnd.choice(["ab", "cde", "fgh", "éa", "ij"]) + rnd.choice("klmnop") for _ in range(n)]
+    shared = [text(n) for n in (50, 51, 52, 60, 130)]
+    blank = lambda w: "".join(x + rnd.choice([" ", "\n", " \t"]) for x in w)
+    rows = [(i, blank(text(rnd.randrange(90)) + shared[i % 5] + text(rnd.randrange(1, 60)) + rnd.choice(shared)[rnd.randrange(3):]))
+            for i in range(40)]
+    once, copy = text(60), " ".join(text(80))
+    rows += [(100, None), (101, ""), (102, "a " * 150), (103, " ".join(once + text(9) + once)), (104, copy), (105, copy),
+             (107, " ".join(text(70))), (108, "a " * 51), (None, " ".join(text(3) + shared[1]))]
+    rows.append(rows[-3])  # the same row again is no other document
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.remove_repeated(d).select("doc_id", "n_passage_words", "n_removed").collect()
+    assert sorted(((r[0], r[1]) for r in got), key=str) == brute_passage_words(rows)
+    assert any(r.n_passage_words and not r.n_removed for r in got)
+
+
 def test_passage_parts_and_deceiving_hashes(spark, monkeypatch):
     """Texts cut into parts, and a hash that makes everything look equal."""
     monkeypatch.setattr(suffix_dedup, "PART", 700)
